@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.byte_bpe import op8_byte_bpe
 from pagemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from pagemill.llm.language_id import op7_language_id
+from pagemill.llm.packing import op6_best_fit_packing
 from pagemill.llm.simhash import op10_simhash_near_dedup
+from pagemill.llm.token_counts import op3_token_counts
+from pagemill.llm.toxicity import op9_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_token_counts": op3_token_counts,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_language_id": op7_language_id,
+        "op8_byte_bpe": op8_byte_bpe,
+        "op9_toxicity": op9_toxicity,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
     }
 

@@ -1,8 +1,77 @@
-"""The corpus pipeline; its stages follow as their operators are added."""
+"""The corpus pipeline: from documents to packed training sequences.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written and
+read again before the next stage. All but the last return the columns of ``documents``.
+
+Rows with a null id are kept by the SimHash stage, since nothing names them; rows that share an id share its fate there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagemill.llm import language_id, toxicity
+from pagemill.llm._spark import Scratch
+from pagemill.llm.line_dedup import line_dedup
+from pagemill.llm.packing import pack
+from pagemill.llm.simhash import simhash_dedup
+
+#: A text stays if its best language holds at least this share of the posterior.
+LANGUAGE_SHARE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labels, does not predict to be toxic."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, name="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters that one language claims; texts that are null or have no letter go."""
+    import public_tokenizers as P
+
+    path = P.path("piece_bpe_32k.model")
+    model = language_id.fit(docs, path)
+    found = language_id.predict(docs, model, path, names=("_language", "_share"))
+    return found.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_share") >= LANGUAGE_SHARE)).select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the later copies of repeated runs of lines; n_chars follows the text."""
+    out = line_dedup(docs)
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)).select(docs.columns) if "n_chars" in docs.columns else out
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id."""
+    classes = simhash_dedup(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(classes.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
+    return kept.union(docs.where(F.col("doc_id").isNull()))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents with their places in sequences."""
+    import public_tokenizers as P
+
+    return pack(docs, P.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language ID", keep_languages),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("best-fit packing", pack_sequences),
+]
+
+#: No SQL expresses the classifiers; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.save(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -85,5 +85,5 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def requests_within(calls: DataFrame, key: str, seconds: int, ts: str = "ts") -> Column:
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     return F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0))

@@ -30,7 +30,10 @@ SECTION_RULES = {
 # Words that make a document a guideline or a review, in order of precedence.
 DOC_TYPES = [("GUIDELINE", ["guideline", "recommendation", "指南", "推荐", "statement"]), ("REVIEW", ["systematic review", "meta-analysis", "系统综述", "meta analysis"])]
 
-DOC = Window.partitionBy("doc_id")
+
+def by_doc():
+    """The window of a document. A function, as workers import this module without a session."""
+    return Window.partitionBy("doc_id")
 
 
 def page_table(docs: DataFrame, size: int = 200) -> DataFrame:
@@ -77,7 +80,7 @@ def doc_type(head: Column, rules: Sequence[tuple[str, Sequence[str]]] = DOC_TYPE
 
 def classify(pages: DataFrame, rules=DOC_TYPES, first: int = 3, cap: int = 1000, skip: Sequence[str] = tx.SKIP_PATTERNS) -> DataFrame:
     """The type of each document by the first pages that are not skipped."""
-    rows = pages.where(~tx.is_skip_page(F.col("text"), skip)).withColumn("_k", F.row_number().over(DOC.orderBy("page_no"))).where(F.col("_k") <= first)
+    rows = pages.where(~tx.is_skip_page(F.col("text"), skip)).withColumn("_k", F.row_number().over(by_doc().orderBy("page_no"))).where(F.col("_k") <= first)
     return joined(rows, "page_no", F.substring("text", 1, cap), "\n", "head").select("doc_id", doc_type(F.col("head"), rules).alias("doc_type"))
 
 
@@ -97,8 +100,8 @@ def summary_strategy(chunks: Column, asked: Column) -> Column:
 
 def edges(first: int = 5, last: int = 3) -> Column:
     """The first and last pages of the rows at hand."""
-    by = DOC.orderBy("page_no")
-    return (F.row_number().over(by) <= first) | (F.row_number().over(DOC.orderBy(F.desc("page_no"))) <= last)
+    by = by_doc().orderBy("page_no")
+    return (F.row_number().over(by) <= first) | (F.row_number().over(by_doc().orderBy(F.desc("page_no"))) <= last)
 
 
 def select_by_score(pages: DataFrame, score: Column, most: int, dropped: Column, first: int = 5, last: int = 3) -> DataFrame:
@@ -106,7 +109,7 @@ def select_by_score(pages: DataFrame, score: Column, most: int, dropped: Column,
 
     Edge pages count against ``most`` even if they were dropped.
     """
-    kept = pages.where(~dropped).withColumns({"score": score, "_n": F.count(F.lit(1)).over(DOC), "_edge": (F.col("page_no") <= first) | (F.col("page_no") > F.col("total_pages") - last)})
+    kept = pages.where(~dropped).withColumns({"score": score, "_n": F.count(F.lit(1)).over(by_doc()), "_edge": (F.col("page_no") <= first) | (F.col("page_no") > F.col("total_pages") - last)})
     rank = F.row_number().over(Window.partitionBy("doc_id", "_edge").orderBy(F.desc("score"), "page_no"))
     quota = most - F.least(F.col("total_pages"), F.lit(first + last))
     return kept.withColumn("_rank", rank).where((F.col("_n") <= most) | F.col("_edge") | (F.col("_rank") <= quota)).drop("_n", "_edge", "_rank")
@@ -117,14 +120,14 @@ def select_in_stages(pages: DataFrame, most: int, stages: Sequence[tuple[Column,
 
     A stage is (eligible, order, limit, whether ``most`` bounds it). The result has the number of the stage.
     """
-    rows = pages.withColumns({"_n": F.count(F.lit(1)).over(DOC), "stage": F.lit(None).cast("int"), "_taken": F.lit(0).cast("long")})
+    rows = pages.withColumns({"_n": F.count(F.lit(1)).over(by_doc()), "stage": F.lit(None).cast("int"), "_taken": F.lit(0).cast("long")})
     for k, (eligible, order, limit, bounded) in enumerate(stages):
         rows = rows.withColumn("_free", F.col("stage").isNull() & eligible)
         rank = F.row_number().over(Window.partitionBy("doc_id", "_free").orderBy(*order, "page_no"))
         room = (F.lit(most) - F.col("_taken")) if bounded else F.lit(1 << 30)
         quota = room if limit is None else F.least(room, F.lit(limit))
         rows = rows.withColumn("_rank", rank).withColumn("stage", F.when(F.col("_free") & (F.col("_rank") <= quota), k).otherwise(F.col("stage")))
-        rows = rows.withColumn("_taken", F.count("stage").over(DOC))
+        rows = rows.withColumn("_taken", F.count("stage").over(by_doc()))
     return rows.where((F.col("_n") <= most) | F.col("stage").isNotNull()).drop("_n", "_taken", "_free", "_rank")
 
 
@@ -152,7 +155,7 @@ def top_pages_by_field(pages: DataFrame, fields: dict[str, Sequence[str]], k: in
 def within_budget(pages: DataFrame, per_page: int, total: int, order: Column | None = None) -> DataFrame:
     """Pages in order up to the first that would exceed the budget; later ones are not admitted again."""
     order = F.col("page_no") if order is None else order
-    so_far = DOC.orderBy(order, "page_no")
+    so_far = by_doc().orderBy(order, "page_no")
     rows = pages.withColumn("text", F.substring("text", 1, per_page))
     return rows.withColumn("_sum", F.sum(F.length("text")).over(so_far)).where(F.col("_sum") <= total).drop("_sum")
 
@@ -183,9 +186,9 @@ def detect_sections(lines: DataFrame, patterns: Sequence[tuple[str, str]]) -> Da
     name = F.lit(None).cast("string")
     for label, pattern in reversed(patterns):
         name = F.when(F.col("line").rlike(pattern), label).otherwise(name)
-    last = F.max("line_no").over(DOC)
+    last = F.max("line_no").over(by_doc())
     rows = lines.withColumns({"name": name, "_last": last}).where(F.col("name").isNotNull())
-    return rows.select("doc_id", "name", F.col("line_no").alias("start_line"), (F.coalesce(F.lead("line_no").over(DOC.orderBy("line_no")), F.col("_last") + 1) - 1).alias("end_line"))
+    return rows.select("doc_id", "name", F.col("line_no").alias("start_line"), (F.coalesce(F.lead("line_no").over(by_doc().orderBy("line_no")), F.col("_last") + 1) - 1).alias("end_line"))
 
 
 def three_way(lines: DataFrame, results: str, discussion: str, longest: int = 120) -> DataFrame:
@@ -203,7 +206,7 @@ def three_way(lines: DataFrame, results: str, discussion: str, longest: int = 12
 
 def page_windows(pages: DataFrame, size: int = 20, overlap: int = 3) -> DataFrame:
     """Overlapping windows over the pages at hand by place: starts every size - overlap places, the redundant tail included."""
-    placed = pages.withColumns({"_at": F.row_number().over(DOC.orderBy("page_no")) - 1, "_n": F.count(F.lit(1)).over(DOC)})
+    placed = pages.withColumns({"_at": F.row_number().over(by_doc().orderBy("page_no")) - 1, "_n": F.count(F.lit(1)).over(by_doc())})
     step = size - overlap
     latest = F.floor((F.col("_n") - 1) / step)
     lo = F.greatest(F.lit(0), F.ceil((F.col("_at") - size + 1) / step))

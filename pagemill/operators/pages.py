@@ -160,6 +160,22 @@ def within_budget(pages: DataFrame, per_page: int, total: int, order: Column | N
     return rows.withColumn("_sum", F.sum(F.length("text")).over(so_far)).where(F.col("_sum") <= total).drop("_sum")
 
 
+def classification_pages(pages: DataFrame, score: Column, cues: dict[str, tuple[Column, int]], most: int = 6, near: int = 40, far: int = 80) -> DataFrame:
+    """The pages to classify a document by: the first, the best for each cue among the first so many, then by score.
+
+    The pool is the pages up to ``near``, or up to ``far`` where those are fewer than ``most``.
+    """
+    rows = pages.withColumns({"score": score, "_near": F.count_if(F.col("page_no") <= near).over(by_doc())})
+    rows = rows.where(F.col("page_no") <= F.when(F.col("_near") < most, far).otherwise(near))
+    must = F.row_number().over(by_doc().orderBy("page_no")) == 1
+    for hit, last in cues.values():
+        value = F.when(F.col("page_no") <= last, hit).otherwise(0)
+        must = must | ((value > 0) & (F.row_number().over(by_doc().orderBy(F.desc(value), "page_no")) == 1))
+    rows = rows.withColumn("_must", must)
+    place = F.row_number().over(by_doc().orderBy(F.desc("_must"), F.desc("score"), F.desc("page_no")))
+    return rows.withColumn("_place", place).where(F.col("_must") | (F.col("_place") <= most)).drop("_near", "_place").withColumnRenamed("_must", "must")
+
+
 # ---- sections
 
 

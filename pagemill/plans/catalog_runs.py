@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import json as js
 from pagemill.functions import text as tx
-from pagemill.operators import caches, chunking, evaluation, generate, merge, pages
+from pagemill.operators import caches, chunking, condense, evaluation, generate, merge, pages
 from pagemill.plans.catalog import ITEMS_SQL, PAGES_SQL, SP, TOKENS_SQL, add, documents, item_rows, on_documents, page_rows, strip_sql
 from pagemill.plans.catalog_tables import RULES, SECTION_SQL
 from pagemill.sources import sinks
@@ -207,3 +207,27 @@ for _mode, _options in (("chars", {"size": 800, "overlap": 100}), ("tokens", {"m
     add(f"ch_{_mode}_chunks", lambda s, d, m=_mode, o=_options: chunking.chunks(documents(s, d), chunking.chunker(m, **o)))
 add("sk2_markdown", lambda s, d: documents(s, d).select("doc_id", sinks.markdown(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.col("n_chars"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.substring("text", 1, 20)).alias("value")), "SELECT doc_id, '# Doc ' || doc_id || chr(10) || chr(10) || '- **words**: ' || format('{:,}', n_chars) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- **source**: ' || source || chr(10) ELSE '' END || chr(10) || substring(text, 1, 20) AS value FROM documents")
 add("sk8_batch_summary", lambda s, d: sinks.batch_summary(documents(s, d).select(F.col("lang").alias("doc_type"), (F.col("n_chars") >= 200).alias("success"))), "SELECT lang AS doc_type, count(*) AS n, count(*) FILTER (n_chars >= 200) AS success FROM documents GROUP BY lang")
+
+# ---- the rest
+
+on_documents(
+    "sf6_content_density", "double", lambda: F.round(tx.content_density(T()), 9),
+    f"CASE WHEN length(regexp_replace(text, '{SP}+', '', 'g')) = 0 THEN 0.0 ELSE round(least(1.0, list_sum(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}')), lambda w: length(w)) || [0]) / CAST(length(regexp_replace(text, '{SP}+', '', 'g')) AS DOUBLE) * CASE WHEN len(regexp_extract_all(text, '[.]{{3,}}')) > 5 THEN 0.3 ELSE 1.0 END), 9) END",
+)
+on_documents("sf30_compression", "double", lambda: tx.compression_ratio(F.substring(T(), 1, 500), T()), "CASE WHEN length(text) > 0 THEN round_even(least(500, length(text)) / CAST(length(text) AS DOUBLE), 2) ELSE 0.0 END")
+on_documents("sf35_megabytes", "double", lambda: tx.megabytes(F.col("n_chars") * 100), "round_even(n_chars * 100 / CAST(1048576 AS DOUBLE), 2)")
+add("sf37_json_log", lambda s, d: EVENTS(s, d).select("event_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.col("event_type").alias("message"))).alias("value")), """SELECT event_id, '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","message":"' || event_type || '"}' AS value FROM events""")
+add(
+    "dm8_merge_by_text", lambda s, d: merge.merge_lists(item_rows(s, d).withColumn("key", tx.item_key(F.col("text"))).withColumn("sources", F.array(F.concat(F.lit("p"), F.col("cited_page").cast("string")))), ["doc_id", "key"], "ord", "sources").select("doc_id", "key", F.array_join("sources", ",").alias("sources")),
+    f"WITH {ITEMS_SQL}, k AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS key, cited_page, min(ord) AS ord FROM items GROUP BY ALL) SELECT doc_id, key, string_agg('p' || cited_page, ',' ORDER BY ord) AS sources FROM k GROUP BY doc_id, key",
+)
+add("dm5_deep_merge", lambda s, d: condense.deep_merged(documents(s, d).where("length(text) > 0").select((F.col("doc_id") % 20).alias("doc_id"), F.col("doc_id").alias("ord"), F.to_json(F.struct("lang", F.array("lang", "source").alias("tags"))).alias("value"))))
+add(
+    "cl5_classification_pages", lambda s, d: pages.classification_pages(page_rows(s, d), F.round(tx.classification_score(T(), [("the ", 1.5)], []), 6), {"mark": (tx.hits(T(), "license"), 10), "percent": (tx.hits(T(), "%"), 80)}).select("doc_id", "page_no", "must"),
+    f"""WITH {PAGES_SQL}, a AS (SELECT *, CASE WHEN {strip_sql('text')} = '' THEN -1.0 ELSE round(len(regexp_extract_all(text, '[0-9]')) * 0.08 + (length(text) - length(replace(text, '%', ''))) * 4.0 + least(length(text), 4000) / CAST(2500 AS DOUBLE) + floor((length(text) - length(replace(lower(text), 'the ', ''))) / 4) * 1.5, 6) END AS score,
+  CASE WHEN page_no <= 10 THEN floor((length(text) - length(replace(text, 'license', ''))) / 7) ELSE 0 END AS h1, CASE WHEN page_no <= 80 THEN length(text) - length(replace(text, '%', '')) ELSE 0 END AS h2, count(*) FILTER (page_no <= 40) OVER (PARTITION BY doc_id) AS near FROM pages_d),
+  b AS (SELECT *, page_no = 1 OR (h1 > 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY h1 DESC, page_no) = 1) OR (h2 > 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY h2 DESC, page_no) = 1) AS must FROM a WHERE page_no <= CASE WHEN near < 6 THEN 80 ELSE 40 END),
+  c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY must DESC, score DESC, page_no DESC) AS place FROM b) SELECT doc_id, page_no, must FROM c WHERE must OR place <= 6""",
+)
+add("ch5_captions", lambda s, d: condense.caption_rows(documents(s, d).select("doc_id", F.concat(F.lit("Table 1: "), F.col("text"), F.lit("\nFig. 2 end")).alias("text"))))
+add("ch6_condensed", lambda s, d: condense.condensed(documents(s, d), [("the", "^The ", 1), ("of", "^Of ", 2)], ["license"], passthrough=2000, header=500, footer=300, caps=(600, 200, 100), most=2500))

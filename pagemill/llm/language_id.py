@@ -37,7 +37,7 @@ SAMPLE, STEPS, SMOOTHING = 300, 3, 0.1
 NO_PIECE = 1e-7
 CUT = 32
 #: Distinct words that a worker remembers the scores of.
-KNOWN = 250_000
+KNOWN = 400_000
 
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -47,60 +47,113 @@ def stretches(word: str) -> list[str]:
     return [word[i : i + CUT] for i in range(0, len(word), CUT)]
 
 
+class PieceTable:
+    """The vocabulary as a hash table over numpy arrays: rolling hashes of all stretches of many words meet it at once."""
+
+    BASE, SLOTS = np.uint64(0x9E3779B97F4A7C15), 1 << 20
+
+    def __init__(self, pieces: list[str]):
+        self.size = len(pieces)
+        self.longest = max(map(len, pieces))
+        self.keys, self.values = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int64)
+        for i, piece in enumerate(pieces):
+            h = 0
+            for c in piece:
+                h = (h * int(self.BASE) + ord(c) + 1) & (1 << 64) - 1
+            slot = self.slot(np.array([h], np.uint64))[0]
+            while self.values[slot] >= 0:
+                slot = (slot + 1) % self.SLOTS
+            self.keys[slot], self.values[slot] = h, i
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The ids of the pieces with these hashes, -1 where there is none."""
+        slot = self.slot(h)
+        found = np.where(self.keys[slot] == h, self.values[slot], -1)
+        open_ = np.flatnonzero((found < 0) & (self.values[slot] >= 0))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) % self.SLOTS
+            at = slot[open_]
+            hit = self.keys[at] == h[open_]
+            found[open_[hit]] = self.values[at[hit]]
+            open_ = open_[~hit & (self.values[at] >= 0)]
+        return found
+
+
 class Lattices:
-    """The pieces that end at each place of each word. Column V of a probability table is an unknown character, V + 1 nothing."""
-
-    def __init__(self, words: list[str], ids: dict[str, int], longest: int):
-        self.length = np.array([len(w) for w in words])
-        v, top = len(ids), int(self.length.max(initial=0))
-        get = ids.get
-        self.ends = []  # by place: words that reach it and, by size, their pieces
-        for j in range(1, top + 1):
-            here = np.flatnonzero(self.length >= j)
-            sizes = range(1, min(j, longest) + 1)
-            found = [np.fromiter((get(words[i][j - size : j], v + 1) for i in here.tolist()), np.int64, len(here)) for size in sizes]
-            found[0][found[0] == v + 1] = v
-            self.ends.append((here, found))
+    """The pieces of words of one length: by place and size, the words that have one ending there, and which."""
+
+    def __init__(self, words: list[str], table: PieceTable):
+        self.n, self.length = len(words), len(words[0])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(self.n, self.length).astype(np.uint64) + np.uint64(1)
+        self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.length + 1)]
+        h = np.zeros((self.n, self.length + 1), np.uint64)
+        for size in range(1, min(self.length, table.longest) + 1):
+            h = h[:, :-1] * table.BASE + codes[:, size - 1 :]
+            ids = table.find(h.T.reshape(-1)).reshape(h.shape[1], self.n)
+            if size == 1:
+                ids = np.where(ids < 0, table.size, ids)  # a character that is no piece
+            for k in range(h.shape[1]):
+                rows = np.flatnonzero(ids[k] >= 0)
+                if len(rows):
+                    self.arcs[k + size].append((size, rows, ids[k, rows]))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Probability of each prefix: place x word x language."""
-        alpha = np.zeros((len(self.ends) + 1, len(self.length), p.shape[1]))
+        alpha = np.zeros((self.length + 1, self.n, p.shape[1]))
         alpha[0] = 1
-        for j, (here, found) in enumerate(self.ends, 1):
-            alpha[j, here] = sum(alpha[j - size, here] * p[piece] for size, piece in enumerate(found, 1))
+        for j in range(1, self.length + 1):
+            for size, rows, ids in self.arcs[j]:
+                alpha[j, rows] += alpha[j - size, rows] * p[ids]
         return alpha
 
     def expected(self, p: np.ndarray, times: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, given how often each word occurs in each language."""
         alpha, n = self.forward(p), np.zeros_like(p)
         beta = np.zeros_like(alpha)
-        rows = np.arange(len(self.length))
-        beta[self.length, rows] = times / np.maximum(alpha[self.length, rows], 1e-300)
-        for j in range(len(self.ends), 0, -1):
-            here, found = self.ends[j - 1]
-            for size, piece in enumerate(found, 1):
-                flow = p[piece] * beta[j, here]
-                np.add.at(n, piece, alpha[j - size, here] * flow)
-                beta[j - size, here] += flow
+        beta[-1] = times / np.maximum(alpha[-1], 1e-300)
+        for j in range(self.length, 0, -1):
+            for size, rows, ids in self.arcs[j]:
+                flow = p[ids] * beta[j, rows]
+                uses = alpha[j - size, rows] * flow
+                for k in range(p.shape[1]):
+                    n[:, k] += np.bincount(ids, uses[:, k], len(n))
+                beta[j - size, rows] += flow
         return n
 
-    def log_scores(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[self.length, np.arange(len(self.length))], 1e-300))
+
+def by_length(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
+    """Places of words of one length each, a bounded number at a time."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for places in np.split(order, cuts) if len(words) else ():
+        for i in range(0, len(places), most):
+            yield places[i : i + most]
+
+
+def log_scores(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(words), p.shape[1]))
+    for places in by_length(words):
+        out[places] = np.log(np.maximum(Lattices([words[i] for i in places], table).forward(p)[-1], 1e-300))
+    return out
 
 
 def with_fallback(p: np.ndarray) -> np.ndarray:
-    return np.vstack([p, np.full((1, p.shape[1]), NO_PIECE), np.zeros((1, p.shape[1]))])
+    """Probabilities with one more row, for a character that is no piece."""
+    return np.vstack([p, np.full((1, p.shape[1]), NO_PIECE)])
 
 
-def vocabulary(path: str) -> tuple[dict[str, int], int]:
-    pieces = [p for p in dict.fromkeys(read_pieces(path)) if p]
-    return {p: i for i, p in enumerate(pieces)}, max(map(len, pieces))
+def vocabulary(path: str) -> PieceTable:
+    return once(("vocabulary", path), lambda: PieceTable([p for p in dict.fromkeys(read_pieces(path)) if p]))
 
 
 def learn(texts: list[tuple[str, str]], path: str, steps: int = STEPS, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
     """The languages of (language, text) pairs, and piece x language probabilities."""
     languages = sorted({lang for lang, _ in texts})
-    ids, longest = once(("vocabulary", path), lambda: vocabulary(path))
+    table = vocabulary(path)
     counts = {lang: Counter() for lang in languages}
     for lang, text in texts:
         counts[lang].update(text.lower().split())
@@ -109,14 +162,11 @@ def learn(texts: list[tuple[str, str]], path: str, steps: int = STEPS, smoothing
         for word, n in counts[lang].items():
             for stretch in stretches(word):
                 times.setdefault(stretch, np.zeros(len(languages)))[k] += n
-    words = sorted(times, key=lambda w: (len(w), w))
-    p = np.full((len(ids), len(languages)), 1 / len(ids))
+    words = sorted(times)
+    lattices = [(Lattices([words[i] for i in places], table), np.array([times[words[i]] for i in places])) for places in by_length(words)]
+    p = np.full((table.size, len(languages)), 1 / table.size)
     for _ in range(steps):
-        n = np.zeros((len(ids) + 2, len(languages)))
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            n += Lattices(part, ids, longest).expected(with_fallback(p), np.array([times[w] for w in part]))
-        n = n[:-2] + smoothing
+        n = sum(lattice.expected(with_fallback(p), uses) for lattice, uses in lattices)[:-1] + smoothing if lattices else p
         p = n / n.sum(0)
     return languages, p
 
@@ -125,8 +175,7 @@ class WordScores:
     """Rows of a table of log-probabilities by word; a bounded number of words is remembered."""
 
     def __init__(self, path: str, p: np.ndarray):
-        self.ids, self.longest = once(("vocabulary", path), lambda: vocabulary(path))
-        self.p = with_fallback(p)
+        self.pieces, self.p = vocabulary(path), with_fallback(p)
         self.clear()
 
     def clear(self) -> None:
@@ -134,36 +183,47 @@ class WordScores:
         self.table = np.zeros((KNOWN, self.p.shape[1]))
 
     def add(self, words: set[str]) -> None:
-        new = sorted((w for w in words if w not in self.rows), key=lambda w: (len(w), w))
+        new = [*words.difference(self.rows)]
         if len(self.rows) + len(new) > len(self.table):
             self.clear()
-            new = sorted(words, key=lambda w: (len(w), w))
+            new = [*words]
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), self.p.shape[1]))
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            cut = [stretches(w.lower()) for w in part]
-            flat = [s for c in cut for s in c]
-            scores = Lattices(flat, self.ids, self.longest).log_scores(self.p)
-            at = len(self.rows)
-            self.table[at : at + len(part)] = np.add.reduceat(scores, np.cumsum([0, *map(len, cut[:-1])]), axis=0)
-            self.rows.update(zip(part, range(at, at + len(part))))
+        at = len(self.rows)
+        marked = [WORD + w for w in new]
+        long = [i for i, w in enumerate(marked) if len(w) > CUT]
+        if long:
+            cut = {i: stretches(new[i]) for i in long}
+            for i in long:
+                marked[i] = cut[i][0]
+        scores = log_scores(marked, self.pieces, self.p)
+        if long:
+            rest = [(i, x) for i in long for x in cut[i][1:]]
+            np.add.at(scores, [i for i, _ in rest], log_scores([x for _, x in rest], self.pieces, self.p))
+        self.table[at : at + len(new)] = scores
+        self.rows.update(zip(new, range(at, at + len(new))))
 
     def totals(self, texts: list[str]) -> np.ndarray:
-        """Text x language; texts come a bounded number of words at a time."""
+        """Text x language. Words meet the table a bounded number at a time."""
         out = np.zeros((len(texts), self.p.shape[1]))
+        held: list[tuple[int, list[str]]] = []
+        count = 0
         for i, text in enumerate(texts):
-            words = text.split()
+            words = text.lower().split()
             for k in range(0, len(words), 100_000):
-                part = words[k : k + 100_000]
-                try:
-                    rows = [*map(self.rows.__getitem__, part)]
-                except KeyError:
-                    self.add(set(part))
-                    rows = [*map(self.rows.__getitem__, part)]
-                out[i] += self.table[rows].sum(0)
+                held.append((i, words[k : k + 100_000]))
+                count += len(held[-1][1])
+                if count > 100_000:
+                    self._flush(held, out)
+                    held, count = [], 0
+        self._flush(held, out)
         return out
 
+    def _flush(self, held: list[tuple[int, list[str]]], out: np.ndarray) -> None:
+        self.add(set().union(*(words for _, words in held)))
+        for i, words in held:
+            out[i] += self.table[[*map(self.rows.__getitem__, words)]].sum(0)
+
 
 def _predict(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], path: str, languages: list[str], p: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     scorer = once(("word scores", path, tuple(languages), float(p.sum()), float((p * p).sum())), lambda: WordScores(path, p))
@@ -172,8 +232,6 @@ def _predict(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], path
         langs, scores = [], []
         for i in range(0, batch.num_rows, 512):
             texts = [t or "" for t in column.slice(i, 512).to_pylist()]
-            if sum(map(len, texts)) < 4_000_000:
-                scorer.add({w for t in texts for w in t.split()})
             totals = scorer.totals(texts)
             post = np.exp(totals - totals.max(1, keepdims=True))
             post /= post.sum(1, keepdims=True)

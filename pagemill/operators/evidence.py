@@ -22,13 +22,15 @@ def locate(items: DataFrame, pages: DataFrame, wanted: Column, prefix: int = 60,
     """page_no and confidence per item: the earliest page with the beginning of the text, else with its
     CJK characters, else the earliest page with the largest share of its n-grams, if that is enough."""
     low = tx.strip(F.lower(wanted))
-    page = F.lower(F.col("_page") if per_page is None else F.substring("_page", 1, per_page))
     cjk = lambda t: F.regexp_replace(t, f"[^{tx.CJK[1:-1]}]", "")
     grams = tx.ngrams(tx.strip(wanted), n)
     prepared = items.withColumns({"_start": F.substring(low, 1, prefix), "_cjk": F.substring(cjk(low), 1, 20), "_long": F.length(cjk(low)) >= 8, "_grams": grams}).where(F.length(wanted) >= least)
-    rows = candidates(prepared, pages)
-    share = F.size(F.array_intersect("_grams", tx.ngrams(page, n))) / F.nullif(F.size("_grams"), F.lit(0))
-    score = F.when(F.contains(page, F.col("_start")), 3.0).when(F.col("_long") & F.contains(cjk(page), F.col("_cjk")), 2.0).otherwise(share)
+    # a page is lower-cased and taken apart once, not once for each item
+    page = F.lower(F.col("text") if per_page is None else F.substring("text", 1, per_page))
+    book = pages.select("doc_id", "page_no", page.alias("_page")).select("*", tx.ngrams(F.col("_page"), n).alias("_of_page"))
+    rows = prepared.join(book, "doc_id")
+    share = F.size(F.array_intersect("_grams", "_of_page")) / F.nullif(F.size("_grams"), F.lit(0))
+    score = F.when(F.contains("_page", F.col("_start")), 3.0).when(F.col("_long") & F.contains(cjk(F.col("_page")), F.col("_cjk")), 2.0).otherwise(share)
     best = rows.groupBy(*ITEM).agg(F.max(F.struct(score.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"))
     conf = F.when(F.col("_b.s") == 3.0, 1.0).when(F.col("_b.s") == 2.0, 0.95).otherwise(F.col("_b.s"))
     return best.where(F.col("_b.s") >= threshold).select(*ITEM, (-F.col("_b.p")).alias("page_no"), conf.alias("confidence"))

@@ -173,7 +173,8 @@ add(
 
 def locate_sql(wanted: str, prefix: int, least: int, cap: int, threshold: float) -> str:
     return f"""prep AS (SELECT *, {strip_sql(f'lower({wanted})')} AS low, {grams_sql(wanted)} AS grams FROM items WHERE length({wanted}) >= {least}),
-  cand AS (SELECT i.doc_id, i.ord, p.page_no, CASE WHEN contains(lower(substring(p.text, 1, {cap})), substring(low, 1, {prefix})) THEN 3.0 ELSE len(list_intersect(grams, {grams_sql(f'substring(p.text, 1, {cap})')})) / nullif(CAST(len(grams) AS DOUBLE), 0) END AS s FROM prep i JOIN pages_d p USING (doc_id)),
+  book AS (SELECT doc_id, page_no, lower(substring(text, 1, {cap})) AS page, {grams_sql(f'substring(text, 1, {cap})')} AS of_page FROM pages_d),
+  cand AS (SELECT i.doc_id, i.ord, p.page_no, CASE WHEN contains(page, substring(low, 1, {prefix})) THEN 3.0 ELSE len(list_intersect(grams, of_page)) / nullif(CAST(len(grams) AS DOUBLE), 0) END AS s FROM prep i JOIN book p USING (doc_id)),
   best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY s DESC, page_no) AS k FROM cand),
   located AS (SELECT doc_id, ord, page_no, CASE WHEN s = 3.0 THEN 1.0 ELSE s END AS confidence FROM best WHERE k = 1 AND s >= {threshold})"""
 

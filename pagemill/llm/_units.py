@@ -7,6 +7,7 @@ The caches hold a bounded number of entries and live as long as the worker proce
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Callable, Hashable
 
 #: Two neighbouring white-space characters; such texts are split by the full pattern.
@@ -57,6 +58,30 @@ def spelled(unit: str) -> str:
     return unit if unit[:1] == "\n" else " " + unit
 
 
+def plain_matches(unit: str) -> list[str] | None:
+    """The matches of the usual byte-level pattern for a unit that is one word, or one word and a full stop or comma, behind a space.
+
+    ``isalpha`` is the pattern's class of letters. Other units are left to the pattern.
+    """
+    if unit.isalpha():
+        return [" " + unit]
+    if unit[-1:] in (".", ",") and unit[:-1].isalpha():
+        return [" " + unit[:-1], unit[-1]]
+    return None
+
+
+def shown(match: str, table: dict[int, str]) -> str:
+    """A match in the characters of byte-level vocabularies; printable ASCII but the space stands for itself."""
+    if match.isascii() and match.isprintable():
+        return match.replace(" ", table[32])
+    return match.encode().decode("latin-1").translate(table)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    """Ids as unsigned 32-bit little-endian numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def byte_characters() -> dict[int, str]:
     """The reversible table of byte-level vocabularies: printable bytes stand for themselves, the others follow from 256."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm._spark import Scratch
-from pagemill.llm._units import Cache, byte_characters, once, spelled, units
+from pagemill.llm._units import Cache, byte_characters, once, pack_ids, plain_matches, shown, spelled, units
 
 CAPACITY = 1024
 END = 2
@@ -49,20 +49,19 @@ class ByteLevel:
         self.model = self.whole.model
         self.char = byte_characters()
         self.find = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
-        self.known = Cache(self._unit)
+        self.known = Cache(self._unit, 300_000)
         self.pieces = Cache(self._match)
 
     def _match(self, match: str) -> bytes:
-        shown = match.encode().decode("latin-1").translate(self.char)
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(shown))
+        return pack_ids([t.id for t in self.model.tokenize(shown(match, self.char))])
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.find(spelled(unit))))
+        return b"".join(map(self.pieces.__getitem__, plain_matches(unit) or self.find(spelled(unit))))
 
     def encode(self, text: str) -> bytes:
         cut = units(text)
         if cut is None:
-            return b"".join(i.to_bytes(4, "little") for i in self.whole.encode(text, add_special_tokens=False).ids)
+            return pack_ids(self.whole.encode(text, add_special_tokens=False).ids)
         return b"".join([*map(self.pieces.__getitem__, self.find(cut[0])), *map(self.known.__getitem__, cut[1:])])
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._units import Cache, byte_characters, once, spelled, units
+from pagemill.llm._units import Cache, byte_characters, once, pack_ids, plain_matches, shown, spelled, units
 
 #: Rows whose ids are held at a time; their texts are at hand anyway.
 ROWS = 256
@@ -45,21 +45,19 @@ class ByteBpe:
         byte = {c: b for b, c in self.char.items()}
         merges, vocab, self.repeating = [], {}, set()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            vocab[self.shown(token)] = rank
+            vocab[token.decode("latin-1").translate(self.char)] = rank
             cuts = [i for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
-            merges += [(self.shown(token[:i]), self.shown(token[i:])) for i in cuts]
+            merges += [tuple(x.decode("latin-1").translate(self.char) for x in (token[:i], token[i:])) for i in cuts]
             # token = xy = yz with x and y of different lengths: in xyz two merges would overlap
             if any(len(token) - i in cuts and 2 * i != len(token) and token[i:] == token[: len(token) - i] for i in cuts):
                 self.repeating.add(token)
         self.longest = max(map(len, self.repeating), default=0)
+        self.starts = {token[:3] for token in self.repeating}
         self.model = BPE(vocab, merges, ignore_merges=True)
         self.bytes = {rank: bytes(byte[c] for c in shown) for shown, rank in vocab.items()}
-        self.known = Cache(self._unit)
+        self.known = Cache(self._unit, 300_000)
         self.pieces = Cache(self.encode_match)
 
-    def shown(self, raw: bytes) -> str:
-        return raw.decode("latin-1").translate(self.char)
-
     def merged(self, raw: bytes) -> list[int]:
         """The ids of a match by definition: join the leftmost pair of least rank until none has a rank."""
         ranks, n = self.ranks, len(raw)
@@ -85,21 +83,23 @@ class ByteBpe:
         raw = match.encode()
         if raw in self.ranks:
             return [self.ranks[raw]]
-        if any(raw[i:j] in self.repeating for i in range(len(raw) - 2) for j in range(i + 3, min(i + self.longest, len(raw)) + 1)):
-            return self.merged(raw)
-        return [t.id for t in self.model.tokenize(self.shown(raw))]
+        if not self.starts.isdisjoint([raw[i : i + 3] for i in range(len(raw) - 2)]):
+            if any(raw[i:j] in self.repeating for i in range(len(raw) - 2) for j in range(i + 3, min(i + self.longest, len(raw)) + 1)):
+                return self.merged(raw)
+        return [t.id for t in self.model.tokenize(shown(match, self.char))]
+
+    def _unit(self, unit: str) -> bytes:
+        return self.packed(plain_matches(unit) or self.find(spelled(unit)))
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        return tuple(i for m in self.find(spelled(unit)) for i in self.pieces[m])
+    def packed(self, matches: list[str]) -> bytes:
+        return pack_ids([i for m in matches for i in self.pieces[m]])
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers."""
         cut = units(text)
         if cut is None:
-            return [i for m in self.find(text) for i in self.pieces[m]]
-        ids = [i for m in self.find(cut[0]) for i in self.pieces[m]]
-        for found in map(self.known.__getitem__, cut[1:]):
-            ids += found
-        return ids
+            return self.packed(self.find(text))
+        return self.packed(self.find(cut[0])) + b"".join(map(self.known.__getitem__, cut[1:]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -109,7 +109,7 @@ def loaded(path: str, pattern: str) -> ByteBpe:
     return once(("byte bpe", path, pattern), lambda: ByteBpe(read_ranks(path), pattern))
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str, ends: bool) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
     bpe = loaded(path, pattern)
@@ -118,11 +118,11 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
             part = batch.slice(at, ROWS)
-            ids = [np.array(bpe.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
+            ids = [np.frombuffer(bpe.encode(t or ""), np.int32) for t in part.column(1).to_pylist()]
             cuts = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-            ends = [np.cumsum(sizes[x], dtype=np.int32) for x in ids]
-            lists = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x), pa.int32())) for x in (ids, ends)]
-            yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["_id", "ids", "ends"])
+            lists = [ids, [np.cumsum(sizes[x], dtype=np.int32) for x in ids]] if ends else [ids]
+            columns = [pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(x), pa.int32())) for x in lists]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["_id", "ids", "ends"][: 1 + len(lists)])
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
@@ -132,11 +132,12 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
         yield batch.append_column("decoded", pa.array([None if x is None else bpe.decode(x.tolist()) for x in (r.values.to_numpy() if r.is_valid else None for r in ids)], pa.binary()))
 
 
-def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The id of each row with ids (array of int) and ends (where each token ends, in bytes of the text)."""
+def bpe_encode(docs: DataFrame, path: str, pattern: str, ends: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The id of each row with ids (array of int) and, if asked for, ends (where each token ends, in bytes of the text)."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(partial(_encode, path=path, pattern=pattern), f"_id {kind}, ids array<int>, ends array<int>").withColumnRenamed("_id", id_col)
+    schema = f"_id {kind}, ids array<int>" + ", ends array<int>" * ends
+    return rows.mapInArrow(partial(_encode, path=path, pattern=pattern, ends=ends), schema).withColumnRenamed("_id", id_col)
 
 
 def bpe_decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -149,7 +150,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     which = {"path": P.path("byte_bpe_multi_50k.tiktoken"), "pattern": P.PATTERN}
-    encoded = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), **which).drop("ends")
+    encoded = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ends=False, **which)
     return bpe_decode(encoded, **which).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -24,7 +24,7 @@ import html as htmllib
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -55,6 +55,12 @@ privacy promo promoted promotion recommended related replies reply respond respo
 social sponsor sponsored subscribe subscription tagcloud teaser toolbar topbar trending warning widget widgets""".split())
 
 
+# Words after which, or before which, a name says how the page is laid out, and words for places.
+BEFORE = set("has have no non not with without".split())
+AFTER = set("active allowed closed disabled enabled free inactive off on open".split())
+PLACES = set("area bar bottom box block button buttons center col column container group holder icon inner item items left line lines link links list outer panel primary right row secondary section slot top unit wrap wrapper zone".split())
+
+
 class Block(NamedTuple):
     role: str
     text: str
@@ -67,28 +73,78 @@ class Page(NamedTuple):
     blocks: list[tuple[Block, int, int]]  # with their span in tokens
 
 
-def _apart(name: str, attributes: str, inside_main: bool) -> bool:
+@lru_cache(4096)
+def _named(value: str, inside_main: bool) -> int:
+    """What the words of a class, an id or a role say: 2, no part of an article; 1, perhaps none; 0, nothing."""
+    found = 0
+    for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+        words = [w for w in re.split(r"[_-]+", token) if w]
+        if inside_main and {*words} & {"header", "byline"}:
+            return 0
+        words = words[: next((i for i, w in enumerate(words) if w in BEFORE), len(words))]
+        names = [w in NAMES and not (i + 1 < len(words) and words[i + 1] in AFTER) for i, w in enumerate(words)]
+        while words and len(words) > 1 and (words[-1] in PLACES or words[-1].isdigit()):
+            words.pop()
+        if any(names):
+            found = max(found, 2 if names[len(words) - 1] else 1)
+    return found
+
+
+def _apart(name: str, attributes: str, inside_main: bool) -> tuple[bool, int]:
+    """Whether the element is no part of an article, and what its names say."""
     if name in APART or name == "header" and not inside_main:
-        return True
+        return True, 0
     if not attributes:
-        return False
+        return False, 0
+    named = 0
     for key, a, b, c in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), a or b or c
         if key in ("class", "id", "role"):
-            words = re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            if any(w in NAMES for w in words) and not (inside_main and {*words} & {"header", "byline"}):
-                return True
+            named = max(named, _named(value, inside_main))
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return True, 0
         elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return True, 0
+    return False, 0 if name in ("html", "body") else named
+
+
+class Element(NamedTuple):
+    label: str
+    apart: bool
+    main: bool  # inside an article or main element
+    article: bool  # inside an article
+    marks: tuple[int, ...]  # the names around it that may cut it off
+    holder: int  # the innermost main element, as a place in the list of them
+
+
+def _cutting(marks: list[int], blocks: list[tuple[tuple[int, ...], int]], articles: list[tuple[tuple[int, ...], bool]], mains: list[list]) -> set[int]:
+    """The marks that cut off what they stand on. ``blocks``: marks and words, of those that no element sets apart.
+
+    A name that only may be meant so cuts off no more than half of the words; no name cuts off the page's only articles.
+    """
+    total, held = sum(n for _, n in blocks), Counter()
+    for ids, n in blocks:
+        for k in ids:
+            held[k] += n
+    cutting = {k for k, sure in enumerate(marks) if sure == 2 or 2 * held[k] <= total}
+    found = [ids for ids, own in articles if not own] + [ids for ids, holds in mains if not holds] or [ids for ids, _ in articles]
+    if found:
+        left = [cutting.intersection(ids) for ids in found]
+        least = min(map(len, left))
+        for ids in left:
+            if len(ids) == least:
+                cutting -= ids
+    return cutting
 
 
 def parse(source: str) -> Page:
     tokens: list[str] = []
-    blocks: list[tuple[Block, int, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, apart, inside an article
+    blocks: list[tuple[str, str, Element, int, int]] = []
+    outside = Element("", False, False, False, (), -1)
+    stack: list[Element] = []
+    marks: list[int] = []
+    articles: list[tuple[tuple[int, ...], bool]] = []  # marks, and whether one is its own; none inside another or set apart
+    mains: list[list] = []  # marks, and whether an article is inside
     pending: list[str] = []
     skipped = 0  # depth of inline elements that are no part of an article
     role = ""
@@ -99,8 +155,7 @@ def parse(source: str) -> Page:
         if words:
             at = len(tokens)
             tokens.extend(f"{role} {w}" for w in words)
-            apart, main = stack[-1][1:] if stack else (False, False)
-            blocks.append((Block(role, " ".join(words), apart, main), at, len(tokens)))
+            blocks.append((role, " ".join(words), stack[-1] if stack else outside, at, len(tokens)))
 
     def leave(to: int) -> None:
         nonlocal role
@@ -141,22 +196,36 @@ def parse(source: str) -> Page:
                 if name in ("li", "dd", "dt", "td", "th", "tr") and stack and stack[-1][0].partition(".")[0] in ({"dd", "dt"} if name in ("dd", "dt") else {"td", "th"} if name in ("td", "th") else {name}):
                     leave(len(stack) - 1)
                 if name not in VOID:
-                    _, apart, main = stack[-1] if stack else ("", False, False)
+                    around = stack[-1] if stack else outside
                     label = re.search(r"""\bclass\s*=\s*["']?([\w-]+)""", attributes or "")
-                    stack.append((f"{name}.{label.group(1)}" if label else name, apart or _apart(name, attributes, main), main or name in MAIN))
+                    apart, named = _apart(name, attributes, around.main)
+                    apart = apart or around.apart
+                    held, holder = around.marks, around.holder
+                    if named:
+                        held = (*held, len(marks))
+                        marks.append(named)
+                    if name == "article" and not apart and not around.article:
+                        articles.append((held, bool(named)))
+                        if holder >= 0 and not named:
+                            mains[holder][1] = True
+                    elif name == "main" and not apart:
+                        holder = len(mains)
+                        mains.append([held, False])
+                    stack.append(Element(f"{name}.{label.group(1)}" if label else name, apart, around.main or name in MAIN, around.article or name == "article", held, holder))
                     role = "/".join(s[0] for s in stack)
                     tokens.append(f"<{role}>")
         elif name not in VOID:
             # inline elements cut no text, but some hold no part of the article
             if not close:
-                if skipped or _apart(name, attributes, True):
+                if skipped or any(_apart(name, attributes, True)):
                     inline.append(name)
                     skipped = len(inline)
             elif skipped and name in inline:
                 del inline[len(inline) - 1 - inline[::-1].index(name) :]
                 skipped = len(inline)
     flush()
-    return Page(tokens, blocks)
+    cutting = _cutting(marks, [(e.marks, b - a) for _, _, e, a, b in blocks if not e.apart], articles, mains) if marks else set()
+    return Page(tokens, [(Block(r, text, e.apart or not cutting.isdisjoint(e.marks), e.main), a, b) for r, text, e, a, b in blocks])
 
 
 def host_of(url):

@@ -147,3 +147,21 @@ def test_template_text_is_dropped(spark):
     assert got[50].text == "Our great site since 1999\n\nstory 50 about 350 things\n\nAll rights stay here"
     assert got[51].text == got[52].text == "" and got[53].n_chars == 5 * 50_000 - 1
     assert extract_text(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<body class="has-sidebar"><article><p>the story</p></article></body>',
+        '<body class="sidebar"><p>the story</p></body>',
+        '<div id="content-with-sidebar"><p>the story</p></div>',
+        '<article class="post comments-open"><p>the story</p></article>',
+        '<div class="share-enabled"><article><p>the story</p></article></div>',
+        '<div class="widget"><main><p>the story</p></main></div><div class="widget"><p>no</p></div>',
+        '<article><p>the story</p></article><section id="comments"><article class="comment"><p>no</p></article></section>',
+        '<div class="social-post"><p>the story</p></div><div class="sidebar-left"><p>no</p></div>',
+        '<main><div class="comments-wrapper"><article><p>the story</p></article></div></main>',
+    ],
+)
+def test_names_do_not_cut_off_the_article(html):
+    assert main_text(html, []) == "the story"

@@ -6,7 +6,9 @@ form an equivalence class (Arasu and Garcia-Molina, 2003). Classes that are larg
 pages and MIN_SHARE of the host's) come from the template. On a page a class is valid if its tokens stand there in
 the order they have on the host, and valid classes are nested into one template in page order. A vector is kept as a 64-bit
 signature, the exclusive or over pages of a hash of page and count, so that vectors are compared by an aggregation with
-partial results, however many pages a host has; nothing gathers a host's pages in one place.
+partial results, however many pages a host has; nothing gathers a host's pages in one place. Tokens are kept as 64-bit hashes.
+Copies are no evidence for a template: pages of a host that give the same text by roles alone are folded into one
+before anything is counted, so no page enters a signature twice.
 
 What lies between template tokens are the slots. A slot is extracted unless its role says that it is not the article:
 navigation, footers, sidebars, adverts, notices, forms, comments and the like, by element, ARIA role, class or id. If the
@@ -20,6 +22,7 @@ it has; urls without a host share one template; repeated rows come out repeatedl
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
 import re
 from collections import Counter
@@ -27,7 +30,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -233,48 +238,70 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token: pages, signature of the occurrence vector, sum of first places; added up within a batch."""
-    import xxhash
+def hashed(tokens: list[str]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t) - (1 << 63) for t in tokens]
+
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page: its host, digests of the text that roles alone give and of its tokens, its tokens by first place, how often each stands there."""
     for batch in batches:
-        found: dict[tuple[str, str], list[int]] = {}
-        for page, host, source in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            tokens = parse(source or "").tokens
-            first = {t: i for i, t in reversed([*enumerate(tokens)])}
+        rows = []
+        for host, source in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            page = parse(source or "")
+            counts = Counter(page.tokens)
+            text, whole = (hashlib.blake2b(x.encode("utf-8", "surrogatepass"), digest_size=16).digest() for x in (main_text(page, []), "\n".join(page.tokens)))
+            rows.append((host, text, whole, np.array(hashed([*counts]), "<i8").tobytes(), np.fromiter(counts.values(), "<u4", len(counts)).tobytes()))
+        kinds = pa.string(), *[pa.binary()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 5, kinds)], ["host", "article", "digest", "tokens", "counts"])
+
+
+def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per host and token: pages, signature of the occurrence vector, sum of ranks by first place; added up within a batch. A null token counts pages."""
+    for batch in batches:
+        found: dict[tuple[str, int | None], list[int]] = {}
+        for host, digest, tokens, counts in zip(*(batch.column(i).to_pylist() for i in range(4))):
             marks: dict[int, int] = {}
-            for token, n in Counter(tokens).items():
+            for rank, (token, n) in enumerate(zip(np.frombuffer(tokens, "<i8").tolist(), np.frombuffer(counts, "<u4").tolist())):
                 mark = marks.get(n)
                 if mark is None:
-                    mark = marks[n] = xxhash.xxh64_intdigest(f"{page} {n}") - (1 << 63)
-                entry = found.setdefault((host, token), [0, 0, 0])
-                entry[0] += 1
-                entry[1] ^= mark
-                entry[2] += first[token]
-            entry = found.setdefault((host, ""), [0, 0, 0])
-            entry[0] += 1
+                    mark = marks[n] = xxhash.xxh64_intdigest(digest + b" %d" % n) - (1 << 63)
+                entry = found.get((host, token))
+                if entry is None:
+                    found[host, token] = [1, mark, rank]
+                else:
+                    entry[0] += 1
+                    entry[1] ^= mark
+                    entry[2] += rank
+            found.setdefault((host, None), [0, 0, 0])[0] += 1
         for i in range(0, len(items := [*found.items()]), 50_000):
             part = items[i : i + 50_000]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in part]), pa.array([k[1] for k, _ in part]), *(pa.array([v[j] for _, v in part], pa.int64()) for j in range(3))],
+                [pa.array([k[0] for k, _ in part], pa.string()), pa.array([k[1] for k, _ in part], pa.int64()), *(pa.array([v[j] for _, v in part], pa.int64()) for j in range(3))],
                 ["host", "token", "pages", "signature", "places"],
             )
 
 
 def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """host, and its template: per token its class and mean place, in order of place. Hosts without a template are absent.
+    """host, and its template: per token (its hash) its class and mean place, in order of place. Hosts without a template are absent.
 
+    Pages of a host that give the same text by roles alone are copies and count as one, the one of the least digest.
     A host's template has at most 1 / MIN_SHARE times as many tokens as its pages have on average.
     """
+    seen = (
+        pages.mapInArrow(_folded, "host string, article binary, digest binary, tokens binary, counts binary")
+        .groupBy("host", "article").agg(F.min(F.struct("digest", "tokens", "counts")).alias("page"))
+    )
     tokens = scratch.save(
-        pages.mapInArrow(_vectors, "host string, token string, pages long, signature long, places long")
+        seen.select("host", "page.digest", "page.tokens", "page.counts").mapInArrow(_vectors, "host string, token long, pages long, signature long, places long")
         .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("signature").alias("signature"), F.sum("places").alias("places"))
-        .where((F.col("token") == "") | (F.col("pages") >= MIN_PAGES))
+        .where(F.col("token").isNull() | (F.col("pages") >= MIN_PAGES))
     )
-    size = tokens.where("token = ''").select("host", F.col("pages").alias("all"))
-    frequent = tokens.where("token <> ''").join(size, "host").where(F.col("pages") >= MIN_SHARE * F.col("all"))
+    size = tokens.where("token is null").select("host", F.col("pages").alias("all"))
+    frequent = tokens.where("token is not null").join(size, "host").where(F.col("pages") >= MIN_SHARE * F.col("all"))
     large = frequent.groupBy("host", "signature", "pages").agg(F.collect_list(F.struct((F.col("places") / F.col("pages")).alias("place"), "token")).alias("members")).where(F.size("members") >= MIN_SIZE)
-    return large.select("host", F.struct("signature", F.array_sort("members").alias("members")).alias("class")).groupBy("host").agg(F.collect_list("class").alias("template"))
+    # larger classes first, then by place, so that the order is the same in every run
+    ranked = large.select("host", F.struct((-F.size("members")).alias("size"), F.array_sort("members").alias("members")).alias("class"))
+    return ranked.groupBy("host").agg(F.array_sort(F.collect_list("class")).alias("template"))
 
 
 def valid_tokens(tokens: list[str], classes: list[list[str]]) -> set[str]:
@@ -292,15 +319,16 @@ def valid_tokens(tokens: list[str], classes: list[list[str]]) -> set[str]:
     return {t for t, (k, _) in wanted.items() if k in last and k not in broken}
 
 
-def main_text(source: str | None, classes: list[list[str]]) -> str:
-    page = parse(source or "")
-    template = valid_tokens(page.tokens, classes)
+def main_text(source: str | Page | None, classes: list[list[int]]) -> str:
+    page = source if isinstance(source, Page) else parse(source or "")
+    tokens = hashed(page.tokens) if classes else page.tokens
+    template = valid_tokens(tokens, classes)
     marked = any(b.main and not b.apart for b, _, _ in page.blocks)
     out = []
     for block, a, b in page.blocks:
         if block.apart or marked and not block.main:
             continue
-        if not block.main and all(t in template for t in page.tokens[a:b]):
+        if not block.main and all(t in template for t in tokens[a:b]):
             continue  # no slot: text of the template
         out.append(block.text)
     return "\n\n".join(out)
@@ -322,8 +350,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     scratch = Scratch(pages.sparkSession, "html-text")
     kind = pages.schema[id_col].dataType.simpleString()
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("_html"))
-    key = F.concat_ws(" ", F.col("_id").cast("string"), "_url")
-    found = scratch.save(templates(rows.select(key.alias("page"), "host", "_html"), scratch))
+    found = scratch.save(templates(rows.select("host", "_html"), scratch))
     weight = found.agg(F.sum(F.length(F.to_json("template")))).first()[0] or 0
     joined = rows.join(F.broadcast(found) if weight <= BROADCAST_BYTES else found, "host", "left").select("_id", "_url", "host", "_html", "template")
     texts = joined.mapInArrow(_extract, f"_id {kind}, _url string, text string")

@@ -165,3 +165,22 @@ def test_template_text_is_dropped(spark):
 )
 def test_names_do_not_cut_off_the_article(html):
     assert main_text(html, []) == "the story"
+
+
+def texts(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    return {(r.page_id, r.url): r.text for r in extract_text(pages).collect()}
+
+
+FRAME = "<html><body><div>Our great site since 1999</div><div>%s</div><div>All rights stay here</div></body></html>"
+
+
+def test_copies_are_no_evidence_for_a_template(spark):
+    story = FRAME % "<h1>Rare heading</h1><p>every word stands here once only</p>"
+    rows = [(i, "http://mirror.example/%d" % i, story) for i in range(12)]
+    rows += [(20 + i, "http://mirror.example/%d" % i, FRAME % f"<p>other{i} tale{i}</p>") for i in range(4)]
+    got = texts(spark, rows)
+    assert all(got[i, "http://mirror.example/%d" % i] == "Rare heading\n\nevery word stands here once only" for i in range(12))
+    assert got[21, "http://mirror.example/1"] == "other1 tale1"
+    alone = texts(spark, rows[:12])
+    assert set(alone.values()) == {"Our great site since 1999\n\nRare heading\n\nevery word stands here once only\n\nAll rights stay here"}

@@ -184,3 +184,13 @@ def test_copies_are_no_evidence_for_a_template(spark):
     assert got[21, "http://mirror.example/1"] == "other1 tale1"
     alone = texts(spark, rows[:12])
     assert set(alone.values()) == {"Our great site since 1999\n\nRare heading\n\nevery word stands here once only\n\nAll rights stay here"}
+
+
+def test_a_doubled_table_gives_the_same_texts(spark):
+    rows = []
+    for i in range(12):
+        extra = "<p>read more of this here</p>" * (i % 3)
+        rows.append((None if i % 2 else i, "http://host.example/" + str(i) * (i % 2), FRAME % f"<p>story{i} tells of{i * 7}</p>{extra}"))
+    once = texts(spark, rows)
+    assert texts(spark, rows + rows) == once
+    assert all(t.startswith("story") and "rights" not in t for t in once.values())

@@ -4,17 +4,18 @@ A page is a sequence of tokens: block tags and words, each told apart by its rol
 around it. The occurrence vector of a token says how often each page of the host has it. Tokens with the same vector
 form an equivalence class (Arasu and Garcia-Molina, 2003). Classes that are large (MIN_SIZE tokens) and frequent (at least MIN_PAGES
 pages and MIN_SHARE of the host's) come from the template. On a page a class is valid if its tokens stand there in
-the order they have on the host, and valid classes are nested into one template in page order. A vector is kept as a 64-bit
+the order they have on the host, over and over; valid classes are nested into one template, larger ones outside, smaller
+ones broken up by the gaps they stand in. A vector is kept as a 64-bit
 signature, the exclusive or over pages of a hash of page and count, so that vectors are compared by an aggregation with
 partial results, however many pages a host has; nothing gathers a host's pages in one place. Tokens are kept as 64-bit hashes.
 Copies are no evidence for a template: pages of a host that give the same text by roles alone are folded into one
 before anything is counted, so no page enters a signature twice.
 
-What lies between template tokens are the slots. A slot is extracted unless its role says that it is not the article:
-navigation, footers, sidebars, adverts, notices, forms, comments and the like, by element, ARIA role, class or id. If the
-template (or the page) marks an article or main element, slots outside of it are dropped. Blocks made of template
-words alone, outside of an article, are the template's own text and are dropped. Hosts with too few pages
-have no template; roles alone decide there.
+What lies between template tokens are the slots: a block with a word that is not the template's is taken whole, and blocks
+of template words alone are the template's own text and are dropped, inside of an article element too. Roles are a filter
+on the slots: one is extracted unless its role says that it is not the article: navigation, footers, sidebars, adverts,
+notices, forms, comments and the like, by element, ARIA role, class or id. If the page marks an article or main element,
+slots outside of it are dropped. Hosts with too few pages have no template; roles alone decide there.
 
 Defined results: null and empty html give an empty text; character references are decoded; a page that breaks off keeps what
 it has; urls without a host share one template; repeated rows come out repeatedly.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import hashlib
 import html as htmllib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -304,34 +306,62 @@ def templates(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return ranked.groupBy("host").agg(F.array_sort(F.collect_list("class")).alias("template"))
 
 
-def valid_tokens(tokens: list[str], classes: list[list[str]]) -> set[str]:
-    """The template tokens of the classes that are valid on this page: its tokens of the class in the class's order, over and over."""
-    wanted = {t: (k, i) for k, members in enumerate(classes) for i, t in enumerate(members)}
-    last: dict[int, int] = {}
-    broken: set[int] = set()
-    for t in tokens:
-        place = wanted.get(t)
-        if place:
-            k, i = place
-            if k in last and i < last[k] and i != 0:
-                broken.add(k)
-            last[k] = i
-    return {t for t, (k, _) in wanted.items() if k in last and k not in broken}
+def nested_places(tokens: list, classes: list[list]) -> set[int]:
+    """Where on this page the tokens of its template stand: the valid classes, nested into one another.
+
+    A class is valid if its tokens stand here in the class's order, over and over. Larger classes come first. A smaller one is
+    broken up where tokens of the template stand between its own; a token of it belongs to the template if all its
+    occurrences stand in the same gap, between the same two tokens of the same class or part.
+    """
+    wanted = {t for members in classes for t in members}
+    where: dict = {}
+    for at, t in enumerate(tokens):
+        if t in wanted:
+            where.setdefault(t, []).append(at)
+    places: list[int] = []  # of the template so far, ascending
+    gaps: list[tuple | None] = []  # the gap that begins behind each
+    parts = 0
+    for members in sorted(classes, key=len, reverse=True):
+        spots = [where.get(t, ()) for t in members]
+        n = len(spots[0])
+        if not n or any(len(s) != n for s in spots):
+            continue
+        flat = [s[r] for r in range(n) for s in spots]
+        if any(a >= b for a, b in zip(flat, flat[1:])):
+            continue
+        ranks = [[bisect_left(places, at) for at in s] for s in spots]
+        around = [{gaps[r - 1] if r else None for r in s} for s in ranks]
+        new: list[tuple[int, tuple | None]] = []
+        i = 0
+        while i < len(members):
+            j = i + 1
+            if len(around[i]) == 1:
+                while j < len(members) and ranks[j] == ranks[i]:
+                    j += 1
+                (outer,) = around[i]
+                for k in range(i, j):
+                    gap = outer if k == j - 1 else (parts, k)
+                    new += [(at, gap) for at in spots[k]]
+                parts += 1
+            i = j
+        if new:
+            both = sorted([*zip(places, gaps), *new], key=lambda x: x[0])
+            places, gaps = [x[0] for x in both], [x[1] for x in both]
+    return {*places}
+
+
+def valid_tokens(tokens: list, classes: list[list]) -> set:
+    """The tokens of the page's nested template."""
+    return {tokens[at] for at in nested_places(tokens, classes)}
 
 
 def main_text(source: str | Page | None, classes: list[list[int]]) -> str:
     page = source if isinstance(source, Page) else parse(source or "")
-    tokens = hashed(page.tokens) if classes else page.tokens
-    template = valid_tokens(tokens, classes)
+    template = nested_places(hashed(page.tokens), classes) if classes else set()
     marked = any(b.main and not b.apart for b, _, _ in page.blocks)
-    out = []
-    for block, a, b in page.blocks:
-        if block.apart or marked and not block.main:
-            continue
-        if not block.main and all(t in template for t in tokens[a:b]):
-            continue  # no slot: text of the template
-        out.append(block.text)
-    return "\n\n".join(out)
+    # slots first: blocks with a word that is not the template's; roles then say which slots are the article
+    slots = [block for block, a, b in page.blocks if not all(at in template for at in range(a, b))]
+    return "\n\n".join(block.text for block in slots if not block.apart and (block.main or not marked))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -194,3 +194,17 @@ def test_a_doubled_table_gives_the_same_texts(spark):
     once = texts(spark, rows)
     assert texts(spark, rows + rows) == once
     assert all(t.startswith("story") and "rights" not in t for t in once.values())
+
+
+def test_template_text_inside_the_article_is_dropped(spark):
+    page = "<html><body><article><h1>title%d</h1><p>Share this story with friends</p><p>tale%d about the %d</p><p>Subscribe to our letter today</p></article></body></html>"
+    got = texts(spark, [(i, "http://host.example/%d" % i, page % (i, i, i * 7)) for i in range(12)])
+    assert all(got[i, "http://host.example/%d" % i] == f"title{i}\n\ntale{i} about the {i * 7}" for i in range(12))
+
+
+def test_classes_are_nested():
+    outer, inner = ["a", "b", "c", "d"], ["x", "y", "z"]
+    assert valid_tokens("a x y z b x y z c d".split(), [inner, outer]) == {*outer}  # in two gaps of the outer class
+    assert valid_tokens("a b x 1 y z x 2 y z c d".split(), [inner, outer]) == {*outer, *inner}
+    assert valid_tokens("a x b y z c d".split(), [inner, outer]) == {*outer, *inner}  # broken up
+    assert valid_tokens("a x z y b c d".split(), [inner, outer]) == {*outer}

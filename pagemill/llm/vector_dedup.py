@@ -6,10 +6,15 @@ WINDOW successors; pairs at the threshold or above are links, and passes are uni
 come from one range-partitioned sort of all passes, so windows reach across partitions: each stretch of BLOCK places is
 compared together with the WINDOW places behind it.
 
+One round of PASSES passes finds few of the links in a crowded region, whose vectors share beginnings with very many others. So
+rounds go on, of MORE passes each with other hyperplanes and windows of WIDEST places, until a round unites no two
+components; there is one more round at least. A link that a round would find with probability p escapes the last one with 1 - p: what is left is a few
+links, whatever the number of vectors, unless p is small. If one window holds all vectors, the first round is exact and the last.
+
 The windows bound the comparisons, not the partners. Equal vectors are folded into one before the passes and counted by their
 number. Within each component every pair is then compared in blocks, of which only counts are kept, so n_links is exact for all
 pairs inside a component however dense it is; a dense component costs arithmetic, not rows. A pair is missed only if
-no pass brings together any chain of links between its two components.
+no pass of any round brings together any chain of links between its two components.
 
 Cosines are in double precision. Vectors that are null or zero, or hold null or non-finite components, link with nothing; so do
 vectors of different lengths with each other. Null ids are larger than none; repeated rows come out repeatedly.
@@ -33,10 +38,12 @@ from pagemill.llm.components import Forest, components, links_batch
 THRESHOLD = 0.9
 #: Passes, bits of a pass's key, successors compared, places of a stretch, members of a block.
 PASSES, KEY_BITS, WINDOW, BLOCK, MEMBERS = 20, 62, 64, 2048, 512
+#: Passes and successors compared of each later round.
+MORE, WIDEST = 10, 1024
 
 
-def planes(dim: int, passes: int, seed: int = 11) -> np.ndarray:
-    return np.random.default_rng([seed, dim]).normal(size=(dim, passes * KEY_BITS))
+def planes(dim: int, passes: int, seed: int = 11, turn: int = 0) -> np.ndarray:
+    return np.random.default_rng([seed, dim, turn] if turn else [seed, dim]).normal(size=(dim, passes * KEY_BITS))
 
 
 def _valid(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
@@ -62,14 +69,14 @@ def unit(raws: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(batches: Iterator[pa.RecordBatch], kind: str, passes: int) -> Iterator[pa.RecordBatch]:
+def _keys(batches: Iterator[pa.RecordBatch], kind: str, passes: int, turn: int) -> Iterator[pa.RecordBatch]:
     """A row per pass and vector: the pass, the vector's length, the bits as a number, and the vector."""
     weights = 1 << np.arange(KEY_BITS - 1, -1, -1, dtype=np.int64)
     for batch in batches:
         nodes, raws = batch.column(0).to_numpy(), batch.column(1).to_pylist()
         for dim in sorted({len(r) // np.dtype(kind).itemsize for r in raws}):
             mine = [i for i, r in enumerate(raws) if len(r) // np.dtype(kind).itemsize == dim]
-            hyper = planes(dim, passes)
+            hyper = planes(dim, passes, turn=turn)
             for at in range(0, len(mine), 1024):
                 part = mine[at : at + 1024]
                 bits = (unit([raws[i] for i in part], kind) @ hyper > 0).reshape(len(part), passes, KEY_BITS)
@@ -130,17 +137,9 @@ def _counts(batches: Iterator[pa.RecordBatch], kind: str, threshold: float) -> I
     yield links_batch([*found.items()])
 
 
-def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
-    """Per row of ``vectors``: the id, n_links, component_id (the smallest id reachable) and kept (whether it is the id)."""
-    scratch = Scratch(vectors.sparkSession, "vectors")
-    id_kind = vectors.schema[id_col].dataType.simpleString()
-    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
-    rows = scratch.save(vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).mapInArrow(partial(_valid, kind=kind), f"_id {id_kind}, _key binary, _raw binary"))
-    distinct = scratch.save(
-        rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"), F.first("_raw").alias("_raw"))
-        .withColumn("_node", F.monotonically_increasing_id())
-    )
-    keyed = distinct.select("_node", "_raw").mapInArrow(partial(_keys, kind=kind, passes=passes), "_pass int, _dim int, _bits long, _node long, _raw binary")
+def _round(distinct: DataFrame, scratch: Scratch, kind: str, threshold: float, passes: int, window: int, block: int, turn: int) -> DataFrame:
+    """The links (u, v) that one round of passes finds, as spanning forests of its stretches."""
+    keyed = distinct.select("_node", "_raw").mapInArrow(partial(_keys, kind=kind, passes=passes, turn=turn), "_pass int, _dim int, _bits long, _node long, _raw binary")
     ordered = scratch.save(keyed.orderBy("_pass", "_dim", "_bits", "_node").withColumn("_at", F.monotonically_increasing_id()))
     # places without gaps: a partition's number is in the upper bits, and there is a row per partition
     part = F.shiftright("_at", 33)
@@ -151,8 +150,31 @@ def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reach = F.col("_place") % block < window
     placed = placed.withColumn("_stretch", F.explode(F.when(reach & (stretch > 0), F.array(stretch, stretch - 1)).otherwise(F.array(stretch))))
     placed = placed.withColumn("_own", F.col("_stretch") == stretch)
-    links = placed.repartition("_stretch").sortWithinPartitions("_stretch").mapInArrow(partial(_windows, kind=kind, window=window, threshold=threshold), "u long, v long")
-    labels = scratch.save(components(links, scratch))
+    links = scratch.save(placed.repartition("_stretch").sortWithinPartitions("_stretch").mapInArrow(partial(_windows, kind=kind, window=window, threshold=threshold), "u long, v long"))
+    scratch.drop(ordered)
+    return links
+
+
+def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
+    """Per row of ``vectors``: the id, n_links, component_id (the smallest id reachable) and kept (whether it is the id)."""
+    scratch = Scratch(vectors.sparkSession, "vectors")
+    id_kind = vectors.schema[id_col].dataType.simpleString()
+    kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
+    rows = scratch.save(vectors.select(F.col(id_col).alias("_id"), F.col(vector_col).alias("_v")).mapInArrow(partial(_valid, kind=kind), f"_id {id_kind}, _key binary, _raw binary"))
+    distinct = scratch.save(
+        rows.where("_key is not null").groupBy("_key").agg(F.min("_id").alias("_least"), F.count(F.lit(1)).alias("_copies"), F.first("_raw").alias("_raw"))
+        .withColumn("_node", F.monotonically_increasing_id())
+    )
+    count = distinct.count()
+    labels, joined, turn = None, -1, 0
+    while True:
+        links = _round(distinct, scratch, kind, threshold, passes if turn == 0 else MORE, window, max(block, 4 * window), turn)
+        labels, old = scratch.save(components(links if labels is None else links.union(labels.toDF("u", "v")), scratch)), labels
+        scratch.drop(links, old)
+        now = labels.where("node <> label").count()  # as many as links that a spanning forest has
+        if now == joined or count <= window:
+            break
+        joined, turn, window = now, turn + 1, max(window, WIDEST)
 
     sizes = scratch.save(labels.groupBy("label").agg(F.count(F.lit(1)).alias("_n")))
     blocked = labels.join(sizes, "label").withColumn("_blocks", F.ceil(F.col("_n") / members)).withColumn("_block", F.pmod(F.xxhash64("node"), F.col("_blocks")))

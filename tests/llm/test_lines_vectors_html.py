@@ -208,3 +208,14 @@ def test_classes_are_nested():
     assert valid_tokens("a b x 1 y z x 2 y z c d".split(), [inner, outer]) == {*outer, *inner}
     assert valid_tokens("a x b y z c d".split(), [inner, outer]) == {*outer, *inner}  # broken up
     assert valid_tokens("a x z y b c d".split(), [inner, outer]) == {*outer}
+
+
+def test_links_in_a_crowded_region_are_found(spark):
+    rng = random.Random(8)
+    middle = [rng.gauss(0, 1) for _ in range(16)]
+    near = lambda v, s: [x + rng.gauss(0, s) for x in v]
+    rows = [(i, near(middle, 0.65)) for i in range(400)]
+    rows += [(1000 + i, near(rows[i][1], 0.3)) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup(vectors, passes=1, window=2).collect())
+    assert got == plain_links(rows)

@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame that is written and
 read again before the next stage. All but the last return the columns of ``documents``.
 
-Rows with a null id are kept by the SimHash stage, since nothing names them; rows that share an id share its fate there.
+The SimHash stage works on rows, not on ids: of a group it keeps one row, whatever ids are null or shared in it.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from pagemill.llm.simhash import simhash_dedup
 
 #: A text stays if its best language holds at least this share of the posterior.
 LANGUAGE_SHARE = 0.5
+#: A row's number within the SimHash stage.
+ROW = "_simhash_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +46,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id."""
-    classes = simhash_dedup(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(classes.hint("shuffle_hash"), docs["doc_id"] == F.col("_kept"), "left_semi")
-    return kept.union(docs.where(F.col("doc_id").isNull()))
+    """Of each group of near-duplicates one row: that of the smallest id, null ids last, and of rows that share it any one."""
+    scratch = Scratch(spark, "near-copies")
+    # written, so that a row has the same number whenever it is read
+    numbered = scratch.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
+    order = numbered.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("_order"))
+    groups = simhash_dedup(numbered, id_col=ROW).select(F.col(ROW), F.col("component_id").alias("_group"))
+    first = groups.join(order, ROW).groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col(f"_least.{ROW}").alias("_kept"))
+    return numbered.join(first.hint("shuffle_hash"), numbered[ROW] == F.col("_kept"), "left_semi").select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

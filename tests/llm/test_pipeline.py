@@ -67,3 +67,13 @@ def test_odd_tables(spark):
             assert out.columns == docs.columns
             out.collect()
         corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    text = " ".join(f"word{i}" for i in range(400))
+    near = text + " more"
+    rows = [(None, text)] * 5 + [(7, text)] * 3 + [(3, near), (3, text)] + [(None, "quite another text")] * 4 + [(9, "a third text stands here alone"), (9, "and a fourth one is not like it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = corpus_pipeline.drop_near_copies(spark, docs, DATA).collect()
+    assert sorted((str(r.doc_id) for r in got)) == ["3", "9", "9", "None"]
+    assert {r.text for r in got} >= {"quite another text", "a third text stands here alone", "and a fourth one is not like it"}

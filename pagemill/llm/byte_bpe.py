@@ -150,7 +150,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     which = {"path": P.path("byte_bpe_multi_50k.tiktoken"), "pattern": P.PATTERN}
-    encoded = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), ends=False, **which)
+    encoded = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), **which)
     return bpe_decode(encoded, **which).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -177,3 +177,16 @@ def test_token_counts(spark):
         words = (text or "").split()
         want[i, len(words), sum(seen.setdefault(w, plain_count("▁" + w, scores)) if len(w) < 1000 else token_counts.Trie(scores).insert("▁" + w) for w in words)] += 1
     assert got == want
+
+
+def test_the_registered_query_computes_the_ends(spark, monkeypatch):
+    from pagemill.llm import byte_bpe
+
+    made = []
+    encode = byte_bpe.bpe_encode
+    monkeypatch.setattr(byte_bpe, "bpe_encode", lambda *a, **b: made.append(encode(*a, **b)) or made[-1])
+    byte_bpe.op8_byte_bpe(spark, "/root/testdata/sf0.001")
+    assert "ends" in made[0].columns
+    docs = {r.doc_id: len((r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = made[0].collect()
+    assert len(rows) == len(docs) and all(len(r.ends) == len(r.ids) and (r.ends[-1] if r.ends else 0) == docs[r.doc_id] for r in rows)

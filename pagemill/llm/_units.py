@@ -6,10 +6,13 @@ The caches hold a bounded number of entries and live as long as the worker proce
 
 from __future__ import annotations
 
+import ctypes
 import re
 import struct
 from collections.abc import Callable, Hashable
 
+import pyarrow as pa
+
 #: Two neighbouring white-space characters; such texts are split by the full pattern.
 _RUNS = re.compile(r"[\s\x85]{2}")
 
@@ -37,12 +40,22 @@ _KEPT: dict[Hashable, object] = {}
 
 
 def once(key: Hashable, make: Callable[[], object]):
-    """The worker's own copy of something costly to build."""
+    """The worker's own copy of something costly to build. One is kept: what another operator built goes first."""
     if key not in _KEPT:
+        _KEPT.clear()
+        trim()
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def trim() -> None:
+    """Gives freed memory back to the system, so that idle workers leave it to others; where the C library can't, it stays."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release:
+        release(0)
+
+
 def units(text: str) -> list[str] | None:
     """``text`` cut before each space and newline, or None if it has runs of white space.
 

@@ -2,10 +2,13 @@
 
 import math
 import random
+from collections import Counter
 
 import duckdb
 import pytest
 
+from pagemill.llm import html_text
+from pagemill.llm._spark import Scratch
 from pagemill.llm.html_text import extract_text, main_text, valid_tokens
 from pagemill.llm.line_dedup import OP2_SQL, line_dedup
 from pagemill.llm.vector_dedup import OP5_SQL, vector_dedup
@@ -219,3 +222,53 @@ def test_links_in_a_crowded_region_are_found(spark):
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
     got = sorted((r.vec_id, r.n_links, r.component_id) for r in vector_dedup(vectors, passes=1, window=2).collect())
     assert got == plain_links(rows)
+
+
+def plain_templates(rows):
+    """Occurrence vectors kept as such, and their classes by host: what ``templates`` must find in signatures."""
+    hosts = {}
+    for host, html in rows:
+        hosts.setdefault(host, {}).setdefault(main_text(html, []), []).append(html_text.parse(html))
+    found = {}
+    for host, articles in hosts.items():
+        pages = [min(copies, key=lambda p: p.digest()).tokens().tolist() for copies in articles.values()]
+        counts = [Counter(p) for p in pages]
+        classes = {}
+        for token in {t for c in counts for t in c}:
+            vector = tuple(c[token] for c in counts)
+            if sum(map(bool, vector)) >= max(html_text.MIN_PAGES, html_text.MIN_SHARE * len(pages)):
+                places = [[*dict.fromkeys(p)].index(token) for p in pages if token in p]
+                classes.setdefault(vector, []).append((sum(places) / len(places), token))
+        found[host] = {tuple(t for _, t in sorted(c)) for c in classes.values() if len(c) >= html_text.MIN_SIZE}
+    return {h: c for h, c in found.items() if c}
+
+
+@pytest.mark.parametrize("chunk", [8, 512])
+def test_templates_match_whole_occurrence_vectors(spark, monkeypatch, chunk):
+    rng = random.Random(chunk)
+    monkeypatch.setattr(html_text, "CHUNK", chunk)  # hosts over several groups, which are smaller than SURE
+    rows = []
+    for host, n in (("a", 3), ("b", 5), ("c", 40), ("d", 23)):
+        for i in range(n):
+            aside = "<div>also read this now</div>" * rng.choice((0, 1, 2))
+            text = " ".join(rng.choice(WORDS) for _ in range(rng.randrange(3, 30)))
+            rows.append((host, FRAME % f"<h1>Head{i}</h1><p>{text}</p>{aside}<ul><li>one</li><li>two</li></ul>"))
+    rows += rows[10:20] + [("e", ""), ("e", None), ("e", "<p>x")]
+    pages = spark.createDataFrame(rows, "host string, _html string").repartition(3)
+    got = {r.host: {tuple(c) for c in r.template} for r in html_text.templates(pages, Scratch(spark, "t")).collect()}
+    assert got == plain_templates([(h, t or "") for h, t in rows])
+
+
+def test_what_is_nested_in_skipped_elements_is_skipped():
+    skipped = "<noscript><p>no</p></noscript><template><div>no</div></template><button><p>no</p></button><span class='comments'><p>no</p><p>no</p></span>"
+    assert main_text(f"<article><p>one</p>{skipped}<p>two</p></article>", []) == "one\n\ntwo"
+    assert main_text("<div><span class='ad'>no</div><p>after one left open</p>", []) == "after one left open"
+    assert main_text("<p>a <label>no<p>b", []) == "a\n\nb"
+
+
+def test_deep_and_long_pages():
+    deep = 100_000
+    assert main_text("<div>" * deep + "x" + "</div>" * deep + "<p>y", []) == "x\n\ny"
+    assert main_text("<div class='ad'>" * deep + "x" + "</div>" * deep + "<p>y", []) == "y"
+    assert main_text("<p>" + "</b>" * deep + "x" + "</i>" * deep, []) == "x"
+    assert len(main_text("<p>" + "word " * 500_000, [])) == 5 * 500_000 - 1

@@ -20,7 +20,7 @@ _RUNS = re.compile(r"[\s\x85]{2}")
 class Cache(dict):
     """A dict that makes missing values; of two generations the older goes when the younger is full."""
 
-    def __init__(self, make: Callable, limit: int = 200_000):
+    def __init__(self, make: Callable, limit: int = 150_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -28,11 +28,12 @@ class Cache(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if len(key) > 200:  # a unit can be a whole text without spaces
+                return value
         if len(self) >= self.limit:
             self.old = dict(self)
             self.clear()
-        if len(key) <= 200:  # a unit can be a whole text without spaces
-            self[key] = value
+        self[key] = value
         return value
 
 
@@ -71,18 +72,6 @@ def spelled(unit: str) -> str:
     return unit if unit[:1] == "\n" else " " + unit
 
 
-def plain_matches(unit: str) -> list[str] | None:
-    """The matches of the usual byte-level pattern for a unit that is one word, or one word and a full stop or comma, behind a space.
-
-    ``isalpha`` is the pattern's class of letters. Other units are left to the pattern.
-    """
-    if unit.isalpha():
-        return [" " + unit]
-    if unit[-1:] in (".", ",") and unit[:-1].isalpha():
-        return [" " + unit[:-1], unit[-1]]
-    return None
-
-
 def shown(match: str, table: dict[int, str]) -> str:
     """A match in the characters of byte-level vocabularies; printable ASCII but the space stands for itself."""
     if match.isascii() and match.isprintable():

@@ -12,7 +12,9 @@ Pieces then find their places by their rank among the pieces of their length: ra
 sums over partitions, and the plan, a few thousand runs of ranks, is a broadcast table whose size depends on the capacity only.
 
 A document is its token ids and one closing id; those longer than a sequence are cut into full pieces behind a first
-piece that may be shorter. Null texts are empty: a document of the closing id alone. Repeated rows are packed repeatedly.
+piece that may be shorter. Null texts are empty: a document of the closing id alone; special tokens spelled out in a text are
+what the library makes of them. Repeated rows are packed repeatedly and null ids stay null; an empty table gives no rows. A very
+long text is encoded in one task and cut into as many pieces as it needs. Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._spark import Scratch
-from pagemill.llm._units import Cache, byte_characters, once, pack_ids, plain_matches, shown, spelled, units
+from pagemill.llm._spark import Scratch, short_batches
+from pagemill.llm._units import Cache, byte_characters, once, pack_ids, shown, spelled, units
 
 CAPACITY = 1024
 END = 2
@@ -38,31 +40,43 @@ Pattern = tuple[tuple[int, int], ...]
 
 
 class ByteLevel:
-    """Ids of a byte-level tokenizer file as unsigned 32-bit little-endian bytes."""
+    """Ids of a byte-level tokenizer file as unsigned 32-bit little-endian bytes, as the library gives them."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model = self.whole.model
+        self.tokenize = self.whole.model.tokenize
+        # texts that hold one of these strings are left to the library
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.char = byte_characters()
+        self.packed = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
+        self.space = self.char[32]
+        self.ends = {c: self._match(c) for c in ".,"}
         self.find = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
-        self.known = Cache(self._unit, 300_000)
-        self.pieces = Cache(self._match)
+        self.known = Cache(self._unit)
 
     def _match(self, match: str) -> bytes:
-        return pack_ids([t.id for t in self.model.tokenize(shown(match, self.char))])
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(shown(match, self.char))])
 
     def _unit(self, unit: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, plain_matches(unit) or self.find(spelled(unit))))
+        """Of a unit other than the first; one word, or one word and a full stop or comma, is the usual case."""
+        packed, tail = self.packed, b""
+        word = unit
+        if word[-1:] in self.ends:
+            word, tail = word[:-1], self.ends[word[-1]]
+        if word.isalpha():  # the pattern's class of letters
+            text = self.space + word if word.isascii() else shown(" " + word, self.char)
+            return b"".join([packed[t.id] for t in self.tokenize(text)]) + tail
+        return b"".join(map(self._match, self.find(spelled(unit))))
 
     def encode(self, text: str) -> bytes:
-        cut = units(text)
+        cut = None if any(x in text for x in self.special) else units(text)
         if cut is None:
             return pack_ids(self.whole.encode(text, add_special_tokens=False).ids)
-        return b"".join([*map(self.pieces.__getitem__, self.find(cut[0])), *map(self.known.__getitem__, cut[1:])])
+        return b"".join([*map(self._match, self.find(cut[0])), *map(self.known.__getitem__, cut[1:])])
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
@@ -207,6 +221,7 @@ def runs(planned: list[tuple[int, Pattern]]) -> list[tuple[int, int, int, int, i
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per piece: the id, piece, start, length, ids_crc32, sequence_id and offset."""
     spark = docs.sparkSession
+    short_batches(spark)
     scratch = Scratch(spark, "packing")
     kind = docs.schema[id_col].dataType.simpleString()
     pieces = scratch.save(

@@ -4,17 +4,20 @@ Encoding: every match of the splitting pattern is mapped byte by byte to charact
 library's BPE model, whose merges are derived from the ranks: each way to put a token together from two others, in the
 order of the token's rank. Matches that are tokens themselves are taken whole. Where one token could arise
 from two overlapping pairs, a list of merges cannot say "the leftmost"; matches in which that can happen
-(their token repeats itself) are merged directly by rank.
+(two copies of the token overlap in them) are merged directly by rank.
 
 Decoding: the characters of the tokens go back through the byte table and are joined before anything is read as UTF-8,
 so characters that were split between tokens are whole again.
 
-Defined results: null texts are encoded as empty; an empty text has no ids; lone surrogates cannot occur in Spark strings.
+Defined results: null texts are encoded as empty; an empty text has no ids and an empty table gives no rows; null ids stay null and
+repeated rows come out repeatedly; a very long text is encoded whole, in one task; lone surrogates cannot occur in Spark strings.
+Columns other than id and text are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 from heapq import heapify, heappop, heappush
@@ -23,7 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm._units import Cache, byte_characters, once, pack_ids, plain_matches, shown, spelled, units
+from pagemill.llm._spark import short_batches
+from pagemill.llm._units import Cache, byte_characters, once, shown, spelled, units
 
 #: Rows whose ids are held at a time; their texts are at hand anyway.
 ROWS = 256
@@ -43,20 +47,21 @@ class ByteBpe:
         self.find = regex.compile(pattern).findall
         self.char = byte_characters()
         byte = {c: b for b, c in self.char.items()}
-        merges, vocab, self.repeating = [], {}, set()
+        merges, vocab, self.tangled = [], {}, set()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
             vocab[token.decode("latin-1").translate(self.char)] = rank
             cuts = [i for i in range(1, len(token)) if token[:i] in ranks and token[i:] in ranks]
             merges += [tuple(x.decode("latin-1").translate(self.char) for x in (token[:i], token[i:])) for i in cuts]
             # token = xy = yz with x and y of different lengths: in xyz two merges would overlap
-            if any(len(token) - i in cuts and 2 * i != len(token) and token[i:] == token[: len(token) - i] for i in cuts):
-                self.repeating.add(token)
-        self.longest = max(map(len, self.repeating), default=0)
-        self.starts = {token[:3] for token in self.repeating}
-        self.model = BPE(vocab, merges, ignore_merges=True)
+            self.tangled |= {token[:i] + token for i in cuts if len(token) - i in cuts and 2 * i != len(token) and token[i:] == token[: len(token) - i]}
+        self.longest = max(map(len, self.tangled), default=0)
+        self.starts = {x[:4] for x in self.tangled}
+        self.tokenize = BPE(vocab, merges, ignore_merges=True, cache_capacity=0).tokenize  # units are cached here
         self.bytes = {rank: bytes(byte[c] for c in shown) for shown, rank in vocab.items()}
-        self.known = Cache(self._unit, 300_000)
-        self.pieces = Cache(self.encode_match)
+        self.packed = {rank: rank.to_bytes(4, "little") for rank in self.bytes}
+        self.space = self.char[32]
+        self.tails = {c: self.encode_match(c) for c in ".,"}
+        self.known = Cache(self._unit)
 
     def merged(self, raw: bytes) -> list[int]:
         """The ids of a match by definition: join the leftmost pair of least rank until none has a rank."""
@@ -79,27 +84,38 @@ class ByteBpe:
                 heappush(heap, (r, before[i]))
         return [ranks[p] for p in part if p is not None]
 
-    def encode_match(self, match: str) -> list[int]:
+    def overlapping(self, raw: bytes) -> bool:
+        """Whether two pairs that make one token can overlap in the match, so that a list of merges may not say which comes first."""
+        starts = self.starts
+        for i in range(len(raw) - 3):
+            if raw[i : i + 4] in starts and any(raw[i:j] in self.tangled for j in range(i + 4, min(i + self.longest, len(raw)) + 1)):
+                return True
+        return False
+
+    def encode_match(self, match: str) -> bytes:
+        """The ids of a match as 32-bit numbers."""
         raw = match.encode()
-        if raw in self.ranks:
-            return [self.ranks[raw]]
-        if not self.starts.isdisjoint([raw[i : i + 3] for i in range(len(raw) - 2)]):
-            if any(raw[i:j] in self.repeating for i in range(len(raw) - 2) for j in range(i + 3, min(i + self.longest, len(raw)) + 1)):
-                return self.merged(raw)
-        return [t.id for t in self.model.tokenize(shown(match, self.char))]
+        rank = self.ranks.get(raw)
+        if rank is not None:
+            return self.packed[rank]
+        ids = self.merged(raw) if self.overlapping(raw) else [t.id for t in self.tokenize(shown(match, self.char))]
+        return b"".join(map(self.packed.__getitem__, ids))
 
     def _unit(self, unit: str) -> bytes:
-        return self.packed(plain_matches(unit) or self.find(spelled(unit)))
-
-    def packed(self, matches: list[str]) -> bytes:
-        return pack_ids([i for m in matches for i in self.pieces[m]])
+        """Of a unit other than the first; one word, or one word and a full stop or comma, is the usual case."""
+        tail, word = self.tails.get(unit[-1:], b""), unit
+        if tail:
+            word = unit[:-1]
+        if word.isalpha():  # the pattern's class of letters
+            return self.encode_match(" " + word) + tail
+        return b"".join(map(self.encode_match, self.find(spelled(unit))))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text as 32-bit numbers."""
         cut = units(text)
         if cut is None:
-            return self.packed(self.find(text))
-        return self.packed(self.find(cut[0])) + b"".join(map(self.known.__getitem__, cut[1:]))
+            return b"".join(map(self.encode_match, self.find(text)))
+        return b"".join([*map(self.encode_match, self.find(cut[0])), *map(self.known.__getitem__, cut[1:])])
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
@@ -129,11 +145,12 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Itera
     bpe = loaded(path, pattern)
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("ids"))
-        yield batch.append_column("decoded", pa.array([None if x is None else bpe.decode(x.tolist()) for x in (r.values.to_numpy() if r.is_valid else None for r in ids)], pa.binary()))
+        yield batch.append_column("decoded", pa.array([bpe.decode(r.values.to_numpy(zero_copy_only=False).tolist()) if r.is_valid else None for r in ids], pa.binary()))
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, ends: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The id of each row with ids (array of int) and, if asked for, ends (where each token ends, in bytes of the text)."""
+    short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     schema = f"_id {kind}, ids array<int>" + ", ends array<int>" * ends
@@ -146,14 +163,30 @@ def bpe_decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
     return rows.mapInArrow(partial(_decode, path=path, pattern=pattern), schema)
 
 
+def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    """Per row, encoded and decoded again: number of ids, digests of ids, of ends and of the decoded bytes."""
+    listed = lambda x: hashlib.sha256(",".join(map(str, x.values.to_numpy().tolist())).encode()).hexdigest()
+    for batch in _decode(_encode(batches, path, pattern, True), path, pattern):
+        ids, ends, decoded = (batch.column(c) for c in ("ids", "ends", "decoded"))
+        columns = [
+            pa.array([len(x.values) for x in ids], pa.int64()),
+            pa.array(map(listed, ids), pa.string()),
+            pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
+            pa.array(map(listed, ends), pa.string()),
+        ]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
+
+
+def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """What ``bpe_encode`` and ``bpe_decode`` make of each row, as digests (of numbers in decimal, joined by commas); ids do not leave the worker."""
+    short_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    schema = f"_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string, ends_sha256 string"
+    return rows.mapInArrow(partial(_digests, path=path, pattern=pattern), schema).withColumnRenamed("_id", id_col)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    which = {"path": P.path("byte_bpe_multi_50k.tiktoken"), "pattern": P.PATTERN}
-    encoded = bpe_encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), **which)
-    return bpe_decode(encoded, **which).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return bpe_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import math
 import random
 import struct
@@ -39,9 +40,7 @@ def tik():
 
 @pytest.fixture(scope="module")
 def level():
-    t = Tokenizer.from_file(LEVEL)
-    t.encode_special_tokens = True
-    return packing.ByteLevel(LEVEL), t
+    return packing.ByteLevel(LEVEL), Tokenizer.from_file(LEVEL)
 
 
 def packed(ids):
@@ -75,6 +74,9 @@ def test_byte_level_equals_the_library(level):
         assert own.encode(text) == packed(library.encode(text, add_special_tokens=False).ids)
 
     check()
+    assert own.encode("<|endoftext|> hi") == packed(library.encode("<|endoftext|> hi", add_special_tokens=False).ids)
+    for text in filter(None, ODD):
+        assert own.encode(text) == packed(library.encode(text, add_special_tokens=False).ids)
 
 
 def test_units_put_together_are_the_text():
@@ -179,14 +181,13 @@ def test_token_counts(spark):
     assert got == want
 
 
-def test_the_registered_query_computes_the_ends(spark, monkeypatch):
-    from pagemill.llm import byte_bpe
-
-    made = []
-    encode = byte_bpe.bpe_encode
-    monkeypatch.setattr(byte_bpe, "bpe_encode", lambda *a, **b: made.append(encode(*a, **b)) or made[-1])
-    byte_bpe.op8_byte_bpe(spark, "/root/testdata/sf0.001")
-    assert "ends" in made[0].columns
-    docs = {r.doc_id: len((r.text or "").encode()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
-    rows = made[0].collect()
-    assert len(rows) == len(docs) and all(len(r.ends) == len(r.ids) and (r.ends[-1] if r.ends else 0) == docs[r.doc_id] for r in rows)
+def test_the_registered_query_against_the_library(spark, tik):
+    rows = byte_bpe.op8_byte_bpe(spark, "/root/testdata/sf0.001").collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = tik.encode_ordinary(docs[r.doc_id])
+        sha = lambda b: hashlib.sha256(b).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(docs[r.doc_id].encode()))
+        ends = itertools.accumulate(len(tik.decode_single_token_bytes(x)) for x in ids)
+        assert r.ends_sha256 == sha(",".join(map(str, ends)).encode())

@@ -167,6 +167,8 @@ def test_trie_equals_plain_counts():
     for nodes in (50, 10_000):
         trie = token_counts.Trie(scores, nodes)
         assert all(trie.insert("▁" + w) == plain_count("▁" + w, scores) for w in words)
+        trie.insert("ab" * 50_000)
+        assert len(trie.best) <= nodes and len(trie.edges) < nodes
 
 
 def test_token_counts(spark):

@@ -6,28 +6,27 @@ the products of their probabilities; the forward algorithm gives it without list
 sum of the logarithms over its words, and the posterior of the best language under equal priors is the result's score.
 
 The piece probabilities come from expectation-maximisation over the same lattices, on a bounded sample of the labelled
-rows (SAMPLE documents a language, whole texts). Scoring covers every text from beginning to end. Words of over
-CUT characters are scored in stretches of CUT, which keeps the products representable.
+rows (SAMPLE documents a language, whole texts). Scoring covers every text from beginning to end. The forward algorithm rescales
+long words at each place, so words of any length have all their segmentations summed. Learning takes long words in stretches.
 
-Defined results: ``und`` with score 0 for null texts and texts without a letter, and for all texts if nothing could be
-learned; repeated rows come out repeatedly. The columns other than the text are not looked at in a prediction.
+Defined results: ``und`` with score 0 for null texts and texts without a letter (``str.isalpha``), and for all texts if nothing could be
+learned, as from an empty table; null ids are held out; repeated rows come out repeatedly and an empty table gives no rows. The columns
+other than the text are not looked at in a prediction, whatever their names.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagemill.llm._fit import held_out, sample_by_class
-from pagemill.llm._units import once
+from pagemill.llm._spark import short_batches
+from pagemill.llm._units import trim
 from pagemill.llm.token_counts import WORD, read_pieces
 
 UNKNOWN = "und"
@@ -35,16 +34,14 @@ UNKNOWN = "und"
 SAMPLE, STEPS, SMOOTHING = 300, 3, 0.1
 #: Probability of a character that is no piece, in every language.
 NO_PIECE = 1e-7
-CUT = 32
 #: Distinct words that a worker remembers the scores of.
-KNOWN = 400_000
+KNOWN = 150_000
+#: Words of up to LONG characters are scored by plain products, all of one length at once, unless a product falls to TINY; others are rescaled.
+LONG, TINY = 32, 1e-290
 
-_LETTER = re.compile(r"[^\W\d_]")
 
-
-def stretches(word: str) -> list[str]:
-    word = WORD + word
-    return [word[i : i + CUT] for i in range(0, len(word), CUT)]
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
 
 
 class PieceTable:
@@ -56,14 +53,17 @@ class PieceTable:
         self.size = len(pieces)
         self.longest = max(map(len, pieces))
         self.keys, self.values = np.zeros(self.SLOTS, np.uint64), np.full(self.SLOTS, -1, np.int64)
-        for i, piece in enumerate(pieces):
-            h = 0
-            for c in piece:
-                h = (h * int(self.BASE) + ord(c) + 1) & (1 << 64) - 1
-            slot = self.slot(np.array([h], np.uint64))[0]
-            while self.values[slot] >= 0:
+        hashes = np.zeros(self.size, np.uint64)
+        for places in by_length(pieces):
+            codes = code_points("".join(pieces[i] for i in places)).reshape(len(places), -1)
+            for k in range(codes.shape[1]):
+                hashes[places] = hashes[places] * self.BASE + codes[:, k]
+        taken: set[int] = set()
+        for i, slot in enumerate(self.slot(hashes).tolist()):
+            while slot in taken:
                 slot = (slot + 1) % self.SLOTS
-            self.keys[slot], self.values[slot] = h, i
+            taken.add(slot)
+            self.keys[slot], self.values[slot] = hashes[i], i
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         return ((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(44)).astype(np.int64)
@@ -87,7 +87,7 @@ class Lattices:
 
     def __init__(self, words: list[str], table: PieceTable):
         self.n, self.length = len(words), len(words[0])
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(self.n, self.length).astype(np.uint64) + np.uint64(1)
+        codes = code_points("".join(words)).reshape(self.n, self.length)
         self.arcs: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.length + 1)]
         h = np.zeros((self.n, self.length + 1), np.uint64)
         for size in range(1, min(self.length, table.longest) + 1):
@@ -113,7 +113,7 @@ class Lattices:
         """Expected number of uses of each piece, given how often each word occurs in each language."""
         alpha, n = self.forward(p), np.zeros_like(p)
         beta = np.zeros_like(alpha)
-        beta[-1] = times / np.maximum(alpha[-1], 1e-300)
+        beta[-1] = times / np.maximum(alpha[-1], TINY)
         for j in range(self.length, 0, -1):
             for size, rows, ids in self.arcs[j]:
                 flow = p[ids] * beta[j, rows]
@@ -124,6 +124,40 @@ class Lattices:
         return n
 
 
+def long_scores(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
+    """Log-probabilities of words of any length: rescaled at each place, and of a word as many places held as the longest piece has."""
+    reach, out = table.longest, np.zeros((len(words), p.shape[1]))
+    p = np.vstack([p, np.zeros((1, p.shape[1]))])  # for places where no piece ends
+    order = sorted(range(len(words)), key=lambda i: -len(words[i]))
+    while order:
+        most = len(words[order[0]])
+        mine, order = order[: max(1, min(128, 2_000_000 // most))], order[max(1, min(128, 2_000_000 // most)) :]
+        lengths = np.array([len(words[i]) for i in mine])
+        codes = np.zeros((len(mine), most), np.uint64)
+        for row, i in zip(codes, mine):
+            row[: len(words[i])] = code_points(words[i])
+        total, recent = np.zeros((len(mine), p.shape[1])), np.zeros((reach, len(mine), p.shape[1]))
+        recent[0] = 1  # recent[s - 1]: the probability s places back over that of the place before
+        for at in range(0, most, 256):
+            lead, n = min(at, reach - 1), int((lengths > at).sum())
+            part = codes[:n, at - lead : at + 256]
+            ids = np.full((part.shape[1] - lead, reach, n), -1)  # the piece of each size that ends at each place
+            h = np.zeros((n, part.shape[1] + 1), np.uint64)
+            for size in range(1, min(reach, part.shape[1]) + 1):
+                h = h[:, :-1] * table.BASE + part[:, size - 1 :]  # of the stretch that begins at each place
+                first = max(0, lead + 1 - size)
+                ids[first + size - 1 - lead :, size - 1] = table.find(np.ascontiguousarray(h[:, first:]).reshape(-1)).reshape(n, -1).T
+            ids[:, 0][ids[:, 0] < 0] = table.size  # a character that is no piece
+            for k, pieces in enumerate(ids):
+                n = int((lengths > at + k).sum())
+                now = (recent[:, :n] * p[pieces[:, :n]]).sum(0)
+                total[:n] += np.log(now)
+                recent[1:, :n] = recent[:-1, :n] / now
+                recent[0, :n] = 1
+        out[mine] = total
+    return out
+
+
 def by_length(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
     """Places of words of one length each, a bounded number at a time."""
     lengths = np.fromiter(map(len, words), np.int64, len(words))
@@ -136,8 +170,15 @@ def by_length(words: list[str], most: int = 4096) -> Iterator[np.ndarray]:
 
 def log_scores(words: list[str], table: PieceTable, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(words), p.shape[1]))
-    for places in by_length(words):
-        out[places] = np.log(np.maximum(Lattices([words[i] for i in places], table).forward(p)[-1], 1e-300))
+    long = [i for i, w in enumerate(words) if len(w) > LONG]
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    for places in by_length([words[i] for i in short]):
+        places = [short[i] for i in places]
+        found = Lattices([words[i] for i in places], table).forward(p)[-1]
+        out[places] = np.log(np.maximum(found, TINY))
+        long += [places[k] for k in np.flatnonzero((found <= TINY).any(1))]
+    if long:
+        out[long] = long_scores([words[i] for i in long], table, p)
     return out
 
 
@@ -147,7 +188,7 @@ def with_fallback(p: np.ndarray) -> np.ndarray:
 
 
 def vocabulary(path: str) -> PieceTable:
-    return once(("vocabulary", path), lambda: PieceTable([p for p in dict.fromkeys(read_pieces(path)) if p]))
+    return PieceTable([p for p in dict.fromkeys(read_pieces(path)) if p])
 
 
 def learn(texts: list[tuple[str, str]], path: str, steps: int = STEPS, smoothing: float = SMOOTHING) -> tuple[list[str], np.ndarray]:
@@ -160,8 +201,8 @@ def learn(texts: list[tuple[str, str]], path: str, steps: int = STEPS, smoothing
     times: dict[str, np.ndarray] = {}
     for k, lang in enumerate(languages):
         for word, n in counts[lang].items():
-            for stretch in stretches(word):
-                times.setdefault(stretch, np.zeros(len(languages)))[k] += n
+            for i in range(0, len(word) + 1, LONG):
+                times.setdefault((WORD + word)[i : i + LONG], np.zeros(len(languages)))[k] += n
     words = sorted(times)
     lattices = [(Lattices([words[i] for i in places], table), np.array([times[words[i]] for i in places])) for places in by_length(words)]
     p = np.full((table.size, len(languages)), 1 / table.size)
@@ -190,17 +231,7 @@ class WordScores:
             if len(new) > len(self.table):
                 self.table = np.zeros((len(new), self.p.shape[1]))
         at = len(self.rows)
-        marked = [WORD + w for w in new]
-        long = [i for i, w in enumerate(marked) if len(w) > CUT]
-        if long:
-            cut = {i: stretches(new[i]) for i in long}
-            for i in long:
-                marked[i] = cut[i][0]
-        scores = log_scores(marked, self.pieces, self.p)
-        if long:
-            rest = [(i, x) for i in long for x in cut[i][1:]]
-            np.add.at(scores, [i for i, _ in rest], log_scores([x for _, x in rest], self.pieces, self.p))
-        self.table[at : at + len(new)] = scores
+        self.table[at : at + len(new)] = log_scores([WORD + w for w in new], self.pieces, self.p)
         self.rows.update(zip(new, range(at, at + len(new))))
 
     def totals(self, texts: list[str]) -> np.ndarray:
@@ -225,21 +256,22 @@ class WordScores:
             out[i] += self.table[[*map(self.rows.__getitem__, words)]].sum(0)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], text: str, keep: list[str], path: str, languages: list[str], p: np.ndarray, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
-    scorer = once(("word scores", path, tuple(languages), float(p.sum()), float((p * p).sum())), lambda: WordScores(path, p))
-    for batch in batches:
-        column = batch.column(batch.schema.get_field_index(text))
+def _predict(texts: Iterator[pa.Array], path: str, languages: list[str], p: np.ndarray) -> Iterator[pa.Array]:
+    scorer = WordScores(path, p)
+    for column in texts:
         langs, scores = [], []
-        for i in range(0, batch.num_rows, 512):
-            texts = [t or "" for t in column.slice(i, 512).to_pylist()]
-            totals = scorer.totals(texts)
+        for i in range(0, len(column), 512):
+            part = [t or "" for t in column.slice(i, 512).to_pylist()]
+            totals = scorer.totals(part)
             post = np.exp(totals - totals.max(1, keepdims=True))
             post /= post.sum(1, keepdims=True)
-            for t, best, row in zip(texts, post.argmax(1).tolist(), post):
-                found = _LETTER.search(t) is not None
+            for t, best, row in zip(part, post.argmax(1).tolist(), post):
+                found = t.isalpha() or any(map(str.isalpha, t))
                 langs.append(languages[best] if found else UNKNOWN)
                 scores.append(float(row[best]) if found else 0.0)
-        yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, *names])
+        yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["lang", "score"])
+    del scorer
+    trim()
 
 
 def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
@@ -248,19 +280,24 @@ def fit(docs: DataFrame, path: str, sample: int = SAMPLE) -> tuple[list[str], np
     return learn(sorted((r.lang, r.text) for r in sample_by_class(rows, "lang", sample).select("lang", "text").collect()), path)
 
 
-def predict(rows: DataFrame, model: tuple[list[str], np.ndarray], path: str, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """``rows`` with the columns ``keep`` (all by default), the predicted language and its score under ``names``, which must be free."""
+def language_of(text: Column, model: tuple[list[str], np.ndarray], path: str) -> Column:
+    """A struct of the predicted language (lang) and its score for a column of texts; only the texts go to Python."""
     languages, p = model
-    keep = rows.columns if keep is None else keep
     if not languages:
-        return rows.select(*keep, F.lit(UNKNOWN).alias(names[0]), F.lit(0.0).alias(names[1]))
-    schema = T.StructType([*(rows.schema[c] for c in keep), T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
-    return rows.mapInArrow(partial(_predict, text=text, keep=keep, path=path, languages=languages, p=p, names=names), schema)
+        return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+
+    @F.arrow_udf("lang string, score double")
+    def language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return _predict(texts, path, languages, p)
+
+    return language(text)
 
 
 def identify_language(docs: DataFrame, model: tuple[list[str], np.ndarray], path: str) -> DataFrame:
     """Per row of ``docs(doc_id, text)``: doc_id, held_out, lang_pred and score."""
-    return predict(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), model, path, keep=["doc_id", "held_out"])
+    short_batches(docs.sparkSession)
+    found = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), language_of(F.col("text"), model, path).alias("found"))
+    return found.select("doc_id", "held_out", F.col("found.lang").alias("lang_pred"), "found.score")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

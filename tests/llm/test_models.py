@@ -26,6 +26,7 @@ def test_forward_sums_all_segmentations():
     p = rng.random((len(pieces), 2)) / 4
     for words in (["▁abab", "▁bbaa", "▁abxa"], ["▁"], ["▁aba"]):
         got = np.exp(li.log_scores(words, table, li.with_fallback(p)))
+        assert np.allclose(got, np.exp(li.long_scores(words, table, li.with_fallback(p))))
         for word, row in zip(words, got):
             total = np.zeros(2)
             for parts in segmentations(word):
@@ -34,6 +35,45 @@ def test_forward_sums_all_segmentations():
             assert np.allclose(row, total)
 
 
+def plain_score(word, table_pieces, p):
+    """By plain dynamic programming over all segmentations, in logarithms."""
+    at = [np.zeros(p.shape[1])]
+    for j in range(1, len(word) + 1):
+        found = [at[j - s] + np.log(p[table_pieces[word[j - s : j]]]) for s in range(1, min(j, 20) + 1) if word[j - s : j] in table_pieces]
+        if word[j - 1] not in table_pieces:
+            found.append(at[j - 1] + np.log(li.NO_PIECE))
+        at.append(np.logaddexp.reduce(found, axis=0))
+    return at[-1]
+
+
+def test_long_words_have_all_segmentations_summed():
+    pieces = ["a", "b", "ab", "ba", "abab", "b" * 20, "日", "日本", "▁"]
+    table, rng = li.PieceTable(pieces), np.random.default_rng(4)
+    p = li.with_fallback(rng.random((len(pieces), 3)) / 8)
+    places = {x: i for i, x in enumerate(pieces)}
+    words = ["▁" + "".join(rng.choice(list("abab日本c"), n)) for n in (1, 31, 32, 33, 255, 256, 500, 500, 9000)]
+    assert np.allclose(li.log_scores(words, table, p), [plain_score(w, places, p) for w in words])
+    assert np.allclose(li.log_scores(["a" * 28], table, p * 1e-12), plain_score("a" * 28, places, p * 1e-12))  # falls below TINY
+
+
+def test_texts_without_letters_are_unknown(spark):
+    model = li.learn([(k, " ".join(v)) for k, v in SPOKEN.items()], PATH)
+    odd = spark.createDataFrame([(1, "½"), (2, "² ①"), (3, "12 _"), (4, "½ der"), (5, "日本")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score > 0) for r in li.identify_language(odd, model, PATH).collect()}
+    assert [got[i][0] for i in (1, 2, 3)] == ["und"] * 3 and got[4] == ("de", True) and got[5][0] != "und"
+
+
+def test_language_against_plain_scores(spark):
+    rows, docs = documents(spark)
+    languages, p = model = li.fit(docs, PATH)
+    pieces = {x: i for i, x in enumerate(x for x in dict.fromkeys(li.read_pieces(PATH)) if x)}
+    got = {r.doc_id: r for r in li.identify_language(docs, model, PATH).collect()}
+    for i, text, *_ in rows[:40]:
+        totals = sum(plain_score(li.WORD + w, pieces, li.with_fallback(p)) for w in text.lower().split())
+        post = np.exp(totals - np.logaddexp.reduce(totals))
+        assert got[i].lang_pred == languages[post.argmax()] and abs(got[i].score - post.max()) < 1e-9
+
+
 def test_expected_counts_add_up():
     table = li.PieceTable(["a", "b", "ab", "▁"])
     p = li.with_fallback(np.full((4, 1), 0.2))

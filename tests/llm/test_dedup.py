@@ -9,7 +9,7 @@ from pyspark.sql import Row
 
 from pagemill.llm.components import components
 from pagemill.llm.exact_dedup import exact_dedup, misra_gries
-from pagemill.llm.simhash import fingerprint, simhash_dedup
+from pagemill.llm.simhash import fingerprint, fingerprint_links, simhash_dedup
 from pagemill.llm._spark import Scratch
 
 SCHEMA = "doc_id long, text string, keep_id string, _digest string"
@@ -116,9 +116,27 @@ def test_simhash_matches_a_plain_version(spark):
     rows += [(900, None), (901, ""), (902, "  "), (903, rows[5][1]), (903, rows[5][1])]
     fps = [plain_fingerprint(t) for _, t in rows]
     want = sorted(zip((i for i, _ in rows), ("%016x" % f for f in fps), plain_components([i for i, _ in rows], fps)))
-    for small in (2, 32):
-        got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash_dedup(frame(spark, rows), small=small).collect())
+    for small, tokens in ((2, 1), (2, 4), (32, None), (8, 3), (32, 5)):
+        got = sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash_dedup(frame(spark, rows), small=small, tokens=tokens).collect())
         assert got == want
+    named = [(f"k{i:03}", t) for i, t in rows[:50]]
+    got = simhash_dedup(spark.createDataFrame(named, "doc_id string, text string")).collect()
+    assert sorted(r.component_id for r in got) == sorted(f"k{i:03}" for i in plain_components([i for i, _ in rows[:50]], fps[:50]))
+
+
+def test_index_finds_every_pair_of_fingerprints(spark):
+    rng = random.Random(5)
+    fps = {rng.getrandbits(64) for _ in range(600)}
+    for x in list(fps)[:200]:
+        fps.add(x ^ sum(1 << b for b in rng.sample(range(64), rng.choice((1, 2, 3, 4)))))
+    hub = rng.getrandbits(64)
+    fps |= {hub ^ sum(1 << b for b in rng.sample(range(24), rng.choice((1, 2, 3)))) for _ in range(300)}
+    fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
+    pairs = {(a, b) for a in fps for b in fps if a < b and bin((a ^ b) & (1 << 64) - 1).count("1") <= 3}
+    distinct = spark.createDataFrame([(x,) for x in fps], "_fp long").repartition(3)
+    for small, tokens in ((1000, 1), (1000, 2), (1000, 5)):
+        got = Counter((min(r.u, r.v), max(r.u, r.v)) for r in fingerprint_links(distinct, Scratch(spark, "t"), small, tokens).collect())
+        assert set(got) == pairs and set(got.values()) == {1}  # each pair is reported once
 
 
 def test_simhash_of_nothing(spark):

@@ -13,11 +13,13 @@ links, whatever the number of vectors, unless p is small. If one window holds al
 
 The windows bound the comparisons, not the partners. Equal vectors are folded into one before the passes and counted by their
 number. Within each component every pair is then compared in blocks, of which only counts are kept, so n_links is exact for all
-pairs inside a component however dense it is; a dense component costs arithmetic, not rows. A pair is missed only if
-no pass of any round brings together any chain of links between its two components.
+pairs inside a component however dense it is. That stage is no search: it counts what the passes have connected. It copies each vector
+once for each block of its component, of MEMBERS vectors: a component of 10^6 vectors makes 245 blocks and as many copies. A pair is
+missed only if no pass of any round brings together any chain of links between its two components.
 
 Cosines are in double precision. Vectors that are null or zero, or hold null or non-finite components, link with nothing; so do
-vectors of different lengths with each other. Null ids are larger than none; repeated rows come out repeatedly.
+vectors of different lengths with each other. Null ids are larger than none; repeated rows come out repeatedly and count as links of
+each other; an empty table gives no rows. Columns other than id and vector are not looked at.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._spark import Scratch, sorted_groups
+from pagemill.llm._spark import Scratch, short_batches, sorted_groups
 from pagemill.llm.components import Forest, components, links_batch
 
 THRESHOLD = 0.9
 #: Passes, bits of a pass's key, successors compared, places of a stretch, members of a block.
-PASSES, KEY_BITS, WINDOW, BLOCK, MEMBERS = 20, 62, 64, 2048, 512
+PASSES, KEY_BITS, WINDOW, BLOCK, MEMBERS = 20, 62, 64, 2048, 4096
 #: Passes and successors compared of each later round.
 MORE, WIDEST = 10, 1024
 
@@ -157,6 +159,7 @@ def _round(distinct: DataFrame, scratch: Scratch, kind: str, threshold: float, p
 
 def vector_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW, block: int = BLOCK, members: int = MEMBERS) -> DataFrame:
     """Per row of ``vectors``: the id, n_links, component_id (the smallest id reachable) and kept (whether it is the id)."""
+    short_batches(vectors.sparkSession)
     scratch = Scratch(vectors.sparkSession, "vectors")
     id_kind = vectors.schema[id_col].dataType.simpleString()
     kind = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"

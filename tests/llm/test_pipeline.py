@@ -58,9 +58,11 @@ def test_queries_are_registered():
 
 def test_odd_tables(spark):
     rng = random.Random(1)
-    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, _text string"
-    rows = [(None, None, None, None, None, None, None), (1, "", "en", "s", 0, "a", "b"), (2, "word " * 40_000, "en", "s", 1, "a", "b"), (2, "word " * 40_000, "en", "s", 1, "a", "b")]
-    rows += [(10 + i, " ".join(rng.choice("der die und das sein".split() if i % 2 else "the and of to is".split()) for _ in range(60)), "de" if i % 2 else "en", "s", 1, None, None) for i in range(40)]
+    clashing = ["score", "_text", "_toxicity", "_language", "_kept", "_row", "_group", "_id", "_ld_a", "_ld_b", "_ld_gone", "found", "doc id.x"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clashing)
+    none, more = (None,) * len(clashing), ("a",) * len(clashing)
+    rows = [(None, None, None, None, None, *none), (1, "", "en", "s", 0, *more), (2, "word " * 40_000, "en", "s", 1, *more), (2, "word " * 40_000, "en", "s", 1, *more)]
+    rows += [(10 + i, " ".join(rng.choice("der die und das sein".split() if i % 2 else "the and of to is".split()) for _ in range(60)), "de" if i % 2 else "en", "s", 1, *none) for i in range(40)]
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, DATA)

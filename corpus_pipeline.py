@@ -12,31 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm import language_id, toxicity
-from pagemill.llm._spark import Scratch
+from pagemill.llm._spark import Scratch, free_name, short_batches
 from pagemill.llm.line_dedup import line_dedup
 from pagemill.llm.packing import pack
 from pagemill.llm.simhash import simhash_dedup
 
 #: A text stays if its best language holds at least this share of the posterior.
 LANGUAGE_SHARE = 0.5
-#: A row's number within the SimHash stage.
-ROW = "_simhash_row"
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learned from the labels, does not predict to be toxic."""
+    short_batches(spark)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, name="_toxicity").where("_toxicity < 0.5").select(docs.columns)
+    return docs.where(toxicity.score_of(docs["text"], model) < 0.5)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters that one language claims; texts that are null or have no letter go."""
     import public_tokenizers as P
 
+    short_batches(spark)
     path = P.path("piece_bpe_32k.model")
-    model = language_id.fit(docs, path)
-    found = language_id.predict(docs, model, path, names=("_language", "_share"))
-    return found.where((F.col("_language") != language_id.UNKNOWN) & (F.col("_share") >= LANGUAGE_SHARE)).select(docs.columns)
+    name = free_name("_language", docs.columns)
+    found = docs.withColumn(name, language_id.language_of(docs["text"], language_id.fit(docs, path), path))
+    return found.where((found[name]["lang"] != language_id.UNKNOWN) & (found[name]["score"] >= LANGUAGE_SHARE)).drop(name)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,12 +48,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row: that of the smallest id, null ids last, and of rows that share it any one."""
     scratch = Scratch(spark, "near-copies")
+    row = free_name("_row", docs.columns)
     # written, so that a row has the same number whenever it is read
-    numbered = scratch.save(docs.withColumn(ROW, F.monotonically_increasing_id()))
-    order = numbered.select(ROW, F.struct(F.col("doc_id").isNull(), "doc_id", ROW).alias("_order"))
-    groups = simhash_dedup(numbered, id_col=ROW).select(F.col(ROW), F.col("component_id").alias("_group"))
-    first = groups.join(order, ROW).groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col(f"_least.{ROW}").alias("_kept"))
-    return numbered.join(first.hint("shuffle_hash"), numbered[ROW] == F.col("_kept"), "left_semi").select(docs.columns)
+    numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
+    ids = numbered.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("_order"))
+    groups = simhash_dedup(numbered.select(row, "text"), id_col=row).select(F.col(row).alias("_row"), F.col("component_id").alias("_group"))
+    # a row that is a group of its own is its least already
+    first = groups.join(ids, "_row").groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col("_least.row").alias("_kept"))
+    return numbered.join(first.hint("shuffle_hash"), numbered[row] == F.col("_kept"), "left_semi").drop(row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

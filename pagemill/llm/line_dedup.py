@@ -7,106 +7,176 @@ some later copy is deleted. Runs do not reach across documents; shorter repeats,
 The steps:
 
 1. Lines are identified by digests; those that occur once end every repeated run, so only stretches of repeated lines go on.
-2. Prefix doubling: the rank of a suffix by its first 2^k lines is the sorted position of its pair of ranks by 2^(k-1)
-   lines, here and 2^(k-1) lines on. The distinct pairs are sorted by range, so each rank is a place in the suffix array, and a
-   pair that occurs once is settled and leaves.
-3. All suffixes that agree in their first n lines are one longest-common-prefix interval, named by two ranks: of the first
-   and of the last 2^k of the n lines. Each line is tested with the shortest run of enough words that begins at it and the one that
-   ends at it: maximal repeated runs are exactly unions of these, so the number of tests is twice that of lines.
-4. In an interval with several suffixes all but the first in order of (id, place) are later copies.
-
-Counting and naming are aggregations with partial sums; joins are on written tables, so AQE can split a hot line. Windows are
-within a document.
+2. Prefix doubling: the rank of a suffix by its first 2^(k+1) lines is the sorted place of its pair of ranks by 2^k lines, here and
+   2^k lines on; a suffix that ends there comes first. It goes on until no two suffixes agree in 2^k lines any more without having
+   ended, so the last ranks, and the order of documents among equal suffixes, are the suffix array.
+3. Longest common prefixes of neighbours in the array. If the lines before two neighbours are equal, their prefix is that of the suffixes
+   one line before, less one line (the permuted form of the array), so it is worked out only where they differ: by
+   descending powers of two, 2^k lines being equal where the ranks are. The others follow by a window within the stretch.
+4. The suffixes that agree in their first n lines are an interval of the array: it begins where a neighbour's prefix is shorter
+   than n. The depths n looked at for a suffix are those of the runs that have enough words, and would not without their first line or
+   have not without their last: every maximal repeated run of enough words is a union of such runs, and every suffix of an interval has the same.
+   In an interval with several suffixes all but the first in order of (id, place) are later copies.
+
+Counting and naming are aggregations with partial sums; joins are on written tables, so AQE can split a hot line. What follows the order of
+the array goes by its range partitions, each with the last of those before it (a row a partition). Other windows are within a document.
 
 Defined results: a null text stays null and an empty one empty; a document all of whose lines are later copies becomes empty;
-rows equal in id and text are one document and get the same result; null ids come first in the order; other columns pass through.
+rows equal in id and text are one document and get the same result; null ids come first in the order; an empty table gives no rows;
+a very long text is one stretch or more, and sorted as such; other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm._spark import Scratch
+from pagemill.llm._spark import Scratch, free_name
 
 MIN_WORDS = 50
 #: A word of a line: no regular expression of a language, so that other engines agree.
 WORD = r"[^ \t\r\f\x0B]+"
-DOC = ["_ld_a", "_ld_b"]
+DOC = ["_a", "_b"]
+#: Numbers of lines to delete are broadcast up to this size in all; beyond it texts meet them by a shuffle.
+BROADCAST_BYTES = 8 << 20
 
 
-def _keys(id_col: str, text_col: str) -> dict:
+def _keys(id_col: str, text_col: str) -> list[Column]:
     """128 bits that name a document by its id and text."""
-    return {DOC[0]: F.xxhash64(id_col, text_col), DOC[1]: F.xxhash64(text_col, F.lit(1), id_col)}
+    return [F.xxhash64(f"`{id_col}`", f"`{text_col}`"), F.xxhash64(f"`{text_col}`", F.lit(1), f"`{id_col}`")]
 
 
 def _ranked(keys: DataFrame, columns: list[str], name: str, scratch: Scratch) -> DataFrame:
-    """Distinct keys with their places in sorted order (increasing numbers, not gapless)."""
+    """Distinct keys with their places in sorted order (increasing numbers, not gapless; the upper bits are the partition's)."""
     return scratch.save(keys.orderBy(*columns).withColumn(name, F.monotonically_increasing_id()))
 
 
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> DataFrame:
-    """(document key, the numbers of its lines to delete) for the documents that lose lines."""
-    line = F.filter(F.transform(F.split(F.col(text_col), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda s: s["line"].rlike(WORD))
+def _part(at: str) -> Column:
+    return F.shiftright(at, 33)
+
+
+def _stretch(*order: str) -> Window:
+    return Window.partitionBy(*DOC, "_seg").orderBy(*order) if order else Window.partitionBy(*DOC, "_seg")
+
+
+
+def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> DataFrame:
+    """The lines that occur more than once, with the stretches they form: _seg, its last line _to, and _end of the shortest run of enough words from each line."""
+    line = F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda s: s["line"].rlike(WORD))
     lines = scratch.save(
-        docs.select(F.col(id_col).alias("_id"), *(v.alias(k) for k, v in _keys(id_col, text_col).items()), F.posexplode(line).alias("p", "_s"))
+        docs.select(F.col(f"`{id_col}`").alias("_id"), *(v.alias(k) for k, v in zip(DOC, _keys(id_col, text_col))), F.posexplode(line).alias("p", "_s"))
         .select("_id", *DOC, "p", "_s.i", F.regexp_count("_s.line", F.lit(WORD)).alias("words"), F.unhex(F.md5("_s.line")).alias("_line"))
     )
     repeated = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_line")
     ranks = _ranked(repeated, ["_line"], "r0", scratch)
     table = scratch.save(lines.join(ranks, "_line").drop("_line").dropDuplicates([*DOC, "p"]))
     scratch.drop(lines, ranks)
-
-    # stretches of repeated lines, and for each line the shortest runs with enough words from it and up to it
-    doc = Window.partitionBy(*DOC).orderBy("p")
-    stretch = Window.partitionBy(*DOC, "_seg")
-    table = table.withColumn("_seg", F.col("p") - F.row_number().over(doc))
-    table = table.withColumn("_c1", F.sum("words").over(stretch.orderBy("p"))).withColumn("_c0", F.col("_c1") - F.col("words"))
-    table = table.withColumns({"_back": -F.col("_c0"), "_all": F.max("_c1").over(stretch), "_from": F.min("p").over(stretch), "_to": F.max("p").over(stretch)})
-    behind = F.min("p").over(stretch.orderBy("_back").rangeBetween(Window.unboundedPreceding, -min_words))
-    before = F.max("p").over(stretch.orderBy("_c1").rangeBetween(Window.unboundedPreceding, -min_words))
+    table = table.withColumn("_seg", F.col("p") - F.row_number().over(Window.partitionBy(*DOC).orderBy("p")))
+    table = table.withColumn("_c1", F.sum("words").over(_stretch("p"))).withColumn("_c0", F.col("_c1") - F.col("words"))
+    table = table.withColumns({"_back": -F.col("_c0"), "_all": F.max("_c1").over(_stretch()), "_to": F.max("p").over(_stretch())})
+    behind = F.min("p").over(_stretch("_back").rangeBetween(Window.unboundedPreceding, -min_words))
     table = table.withColumn("_end", F.coalesce(behind - 1, F.when(F.col("_all") - F.col("_c0") >= min_words, F.col("_to"))))
-    table = table.withColumn("_start", F.coalesce(before + 1, F.when(F.col("_c1") >= min_words, F.col("_from"))))
-    table = scratch.save(table.where("_all >= %d" % min_words).select("_id", *DOC, "_seg", "p", "i", "r0", "_start", "_end"))
-    longest = table.agg(F.max(F.greatest(F.col("_end") - F.col("p"), F.col("p") - F.col("_start")))).first()[0]
-
-    levels = max(0, (longest or 0) + 1).bit_length() - 1  # ranks by 1, 2, ... 2^levels lines
-    for k in range(max(0, levels)):
-        here, there, new = "_here", "_there", f"r{k + 1}"
-        # no rank: a negative value of the row's own, which matches nothing and spreads over the partitions
-        none = -1 - F.shiftrightunsigned(F.xxhash64(*DOC, "p"), 1)
-        pairs = table.withColumns({here: F.coalesce(f"r{k}", none), there: F.coalesce(F.lead(f"r{k}", 1 << k).over(stretch.orderBy("p")), none)})
-        several = pairs.where((F.col(here) >= 0) & (F.col(there) >= 0)).groupBy(here, there).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(here, there)
-        ranked = _ranked(several, [here, there], new, scratch)
-        older, table = table, scratch.save(pairs.join(ranked, [here, there], "left").drop(here, there))
+    return scratch.save(table.where(F.col("_all") >= min_words).select("_id", *DOC, "_seg", "p", "i", "r0", "_to", "_end"))
+
+
+def doubled(table: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``table`` with ranks r0, r1, ... by 1, 2, ... lines, and the number of the last, which tells all different suffixes apart."""
+    k = 0
+    while True:
+        on = F.coalesce(F.lead(f"r{k}", 1 << k).over(_stretch("p")), F.lit(-1))
+        pairs = table.withColumns({"_here": F.col(f"r{k}"), "_there": on})
+        ranked = _ranked(pairs.groupBy("_here", "_there").agg(F.count(F.lit(1)).alias("_n")), ["_here", "_there"], f"r{k + 1}", scratch)
+        older, table = table, scratch.save(pairs.join(ranked.drop("_n"), ["_here", "_there"]).drop("_here", "_there"))
+        done = ranked.where("_n > 1 and _there >= 0").isEmpty()
         scratch.drop(older, ranked)
+        k += 1
+        if done:
+            return table, k
+
+
+def suffix_array(table: DataFrame, last: int, scratch: Scratch) -> DataFrame:
+    """The suffixes with their places in the array (_at, increasing) and lcp, the lines that each has in common with the one before."""
+    levels = F.array(*(f"r{k}" for k in range(last)))
+    table = table.withColumns({"_r": levels, "_left": F.lag("r0").over(_stretch("p"))})
+    ordered = scratch.save(
+        table.select("_id", *DOC, "_seg", "p", "_to", "_end", "_r", "_left", F.col(f"r{last}").alias("_rank"))
+        .orderBy("_rank", "_id", *DOC, "p").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", _part("_at"))
+    )
+    row = F.struct(*DOC, "p", "_r", "_left", "_rank")
+    ends = ordered.groupBy("_part").agg(F.max_by(row, "_at").alias("_last"))
+    carried = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))  # a row a partition
+    own = F.lag(row).over(Window.partitionBy("_part").orderBy("_at"))
+    found = ordered.join(F.broadcast(carried), "_part").withColumn("_q", F.coalesce(own, "_carried"))
+    # the largest k with 2^k lines in common, -1 without one
+    level = F.greatest(F.lit(-1), F.array_max(F.transform(F.arrays_zip(F.col("_r").alias("x"), F.col("_q._r").alias("y")), lambda z, k: F.when(z["x"] == z["y"], k).otherwise(-1))))
+    whole = F.col("_to") - F.col("p") + 1
+    known = F.when(F.col("_q").isNull(), F.lit(0)).when(F.col("_rank") == F.col("_q._rank"), whole)
+    found = scratch.save(found.withColumn("_k", level).select(
+        "_id", *DOC, "_seg", "p", "_to", "_end", "_at", "_k", *(F.col(f"_q.{c}").alias(f"_q{c}") for c in (*DOC, "p")),
+        F.when(F.col("_k") < 0, 0).when(known.isNotNull(), known).when(F.col("_left").eqNullSafe(F.col("_q._left")) & F.col("_left").isNotNull(), None)
+        .otherwise(-1).alias("_known"),
+    ))
+    scratch.drop(ordered)
+    # where the lines before differ: 2^k lines, then by descending powers of two
+    open_ = found.where("_known = -1").select(*DOC, "p", "_to", "_k", *(f"_q{c}" for c in (*DOC, "p")), F.expr("shiftleft(1, _k)").alias("_len"))
+    for k in range(last - 2, -1, -1):
+        at = table.select(*(F.col(c).alias(f"_x{c}") for c in (*DOC, "p")), F.col(f"r{k}").alias("_x"))
+        there = at.toDF(*(c.replace("_x", "_y", 1) for c in at.columns))
+        here = [F.col(c) == F.col(f"_x{c}") for c in DOC] + [F.col("p") + F.col("_len") == F.col("_xp"), F.col("_k") > k]
+        other = [F.col(f"_q{c}") == F.col(f"_y{c}") for c in DOC] + [F.col("_qp") + F.col("_len") == F.col("_yp"), F.col("_k") > k]
+        more = F.when(F.col("_x") == F.col("_y"), F.least(F.lit(1 << k), F.col("_to") - F.col("p") - F.col("_len") + 1)).otherwise(0)
+        open_ = scratch.save(open_.join(at, here, "left").join(there, other, "left").withColumn("_len", F.col("_len") + more).select(open_.columns))
+    found = found.join(open_.select(*DOC, "p", "_len"), [*DOC, "p"], "left").withColumn("_known", F.coalesce("_len", "_known"))
+    given = F.last(F.when(F.col("_known").isNotNull(), F.struct("p", "_known")), ignorenulls=True).over(_stretch("p"))
+    after = F.lead("_end").over(_stretch("p"))
+    found = found.withColumns({"_given": given, "_after": after})
+    return found.select("_id", *DOC, "p", "_to", "_end", "_after", "_at", (F.col("_given._known") - F.col("p") + F.col("_given.p")).alias("lcp"))
+
+
+def later_copies(array: DataFrame, scratch: Scratch) -> DataFrame:
+    """(document, first line, number of lines) of the runs that are later copies, by the intervals of the array."""
+    # the shortest run of enough words from here, and those that end further on and have not enough without this line
+    furthest = F.greatest(F.col("_end"), F.coalesce(F.col("_after") - 1, F.col("_to")))
+    depths = F.sequence(F.col("_end") - F.col("p") + 1, furthest - F.col("p") + 1)
+    runs = array.where("_end is not null").select("_id", *DOC, "p", "_at", "lcp", F.explode(depths).alias("n"))
+    runs = scratch.save(runs.orderBy("n", "_at").withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", _part("_row")))
+    begins = F.when(F.col("lcp") < F.col("n"), F.col("_row"))
+    ends = runs.groupBy("_part").agg(F.max(begins).alias("_last"))
+    carried = ends.select("_part", F.max("_last").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # a row a partition
+    own = F.max(begins).over(Window.partitionBy("_part").orderBy("_row"))
+    named = scratch.save(runs.join(F.broadcast(carried), "_part").select("_id", *DOC, "p", "n", F.coalesce(own, "_carried").alias("_interval")))
+    scratch.drop(runs)
+    firsts = scratch.save(named.groupBy("_interval").agg(F.min(F.struct("_id", *DOC, "p")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
+    later = named.join(firsts, "_interval").where(F.struct(*DOC, "p") != F.struct(*(f"_first.{c}" for c in (*DOC, "p"))))
+    return later.groupBy(*DOC, "p").agg(F.max("n").alias("n"))
 
-    runs = table.where("_end is not null").select("_id", *DOC, F.col("p").alias("s"), F.col("_end").alias("e"))
-    runs = runs.union(table.where("_start is not null").select("_id", *DOC, "_start", F.col("p"))).distinct().withColumn("n", F.col("e") - F.col("s") + 1)
-    size = F.floor(F.log2("n") + 1e-9).cast("int")
-    runs = runs.withColumn("_k", size).withColumn("_tail", F.col("e") - F.expr("shiftleft(1, _k)") + 1)
-    by_place = table.select(*DOC, "p", F.array(*(f"r{k}" for k in range(max(0, levels) + 1))).alias("_r"))
-    at = F.col("_k") + 1
-    runs = runs.join(by_place.withColumnRenamed("p", "s"), [*DOC, "s"]).withColumn("_a", F.element_at("_r", at)).drop("_r").where("_a is not null")
-    runs = runs.join(by_place.withColumnRenamed("p", "_tail"), [*DOC, "_tail"]).withColumn("_b", F.element_at("_r", at)).drop("_r").where("_b is not null")
-    runs = scratch.save(runs.select("_id", *DOC, "s", "e", "n", "_a", "_b"))
-    interval = ["n", "_a", "_b"]
-    firsts = scratch.save(runs.groupBy(*interval).agg(F.min(F.struct("_id", *DOC, "s")).alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1"))
-    later = runs.join(firsts, interval).where(F.struct(*DOC, "s") != F.struct(*(f"_first.{c}" for c in (*DOC, "s"))))
-    places = later.select(*DOC, F.explode(F.sequence("s", "e")).alias("p")).distinct()
-    return scratch.save(places.join(table.select(*DOC, "p", "i"), [*DOC, "p"]).groupBy(*DOC).agg(F.collect_set("i").alias("_ld_gone")))
+
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> DataFrame:
+    """(document key, the numbers of its lines to delete) for the documents that lose lines."""
+    table, last = doubled(repeated_stretches(docs, id_col, text_col, min_words, scratch), scratch)
+    later = later_copies(suffix_array(table, last, scratch), scratch)
+    places = later.select(*DOC, F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("p")).distinct()
+    gone = scratch.save(places.join(table.select(*DOC, "p", "i"), [*DOC, "p"]).groupBy(*DOC).agg(F.collect_set("i").alias("_gone")))
+    scratch.drop(table)
+    return gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """``docs`` with later copies of runs of lines deleted from the text; ``removed`` names a column for their number."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
     gone = removed_lines(docs, id_col, text_col, min_words, scratch)
-    rest = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_ld_gone", i)), "\n")
-    columns = [F.when(F.col("_ld_gone").isNull(), F.col(text_col)).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    weight = gone.agg(F.sum(F.size("_gone") * 4 + 64)).first()[0] or 0
+    # the texts need not be sorted, and where the table is small they need not move
+    gone = F.broadcast(gone) if weight <= BROADCAST_BYTES else gone.hint("shuffle_hash")
+    names = [free_name(c, docs.columns) for c in (*DOC, "_gone")]
+    gone = gone.toDF(*names)
+    numbers = F.col(names[2])
+    rest = F.array_join(F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: ~F.array_contains(numbers, i)), "\n")
+    columns = [F.when(numbers.isNull(), F.col(f"`{c}`")).otherwise(rest).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if removed:
-        columns.append(F.coalesce(F.size("_ld_gone"), F.lit(0)).cast("long").alias(removed))
-    # a hash join: the texts need not be sorted
-    return docs.withColumns(_keys(id_col, text_col)).join(gone.hint("shuffle_hash"), DOC, "left").select(*columns)
+        columns.append(F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias(removed))
+    keyed = docs.withColumns(dict(zip(names, _keys(id_col, text_col))))
+    return keyed.join(gone, names[:2], "left").select(*columns)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from pagemill.llm import html_text
+from pagemill.llm import line_dedup as line_dedup_module
 from pagemill.llm._spark import Scratch
 from pagemill.llm.html_text import extract_text, main_text, valid_tokens
 from pagemill.llm.line_dedup import OP2_SQL, line_dedup
@@ -272,3 +273,21 @@ def test_deep_and_long_pages():
     assert main_text("<div class='ad'>" * deep + "x" + "</div>" * deep + "<p>y", []) == "y"
     assert main_text("<p>" + "</b>" * deep + "x" + "</i>" * deep, []) == "x"
     assert len(main_text("<p>" + "word " * 500_000, [])) == 5 * 500_000 - 1
+
+
+def test_suffix_array_and_common_prefixes(spark):
+    rows = made_documents(3) + [(200 + i, "\n".join(["a b"] * (3 + i) + ["c d"])) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    scratch = Scratch(spark, "t")
+    table = line_dedup_module.repeated_stretches(docs, "doc_id", "text", 1, scratch)
+    lines = {}
+    for r in sorted(table.collect(), key=lambda r: r.p):
+        lines.setdefault((r._a, r._b, r._seg), []).append((r.r0, r._id, r.p))
+    suffixes = sorted((tuple(x[0] for x in held[i:]), held[i][1], a, b, held[i][2]) for (a, b, _), held in lines.items() for i in range(len(held)))
+    found = sorted(line_dedup_module.suffix_array(*line_dedup_module.doubled(table, scratch), scratch).collect(), key=lambda r: r._at)
+    assert [(r._id, r._a, r._b, r.p) for r in found] == [s[1:] for s in suffixes]
+    for k in range(1, len(suffixes)):
+        x, y = suffixes[k - 1][0], suffixes[k][0]
+        same = next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+        assert found[k].lcp == same
+    assert found[0].lcp == 0 and max(r.lcp for r in found) > 4

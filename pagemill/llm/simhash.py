@@ -35,8 +35,8 @@ BITS = 3
 SHARED_BYTES = 8 - BITS
 #: A posting with more members is split by another token.
 SMALL = 32
-#: Members of a posting, on average over all bytes, at which the index begins.
-LENGTH = 4
+#: Members of a posting, on average over all bytes, at which the index begins at most: pairs by chance stay below rows of the index.
+LENGTH = 0.25
 
 
 def fingerprint(text: str | None, words: int = SHINGLE) -> int:

@@ -48,14 +48,14 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates one row: that of the smallest id, null ids last, and of rows that share it any one."""
     scratch = Scratch(spark, "near-copies")
-    row = free_name("_row", docs.columns)
+    row, kept = (free_name(c, docs.columns) for c in ("_row", "_kept"))
     # written, so that a row has the same number whenever it is read
     numbered = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()))
     ids = numbered.select(F.col(row).alias("_row"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col(row).alias("row")).alias("_order"))
     groups = simhash_dedup(numbered.select(row, "text"), id_col=row).select(F.col(row).alias("_row"), F.col("component_id").alias("_group"))
     # a row that is a group of its own is its least already
-    first = groups.join(ids, "_row").groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col("_least.row").alias("_kept"))
-    return numbered.join(first.hint("shuffle_hash"), numbered[row] == F.col("_kept"), "left_semi").drop(row)
+    first = groups.join(ids, "_row").groupBy("_group").agg(F.min("_order").alias("_least")).select(F.col("_least.row").alias(kept))
+    return numbered.join(first.hint("shuffle_hash"), F.col(row) == F.col(kept), "left_semi").drop(row)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 SEPARATORS = ["\n\n", "。\n", "\n", "。", "！", "？", ". ", "! ", "? "]
 RETRIEVAL_SEPARATORS = ["\n\n", "。", ". ", "；", "; ", "\n"]
 
+#: Tokens a character below which a text is not taken to be.
+LEAST_RATIO = 0.3
+
 Span = tuple[int, int]
 
 
@@ -48,26 +51,27 @@ def by_characters(text: str, size: int = 8000, overlap: int = 500, separators: l
         at = end if began is not None and following <= began else max(following, at + 1)
 
 
-def by_tokens(text: str, estimate: Callable[[str], int], most: int = 6000, overlap: int = 300, separators: list[str] = SEPARATORS) -> Iterator[Span]:
-    """Chunks of up to ``most`` estimated tokens; sizes follow from the text's own ratio of characters to tokens."""
+def by_tokens(text: str, estimate: Callable[[str], int], most: int = 6000, overlap: int = 300, separators: list[str] = SEPARATORS, reach: int = 500) -> Iterator[Span]:
+    """Chunks of up to ``most`` estimated tokens, broken at a separator in their last ``reach`` characters.
+
+    Sizes follow from the text's own tokens a character, taken to be LEAST_RATIO at least.
+    """
     total = estimate(text)
     if total <= most:
         yield 0, len(text)
         return
-    ratio = len(text) / total
-    at, began = 0, None
+    ratio = max(total / len(text), LEAST_RATIO)
+    size, back = int(most / ratio), int(overlap / ratio)
+    at = 0
     while at < len(text):
-        size = int(most * ratio)
-        while size > 500 and estimate(text[at : at + size]) > most:
-            size = int(size * 0.8)
         end = min(at + size, len(text))
-        if end < len(text) and (cut := last_break(text, at, end, separators)) > at + 200:
+        while end > at + 500 and estimate(text[at:end]) > most:
+            end = at + int((end - at) * 0.8)
+        if end < len(text) and (cut := last_break(text, max(at, end - reach), end, separators)) > at + 200:
             end = cut
         if text[at:end].strip():
             yield at, end
-            began = at
-        following = end - int(overlap * ratio)
-        at = end if following <= (began if began is not None else at) else following
+        at = end if end - back <= at else end - back
 
 
 def sliding(text: str, size: int = 12000, overlap: int = 2000, separators: list[str] = RETRIEVAL_SEPARATORS) -> Iterator[Span]:

@@ -26,7 +26,7 @@ def run_scores(rows: DataFrame, keys: list[str], score: str = "score") -> DataFr
 
 def throughput(rows: DataFrame, keys: list[str], seconds: Column, ok: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(
-        F.min(seconds).alias("min"), F.max(seconds).alias("max"), F.avg(seconds).alias("mean"), (F.count(F.lit(1)) / (F.sum(seconds) / 60)).alias("per_minute"), F.avg(ok.cast("int")).alias("success_rate")
+        F.min(seconds).alias("min"), F.max(seconds).alias("max"), F.avg(seconds).alias("mean"), F.try_divide(F.count(F.lit(1)), F.sum(seconds) / 60).alias("per_minute"), F.avg(ok.cast("int")).alias("success_rate")
     )
 
 

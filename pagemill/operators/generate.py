@@ -1,6 +1,6 @@
 """The boundary to models that write, judge or read: prompts in, replies out.
 
-A ``Generator`` is called on the executors, once a row, with retries and a breaker; a reply or an error becomes a
+A ``Generator`` is called on the executors, once a row, with retries and a breaker against errors of transport; a reply or an error becomes a
 column and never fails the job. ``Echo`` is a deterministic stand-in for tests. It says nothing about a model's quality.
 """
 
@@ -51,24 +51,28 @@ class ChatCompletion:
             return json.load(r)["choices"][0]["message"]["content"]
 
 
-def _call(batches: Iterator[pa.RecordBatch], generator: Generator, max_tokens: int, tries: int, wait: float) -> Iterator[pa.RecordBatch]:
-    breaker = Breaker()
+def _call(batches: Iterator[pa.RecordBatch], generator: Generator, max_tokens: int, tries: int, wait: float, timeout: float = 30.0) -> Iterator[pa.RecordBatch]:
+    breaker = Breaker(successes=2, timeout=timeout)
     for batch in batches:
         replies, errors, tokens = [], [], []
         for prompt in batch.column(batch.num_columns - 1).to_pylist():
             reply = error = None
             for k in range(tries):
                 try:
-                    if breaker.state["is"] == "open" and time.time() - breaker.state["since"] < breaker.timeout:
-                        raise RuntimeError("circuit open")
+                    if breaker.state["is"] == "open":  # no row is lost to an open circuit: it waits and goes on
+                        time.sleep(max(0.0, breaker.state["since"] + breaker.timeout - time.time()))
                     reply, error = generator.reply(prompt or "", max_tokens), None
                     breaker.step(time.time(), True, 0)
                     break
-                except Exception as e:  # noqa: BLE001  an outside service's error is a result here
+                except OSError as e:  # the service, or the way to it
                     error = f"{type(e).__name__}: {e}"
                     breaker.step(time.time(), False, 0)
                     if k + 1 < tries:
                         time.sleep(wait * 2**k)
+                except Exception as e:  # noqa: BLE001  what the service says about this prompt is a result here
+                    error = f"{type(e).__name__}: {e}"
+                    breaker.step(time.time(), True, 0)
+                    break
             replies.append(reply)
             errors.append(error)
             tokens.append(len((prompt or "").split()) + len((reply or "").split()))

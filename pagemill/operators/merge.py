@@ -42,7 +42,7 @@ def dedup_fuzzy(items: DataFrame, least: int = 10, share: float = 0.6) -> DataFr
     start = F.struct(F.array().cast("array<bigint>").alias("out"), F.array().cast("array<struct<w:array<string>>>").alias("seen"))
 
     def step(acc, x):
-        near = F.exists(acc["seen"], lambda s: F.size(F.array_intersect(s["w"], x["w"])) / F.least(F.size(s["w"]), F.size(x["w"])) > share)
+        near = F.exists(acc["seen"], lambda s: F.coalesce(F.try_divide(F.size(F.array_intersect(s["w"], x["w"])), F.least(F.size(s["w"]), F.size(x["w"]))) > share, F.lit(False)))
         more = F.struct(F.concat(acc["out"], F.array(x["ord"].cast("bigint"))).alias("out"), F.concat(acc["seen"], F.array(F.struct(x["w"].alias("w")))).alias("seen"))
         return F.when(near, acc).otherwise(more)
 

@@ -108,7 +108,7 @@ def ocr_pages(images: DataFrame, read: Callable[[bytes], tuple[str, float]]) ->
 
 def validation(content: Column, length: Column, most: int, markers: list[str] = SUSPICIOUS) -> Column:
     """Whether bytes are a PDF that may pass, its version, warnings and an estimate of its pages."""
-    text = F.decode(content, F.lit("ISO-8859-1"))
+    text = F.decode(content, "ISO-8859-1")
     magic = F.substring(text, 1, 5) == "%PDF-"
     error = F.when(length > most, "too large").when(length < 100, "too small").when(~magic, "not a PDF")
     found = F.filter(F.array(*map(F.lit, [*markers, "/Encrypt"])), lambda m: F.contains(text, m))

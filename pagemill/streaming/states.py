@@ -49,9 +49,12 @@ class Alerts:
 
 
 class Breaker:
-    """Closed until failures add up or fill half of the window; open for a while; half-open until enough successes."""
+    """Closed until failures since it last closed add up, or are half of the last calls, however few; looked at when a call fails.
 
-    def __init__(self, state: dict | None = None, failures: int = 5, rate: float = 0.5, window: int = 10, timeout: float = 30.0, successes: int = 2):
+    Open for a while, and calls are refused; then half-open until enough calls succeed, or one fails. The last calls are kept when it closes.
+    """
+
+    def __init__(self, state: dict | None = None, failures: int = 5, rate: float = 0.5, window: int = 10, timeout: float = 30.0, successes: int = 3):
         self.state = state or {"is": "closed", "failures": 0, "good": 0, "since": 0.0, "window": []}
         self.failures, self.rate, self.window, self.timeout, self.successes = failures, rate, window, timeout, successes
 
@@ -64,15 +67,11 @@ class Breaker:
         s["window"] = [*s["window"], ok][-self.window :]
         if s["is"] == "half_open":
             s["good"] += ok
-            if not ok:
-                s |= {"is": "open", "since": at}
-            elif s["good"] >= self.successes:
-                s |= {"is": "closed", "failures": 0, "window": []}
-        else:
-            s["failures"] += not ok
-            full = len(s["window"]) == self.window
-            if s["failures"] >= self.failures or full and 1 - sum(s["window"]) / self.window >= self.rate:
-                s |= {"is": "open", "since": at}
+            if ok and s["good"] >= self.successes:
+                s |= {"is": "closed", "failures": 0}
+        s["failures"] += not ok
+        if not ok and (s["is"] == "half_open" or s["failures"] >= self.failures or s["window"].count(False) / len(s["window"]) >= self.rate):
+            s |= {"is": "open", "since": at}
         return s["is"]
 
 

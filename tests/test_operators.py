@@ -3,6 +3,7 @@
 import json
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,8 +130,14 @@ def test_state_machines():
     assert [limiter.step(i / 100, True, 0) for i in range(12)].count("rejected") == 2
     assert limiter.step(2.0, True, 0) == "admitted"  # rejected calls left no trace
     breaker = states.Breaker()
-    assert [breaker.step(i, False, 0) for i in range(5)][-1] == "open" and breaker.step(10, True, 0) == "open"
-    assert [breaker.step(40 + i, True, 0) for i in range(2)] == ["half_open", "closed"]
+    assert breaker.step(0, False, 0) == "open"  # one failure of one call
+    assert breaker.step(10, True, 0) == "open"  # refused
+    assert [breaker.step(40 + i, True, 0) for i in range(3)] == ["half_open", "half_open", "closed"]
+    assert [breaker.step(50 + i, ok, 0) for i, ok in enumerate((True, False, False))] == ["closed", "closed", "closed"]  # 3 of 7 calls
+    assert breaker.step(60, False, 0) == "open" and breaker.step(91, False, 0) == "open"  # 4 of 8; fails again half-open
+    many = states.Breaker(rate=1.1)
+    assert [many.step(i, i % 2 > 0, 0) for i in range(9)] == ["closed"] * 8 + ["open"]  # the fifth failure
+    assert [many.step(40 + i, True, 0) for i in range(3)][-1] == "closed" and many.step(50, False, 0) == "closed"  # counted anew
     alerts = states.Alerts()
     assert [alerts.step(t, False, 1) for t in (0, 100, 299, 301)] == ["error_rate", "", "", "error_rate"]
     task = states.Tasks()
@@ -214,3 +221,71 @@ def test_captions_and_condensing():
     short = condense.condense(long, [("methods", "^Methods", 3)], [], passthrough=100, header=50, footer=40, caps=(9, 9, 20), most=400)
     assert short == "Intro\n" + "x" * 44 + "\n\n[methods]\nMethods\nmmmmmmmmmmmm\n\n" + "m" * 39 + "\n"
     assert condense.deep_merge({"a": "", "l": [1], "o": {"x": 1}}, {"a": "v", "l": [1, 2], "o": {"y": 2}, "b": 3}) == {"a": "v", "l": [1, 2], "o": {"x": 1, "y": 2}, "b": 3}
+
+
+def plain_token_chunks(text, estimate, most, overlap, separators, reach=500):
+    """The rules of the chunker one after the other, with slices in place of positions."""
+    total = estimate(text)
+    if total <= most:
+        return [(0, len(text))]
+    per_char = total / len(text)
+    if per_char < 0.3:
+        per_char = 0.3
+    out, start = [], 0
+    while start < len(text):
+        stop = min(len(text), start + int(most / per_char))
+        while estimate(text[start:stop]) > most and stop - start > 500:
+            stop = start + int(0.8 * (stop - start))
+        if stop < len(text):
+            tail = max(start, stop - reach)
+            for s in separators:
+                if s in text[tail:stop]:
+                    cut = tail + text[tail:stop].rindex(s) + len(s)
+                    stop = cut if cut > start + 200 else stop
+                    break
+        if text[start:stop].strip():
+            out.append((start, stop))
+        after = stop - int(overlap / per_char)
+        start = stop if after <= start else after
+    return out
+
+
+@pytest.mark.parametrize("most, overlap", [(6000, 300), (200, 30), (50, 200)])
+def test_token_chunks(most, overlap):
+    import random
+
+    rng = random.Random(most)
+    words = ["word", "another", "and", "结果", "研究。", "end. ", "new\n", "part\n\n", "a-b!", "x"]
+    texts = ["", "short", " ".join(rng.choice(words) for _ in range(30_000)), "long" * 20_000, "字" * 9000 + ". " + "tail " * 5000, " " * 5000 + "x " * 9000]
+    for text in texts:
+        got = list(chunking.by_tokens(text, chunking.token_estimate, most, overlap))
+        assert got == plain_token_chunks(text, chunking.token_estimate, most, overlap, chunking.SEPARATORS)
+
+
+def test_fuzzy_dedup_of_blank_texts(spark):
+    items = spark.createDataFrame([(1, 0, " " * 12), (1, 1, "\t" * 12), (1, 2, "one two three four"), (1, 3, "one two three four five"), (1, 4, "short")], "doc_id long, ord long, text string")
+    assert sorted(r.ord for r in merge.dedup_fuzzy(items).collect()) == [0, 1, 2]
+
+
+class Flaky:
+    """Fails to connect on the first calls; refuses some prompts."""
+
+    calls = 0
+
+    def reply(self, prompt, max_tokens):
+        if "poison" in prompt:
+            raise ValueError("refused")
+        type(self).calls += 1
+        if type(self).calls <= 1:
+            raise ConnectionError("down")
+        return prompt
+
+
+def test_refused_prompts_do_not_open_the_circuit():
+    from pagemill.operators import generate
+
+    Flaky.calls = 0
+    prompts = ["poison"] * 30 + ["good"] * 5 + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(prompts, pa.string())], ["prompt"])
+    out = next(iter(generate._call(iter([batch]), Flaky(), 10, 3, 0.0, timeout=0.01))).to_pydict()
+    assert [e is None for e in out["error"]] == [False] * 30 + [True] * 6

@@ -36,6 +36,9 @@ END = 2
 #: Rounds of multiplicative weights in each solution, the rate at which weights fall, and solutions at most.
 ROUNDS, RATE, SOLUTIONS = 16, 0.02, 6
 
+#: Units, and words apart from them, that a worker remembers the ids of in each of two generations.
+UNITS = 300_000
+
 Pattern = tuple[tuple[int, int], ...]
 
 
@@ -55,7 +58,13 @@ class ByteLevel:
         self.space = self.char[32]
         self.ends = {c: self._match(c) for c in ".,"}
         self.find = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""").findall
-        self.known = Cache(self._unit)
+        self.known, self.words = Cache(self._unit, UNITS), Cache(self._word, UNITS)
+
+    def _word(self, word: str) -> bytes:
+        """Of a word of letters behind a space."""
+        text = self.space + word if word.isascii() else shown(" " + word, self.char)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(text)])
 
     def _match(self, match: str) -> bytes:
         packed = self.packed
@@ -63,13 +72,12 @@ class ByteLevel:
 
     def _unit(self, unit: str) -> bytes:
         """Of a unit other than the first; one word, or one word and a full stop or comma, is the usual case."""
-        packed, tail = self.packed, b""
-        word = unit
-        if word[-1:] in self.ends:
-            word, tail = word[:-1], self.ends[word[-1]]
-        if word.isalpha():  # the pattern's class of letters
-            text = self.space + word if word.isascii() else shown(" " + word, self.char)
-            return b"".join([packed[t.id] for t in self.tokenize(text)]) + tail
+        if unit.isalpha():  # the pattern's class of letters
+            return self._word(unit)
+        tail = self.ends.get(unit[-1:])
+        if tail and unit[:-1].isalpha():
+            word = unit[:-1]
+            return (self.known.get(word) or self.words[word]) + tail
         return b"".join(map(self._match, self.find(spelled(unit))))
 
     def encode(self, text: str) -> bytes:

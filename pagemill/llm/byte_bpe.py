@@ -31,6 +31,8 @@ from pagemill.llm._units import Cache, byte_characters, once, shown, spelled, un
 
 #: Rows whose ids are held at a time; their texts are at hand anyway.
 ROWS = 256
+#: Units, and words apart from them, that a worker remembers the ids of in each of two generations.
+UNITS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -61,7 +63,7 @@ class ByteBpe:
         self.packed = {rank: rank.to_bytes(4, "little") for rank in self.bytes}
         self.space = self.char[32]
         self.tails = {c: self.encode_match(c) for c in ".,"}
-        self.known = Cache(self._unit)
+        self.known, self.words = Cache(self._unit, UNITS), Cache(self._word, UNITS)
 
     def merged(self, raw: bytes) -> list[int]:
         """The ids of a match by definition: join the leftmost pair of least rank until none has a rank."""
@@ -101,13 +103,17 @@ class ByteBpe:
         ids = self.merged(raw) if self.overlapping(raw) else [t.id for t in self.tokenize(shown(match, self.char))]
         return b"".join(map(self.packed.__getitem__, ids))
 
+    def _word(self, word: str) -> bytes:
+        return self.encode_match(" " + word)
+
     def _unit(self, unit: str) -> bytes:
         """Of a unit other than the first; one word, or one word and a full stop or comma, is the usual case."""
-        tail, word = self.tails.get(unit[-1:], b""), unit
-        if tail:
+        if unit.isalpha():  # the pattern's class of letters
+            return self._word(unit)
+        tail = self.tails.get(unit[-1:])
+        if tail and unit[:-1].isalpha():
             word = unit[:-1]
-        if word.isalpha():  # the pattern's class of letters
-            return self.encode_match(" " + word) + tail
+            return (self.known.get(word) or self.words[word]) + tail
         return b"".join(map(self.encode_match, self.find(spelled(unit))))
 
     def encode(self, text: str) -> bytes:
@@ -164,21 +170,22 @@ def bpe_decode(rows: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def _digests(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
-    """Per row, encoded and decoded again: number of ids, digests of ids, of ends and of the decoded bytes."""
-    listed = lambda x: hashlib.sha256(",".join(map(str, x.values.to_numpy().tolist())).encode()).hexdigest()
+    """Per row, encoded and decoded again: number of ids, digests of ids, of the decoded bytes and of ends."""
+    sha = lambda raw: hashlib.sha256(raw).hexdigest()
+    names = {rank: str(rank) for rank in loaded(path, pattern).bytes}
     for batch in _decode(_encode(batches, path, pattern, True), path, pattern):
-        ids, ends, decoded = (batch.column(c) for c in ("ids", "ends", "decoded"))
+        ids = [x.values.to_numpy() for x in batch.column("ids")]
         columns = [
-            pa.array([len(x.values) for x in ids], pa.int64()),
-            pa.array(map(listed, ids), pa.string()),
-            pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in decoded], pa.string()),
-            pa.array(map(listed, ends), pa.string()),
+            pa.array(map(len, ids), pa.int64()),
+            pa.array([sha(",".join(map(names.__getitem__, x.tolist())).encode()) for x in ids], pa.string()),
+            pa.array([sha(x.as_buffer()) for x in batch.column("decoded")], pa.string()),
+            pa.array([sha(x.values.to_numpy().tobytes()) for x in batch.column("ends")], pa.string()),
         ]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["_id", "n_tokens", "ids_sha256", "decoded_sha256", "ends_sha256"])
 
 
 def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """What ``bpe_encode`` and ``bpe_decode`` make of each row, as digests (of numbers in decimal, joined by commas); ids do not leave the worker."""
+    """What ``bpe_encode`` and ``bpe_decode`` make of each row, as digests: ids in decimal, joined by commas, ends as 32-bit little-endian numbers; ids do not leave the worker."""
     short_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))

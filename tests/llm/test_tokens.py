@@ -192,4 +192,4 @@ def test_the_registered_query_against_the_library(spark, tik):
         sha = lambda b: hashlib.sha256(b).hexdigest()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), sha(",".join(map(str, ids)).encode()), sha(docs[r.doc_id].encode()))
         ends = itertools.accumulate(len(tik.decode_single_token_bytes(x)) for x in ids)
-        assert r.ends_sha256 == sha(",".join(map(str, ends)).encode())
+        assert r.ends_sha256 == sha(packed(list(ends)))

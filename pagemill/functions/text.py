@@ -307,10 +307,12 @@ def ngrams(t: Column, n: int = 3, words: str = "[a-zA-Z]+|[0-9]+", cjk: bool = T
     low = F.lower(t)
     grams = lambda xs, sep, short: F.when(F.size(xs) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(xs, i, n), sep))).otherwise(short)
     latin = F.regexp_extract_all(low, F.lit(words), 0)
-    found = grams(latin, " ", latin)
+    # bound once, as an element: a lambda would take the text apart again for each gram
+    bound = lambda xs, f: F.transform(F.array(xs), f)[0]
+    found = bound(latin, lambda xs: grams(xs, " ", xs))
     if cjk:
         signs = F.regexp_extract_all(low, F.lit(CJK), 0)
-        found = F.concat(found, F.filter(grams(signs, "", F.array(F.array_join(signs, ""))), lambda g: g != ""))
+        found = F.concat(found, F.filter(bound(signs, lambda xs: grams(xs, "", F.array(F.array_join(xs, "")))), lambda g: g != ""))
     return F.array_distinct(found)
 
 

@@ -20,22 +20,22 @@ T = lambda: F.col("text")
 
 def source_items(s: SparkSession, d: str) -> DataFrame:
     rows = documents(s, d)
-    return rows.select(F.xxhash64("source").alias("_h"), F.regexp_replace("source", "src", "").cast("long").alias("doc_id"), F.col("doc_id").alias("ord"), F.substring("text", 1, 40).alias("text"), F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.lit("")).alias("quote"), "lang").drop("_h")
+    return rows.select(F.xxhash64("source").alias("_h"), F.regexp_replace("source", "src", "").cast("long").alias("doc_id"), F.col("doc_id").alias("ord"), "text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.lit("")).alias("quote"), "lang").drop("_h")
 
 
-SOURCE_SQL = "items AS (SELECT CAST(replace(source, 'src', '') AS BIGINT) AS doc_id, doc_id AS ord, substring(text, 1, 40) AS text, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 12) ELSE '' END AS quote, lang FROM documents)"
+SOURCE_SQL = "items AS (SELECT CAST(replace(source, 'src', '') AS BIGINT) AS doc_id, doc_id AS ord, text, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 12) ELSE '' END AS quote, lang FROM documents)"
 add(
     "dm1_dedup_two_keys", lambda s, d: merge.dedup_two_keys(source_items(s, d)).select("doc_id", "ord"),
-    f"""WITH RECURSIVE {SOURCE_SQL}, o AS (SELECT *, regexp_replace(lower({strip_sql('text')}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS t, lower({strip_sql('quote')}) AS q, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM items WHERE {strip_sql('text')} <> ''),
+    f"""WITH RECURSIVE {SOURCE_SQL}, o AS (SELECT *, md5(regexp_replace(lower({strip_sql('text')}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS t, lower({strip_sql('quote')}) AS q, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM items WHERE {strip_sql('text')} <> ''),
   f AS (SELECT doc_id, ord, k, true AS kept, [t] AS ts, CASE WHEN q <> '' THEN [q] ELSE []::VARCHAR[] END AS qs FROM o WHERE k = 1
   UNION ALL SELECT o.doc_id, o.ord, o.k, NOT (list_contains(ts, t) OR (q <> '' AND list_contains(qs, q))),
     CASE WHEN list_contains(ts, t) OR (q <> '' AND list_contains(qs, q)) THEN ts ELSE list_append(ts, t) END, CASE WHEN q = '' OR list_contains(ts, t) OR list_contains(qs, q) THEN qs ELSE list_append(qs, q) END
   FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1) SELECT doc_id, ord FROM f WHERE kept""",
 )
-add("dm2_dedup_fuzzy", lambda s, d: merge.dedup_fuzzy(source_items(s, d)).select("doc_id", "ord"))
+add("dm2_dedup_fuzzy", lambda s, d: merge.dedup_fuzzy(source_items(s, d).withColumn("text", F.substring("text", 1, 40))).select("doc_id", "ord"))
 add(
-    "dm3_dedup_prefix", lambda s, d: merge.dedup_prefix(source_items(s, d), 12, 25).select("doc_id", "ord"),
-    f"WITH {SOURCE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substring({strip_sql('lower(text)')}, 1, 12) ORDER BY ord) AS k FROM items), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS j FROM a WHERE k = 1) SELECT doc_id, ord FROM b WHERE j <= 25",
+    "dm3_dedup_prefix", lambda s, d: merge.dedup_prefix(source_items(s, d), 120, 25).select("doc_id", "ord"),
+    f"WITH {SOURCE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substring({strip_sql('lower(text)')}, 1, 120) ORDER BY ord) AS k FROM items), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS j FROM a WHERE k = 1) SELECT doc_id, ord FROM b WHERE j <= 25",
 )
 add("dm4_first_filled", lambda s, d: merge.first_filled(source_items(s, d), ["doc_id"], "ord", "quote", "lang"), f"WITH {SOURCE_SQL} SELECT doc_id, arg_min(quote, ord) FILTER (quote <> '') AS quote, arg_min(lang, ord) AS lang FROM items GROUP BY doc_id")
 add(
@@ -153,6 +153,7 @@ add(
 CALLS = lambda s, d: EVENTS(s, d).select(F.col("user_id").alias("client"), "event_id", F.col("ts").cast("timestamp").cast("double").alias("at"), (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency"))
 add("wn3_alerts", lambda s, d: states.fold(CALLS(s, d), states.Alerts).where("outcome <> ''"))
 add("wn5_breaker", lambda s, d: states.fold(CALLS(s, d), states.Breaker))
+add("wn9_backpressure", lambda s, d: states.fold(CALLS(s, d), states.Backpressure))
 add("wn6_rate_limiter", lambda s, d: states.fold(CALLS(s, d), states.RateLimiter))
 add(
     "wn6_request_count", lambda s, d: EVENTS(s, d).select("event_id", evaluation.requests_within(EVENTS(s, d), "user_id", 3600).alias("n")),

@@ -89,6 +89,29 @@ class Tasks:
         return s["status"]
 
 
+class Backpressure:
+    """A bounded number of calls in flight, some of them running and the others waiting in order; latency is how long a call runs.
+
+    A call is rejected if the flight is full, and gives up if no place to run is free within ``patience``.
+    """
+
+    def __init__(self, state: dict | None = None, flight: int = 50, running: int = 20, patience: float = 30.0):
+        self.state = state or {"flight": []}  # when each call in flight ends, and whether it gets to run
+        self.flight, self.running, self.patience = flight, running, patience
+
+    def step(self, at: float, ok: bool, latency: float) -> str:
+        held = self.state["flight"] = [x for x in self.state["flight"] if x[0] > at]
+        if len(held) >= self.flight:
+            return "rejected"
+        ends = sorted(end for end, runs in held if runs)
+        begins = at if len(ends) < self.running else ends[len(ends) - self.running]
+        if begins - at > self.patience:
+            held.append([at + self.patience, False])
+            return "timeout"
+        held.append([begins + latency, True])
+        return "admitted"
+
+
 OUT = "client long, event_id long, at double, outcome string"
 
 

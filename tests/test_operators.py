@@ -289,3 +289,11 @@ def test_refused_prompts_do_not_open_the_circuit():
     batch = pa.RecordBatch.from_arrays([pa.array(prompts, pa.string())], ["prompt"])
     out = next(iter(generate._call(iter([batch]), Flaky(), 10, 3, 0.0, timeout=0.01))).to_pydict()
     assert [e is None for e in out["error"]] == [False] * 30 + [True] * 6
+
+
+def test_backpressure():
+    gate = states.Backpressure(flight=3, running=2, patience=5.0)
+    calls = [(0, 4), (0, 9), (1, 1), (2, 1), (4.5, 1), (6, 1), (6, 1), (6, 1)]
+    assert [gate.step(at, True, n) for at, n in calls] == ["admitted", "admitted", "admitted", "rejected", "admitted", "admitted", "admitted", "rejected"]
+    full = states.Backpressure(flight=9, running=1, patience=5.0)
+    assert [full.step(at, True, n) for at, n in ((0, 10), (1, 1), (5, 1), (6, 1))] == ["admitted", "timeout", "admitted", "admitted"]

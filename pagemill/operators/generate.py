@@ -57,11 +57,11 @@ def _call(batches: Iterator[pa.RecordBatch], generator: Generator, max_tokens: i
         replies, errors, tokens = [], [], []
         for prompt in batch.column(batch.num_columns - 1).to_pylist():
             reply = error = None
-            for k in range(tries):
+            for k in range(0 if prompt is None else tries):
                 try:
                     if breaker.state["is"] == "open":  # no row is lost to an open circuit: it waits and goes on
                         time.sleep(max(0.0, breaker.state["since"] + breaker.timeout - time.time()))
-                    reply, error = generator.reply(prompt or "", max_tokens), None
+                    reply, error = generator.reply(prompt, max_tokens), None
                     breaker.step(time.time(), True, 0)
                     break
                 except OSError as e:  # the service, or the way to it
@@ -80,7 +80,7 @@ def _call(batches: Iterator[pa.RecordBatch], generator: Generator, max_tokens: i
 
 
 def generate(rows: DataFrame, prompt: Column, generator: Generator, max_tokens: int = 2000, tries: int = 3, wait: float = 1.0) -> DataFrame:
-    """``rows`` with prompt, reply, error and tokens."""
+    """``rows`` with prompt, reply, error and tokens. A null prompt is not asked: it has no reply, no error and no tokens."""
     rows = rows.withColumn("prompt", prompt)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "reply string, error string, tokens long"])
     return rows.mapInArrow(partial(_call, generator=generator, max_tokens=max_tokens, tries=tries, wait=wait), schema)
@@ -101,9 +101,10 @@ def map_reduce(chunks: DataFrame, generator: Generator, map_template: str, merge
     parts = F.array_sort(F.collect_list(F.struct("chunk", F.col("reply").alias("r"))))
     text = F.array_join(F.transform(parts, lambda p: F.concat(F.lit("[部分 "), (p["chunk"] + 1).cast("string"), F.lit("] "), p["r"])), "\n\n")
     whole = each.groupBy("doc_id").agg(text.alias("text"), F.count("error").alias("_failed"))
-    out = generate(whole.where("_failed = 0").select("doc_id", "text"), prompt(merge_template, text=F.col("text")), generator, max_tokens)
-    failed = whole.where("_failed > 0").select("doc_id", F.lit(None).cast("string").alias("reply"), F.concat(F.col("_failed").cast("string"), F.lit(" parts failed")).alias("error"))
-    return out.select("doc_id", "reply", "error").union(failed)
+    # one plan, so no chunk is asked about twice
+    out = generate(whole, F.when(F.col("_failed") == 0, prompt(merge_template, text=F.col("text"))), generator, max_tokens)
+    failed = F.when(F.col("_failed") > 0, F.concat(F.col("_failed").cast("string"), F.lit(" parts failed")))
+    return out.select("doc_id", "reply", F.coalesce(failed, "error").alias("error"))
 
 
 def _refine(key, table, generator: Generator, first: str, then: str, max_tokens: int):

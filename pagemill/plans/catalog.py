@@ -182,7 +182,7 @@ TOKENS_SQL = f"CASE WHEN coalesce(length(text), 0) = 0 THEN 0 ELSE greatest(CAST
 on_documents("sf1_token_estimate", "long", lambda: tx.token_estimate(T()), TOKENS_SQL)
 on_documents("sf2_tokens_to_chars", "long", lambda: tx.tokens_to_chars(F.col("n_chars"), False) + tx.tokens_to_chars(F.col("n_chars")), "floor(n_chars / CAST(0.3 AS DOUBLE)) + floor(n_chars / CAST(1.8 AS DOUBLE))")
 on_documents("sf3_prompt_budget", "long", lambda: tx.prompt_budget(T(), 8000), "CASE WHEN 16284 - CAST(floor(length(text) / CAST(1.2 AS DOUBLE)) AS BIGINT) < 8000 THEN greatest(1000, 16284 - CAST(floor(length(text) / CAST(1.2 AS DOUBLE)) AS BIGINT)) ELSE 8000 END")
-on_pages("sf4_short_markers", "string", lambda: tx.short_page_markers(F.concat(F.lit("[Page "), P().cast("string"), F.lit("]"), F.substring(T(), 1, 20))), "'[p' || page_no || ']' || substring(text, 1, 20)")
+on_pages("sf4_short_markers", "string", lambda: tx.short_page_markers(F.concat(F.lit("[Page "), P().cast("string"), F.lit("]"), T())), "'[p' || page_no || ']' || text")
 add(
     "sf5_page_markers", lambda s, d: pages.tagged_text(page_rows(s, d)).select("doc_id", F.array_join(tx.page_markers(T()), ",").alias("value")),
     f"WITH {PAGES_SQL} SELECT doc_id, string_agg(CAST(page_no AS VARCHAR), ',' ORDER BY page_no) AS value FROM pages_d WHERE page_no <= 200 AND {strip_sql('text')} <> '' GROUP BY doc_id",
@@ -234,13 +234,13 @@ add(
     "sf23_heading", lambda s, d: documents(s, d).select("doc_id", tx.heading(F.concat(F.lit(" ## 1.2 "), F.substring_index("text", "\n", 1), F.lit(":"))).alias("value")),
     f"SELECT doc_id, regexp_replace({strip_sql('string_split(text, chr(10))[1]' + " || ':'")}, '[:：]+$', '') AS value FROM documents",
 )
-on_documents("sf24_control", "string", lambda: tx.without_control(F.concat(F.lit("\x01"), F.substring(T(), 1, 50))), "regexp_replace(chr(1) || substring(text, 1, 50), '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")
+on_documents("sf24_control", "string", lambda: tx.without_control(F.concat(F.lit("\x01"), T())), "regexp_replace(chr(1) || text, '[\\x01-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")
 on_documents("sf25_head_tail", "string", lambda: tx.head_and_tail(T(), 2000, 1000, 1000, "..."), "CASE WHEN length(text) > 2000 THEN substring(text, 1, 1000) || '...' || right(text, 1000) ELSE text END")
 on_documents(
     "sf26_from_body", "string", lambda: F.md5(tx.from_body(T(), ["license", " der "], 3000, 500, 2000, "...").cast("binary")),
     "md5(CASE WHEN length(text) <= 3000 THEN text WHEN coalesce(nullif(instr(text, 'license'), 0), nullif(instr(text, ' der '), 0), 0) - 1 > 500 THEN substring(text, 1, 500) || '...' || substring(text, coalesce(nullif(instr(text, 'license'), 0), nullif(instr(text, ' der '), 0), 0), 2000) ELSE substring(text, 1, 3000) END)",
 )
-on_documents("sf27_unsupported", "string", lambda: tx.without_unsupported(F.concat(F.lit("seen 1999, and 2024, "), F.substring(T(), 1, 20)), F.concat(F.lit("in 1999 "), F.substring(T(), 1, 20)), r"(?:19|20)[0-9]{2},"), strip_sql("regexp_replace('seen 1999, and  ' || substring(text, 1, 20), '[ \\t]{2,}', ' ', 'g')"))
+on_documents("sf27_unsupported", "string", lambda: tx.without_unsupported(F.concat(F.lit("seen 1999, and 2024, "), T()), F.concat(F.lit("in 1999 "), T()), r"(?:19|20)[0-9]{2},"), strip_sql("regexp_replace('seen 1999, and ' || CASE WHEN contains(text, '2024') THEN '2024,' ELSE '' END || ' ' || text, '[ \\t]{2,}', ' ', 'g')"))
 on_documents("sf28_word_count", "long", lambda: tx.word_count(T(), F.when(F.col("lang") == "fr", "zh").otherwise(F.col("lang"))), f"CASE WHEN lang = 'fr' THEN length(text) ELSE {count_sql('text', NOT_SPACE)} END")
 add("sf29_coverage", lambda s, d: page_rows(s, d).groupBy("doc_id", "total_pages").agg(F.collect_set(F.when(tx.holds_any(T(), ["license", "%"]), P())).alias("c")).select("doc_id", tx.coverage(F.col("c"), N()).alias("value")), f"WITH {PAGES_SQL} SELECT doc_id, CAST(count(DISTINCT CASE WHEN {any_sql('text', ['license', '%'])} THEN page_no END) AS DOUBLE) / total_pages AS value FROM pages_d GROUP BY doc_id, total_pages")
 add("sf31_content_hash", lambda s, d: documents(s, d).select("doc_id", F.md5(T().cast("binary")).alias("value")), "SELECT doc_id, md5(text) AS value FROM documents")
@@ -249,5 +249,5 @@ on_documents("sf33_chunk_count", "long", lambda: tx.chunk_count(T(), 1000, 100),
 on_documents("sf34_error_message", "string", lambda: tx.too_short_message("x", F.when(F.col("doc_id") % 2 == 0, F.lit(100)), F.length(T())), "'x' || coalesce(CASE WHEN doc_id % 2 = 0 THEN '，至少需要 100 个字符，当前 ' || length(text) || ' 个字符' END, '')")
 on_documents("sf36_percent", "string", lambda: tx.percent(F.col("n_chars") % 7, F.col("doc_id") % 8), "printf('%.2f%%', CASE WHEN doc_id % 8 > 0 THEN CAST(100.0 * (n_chars % 7) / (doc_id % 8) AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)")
 add("sf38_iso_time", lambda s, d: s.read.parquet(f"{d}/events.parquet").select("event_id", tx.iso_time(F.col("ts")).alias("value")), "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS value FROM events")
-on_documents("sf40_judge_reply", "double", lambda: tx.judge_score(F.concat(F.col("doc_id").cast("string"), F.lit(".5 | "), F.substring(T(), 1, 5))), "doc_id + 0.5")
+on_documents("sf40_judge_reply", "double", lambda: tx.judge_score(F.concat(F.col("doc_id").cast("string"), F.lit(".5 | "), T())), "doc_id + 0.5")
 add("sk10_record_defaults", lambda s, d: documents(s, d).select("doc_id", F.coalesce(F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.lit("{}")).alias("metadata")), "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE '{}' END AS metadata FROM documents")

@@ -15,56 +15,63 @@ from pagemill.streaming import states
 
 T = lambda: F.col("text")
 
-# ---- merging: a source's documents are its items, in order of doc_id
+# ---- merging: a document's lines are its items, a line's last sentence is its quotation
 
 
-def source_items(s: SparkSession, d: str) -> DataFrame:
-    rows = documents(s, d)
-    return rows.select(F.xxhash64("source").alias("_h"), F.regexp_replace("source", "src", "").cast("long").alias("doc_id"), F.col("doc_id").alias("ord"), "text", F.when(F.col("doc_id") % 3 == 0, F.substring("text", 1, 12)).otherwise(F.lit("")).alias("quote"), "lang").drop("_h")
+def line_items(s: SparkSession, d: str) -> DataFrame:
+    lines = documents(s, d).select("doc_id", "lang", F.posexplode(F.split("text", "\n")).alias("_at", "text"))
+    quote = F.when(F.contains("text", F.lit(". ")), F.substring_index("text", ". ", -1)).otherwise(F.lit(""))
+    return lines.select("doc_id", (F.col("_at") + 1).cast("long").alias("ord"), "text", quote.alias("quote"), "lang")
 
 
-SOURCE_SQL = "items AS (SELECT CAST(replace(source, 'src', '') AS BIGINT) AS doc_id, doc_id AS ord, text, CASE WHEN doc_id % 3 = 0 THEN substring(text, 1, 12) ELSE '' END AS quote, lang FROM documents)"
+LINE_ITEMS_SQL = "items AS (SELECT doc_id, ord, line AS text, CASE WHEN contains(line, '. ') THEN string_split(line, '. ')[-1] ELSE '' END AS quote, lang FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ord FROM documents))"
 add(
-    "dm1_dedup_two_keys", lambda s, d: merge.dedup_two_keys(source_items(s, d)).select("doc_id", "ord"),
-    f"""WITH RECURSIVE {SOURCE_SQL}, o AS (SELECT *, md5(regexp_replace(lower({strip_sql('text')}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS t, lower({strip_sql('quote')}) AS q, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM items WHERE {strip_sql('text')} <> ''),
+    "dm1_dedup_two_keys", lambda s, d: merge.dedup_two_keys(line_items(s, d)).select("doc_id", "ord"),
+    f"""WITH RECURSIVE {LINE_ITEMS_SQL}, o AS (SELECT *, md5(regexp_replace(lower({strip_sql('text')}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g')) AS t, lower({strip_sql('quote')}) AS q, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM items WHERE {strip_sql('text')} <> ''),
   f AS (SELECT doc_id, ord, k, true AS kept, [t] AS ts, CASE WHEN q <> '' THEN [q] ELSE []::VARCHAR[] END AS qs FROM o WHERE k = 1
   UNION ALL SELECT o.doc_id, o.ord, o.k, NOT (list_contains(ts, t) OR (q <> '' AND list_contains(qs, q))),
     CASE WHEN list_contains(ts, t) OR (q <> '' AND list_contains(qs, q)) THEN ts ELSE list_append(ts, t) END, CASE WHEN q = '' OR list_contains(ts, t) OR list_contains(qs, q) THEN qs ELSE list_append(qs, q) END
   FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1) SELECT doc_id, ord FROM f WHERE kept""",
 )
-add("dm2_dedup_fuzzy", lambda s, d: merge.dedup_fuzzy(source_items(s, d).withColumn("text", F.substring("text", 1, 40))).select("doc_id", "ord"))
+NEAR_SQL = "len(list_filter(seen, lambda v: coalesce(len(list_intersect(v, w)) / nullif(CAST(least(len(v), len(w)) AS DOUBLE), 0), 0) > 0.6)) > 0"
 add(
-    "dm3_dedup_prefix", lambda s, d: merge.dedup_prefix(source_items(s, d), 120, 25).select("doc_id", "ord"),
-    f"WITH {SOURCE_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substring({strip_sql('lower(text)')}, 1, 120) ORDER BY ord) AS k FROM items), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS j FROM a WHERE k = 1) SELECT doc_id, ord FROM b WHERE j <= 25",
+    "dm2_dedup_fuzzy", lambda s, d: merge.dedup_fuzzy(line_items(s, d)).select("doc_id", "ord"),
+    f"""WITH RECURSIVE {LINE_ITEMS_SQL}, o AS (SELECT doc_id, ord, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda x: x <> '')) AS w, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS k FROM items WHERE length(text) >= 10),
+  f AS (SELECT doc_id, ord, k, true AS kept, [w] AS seen FROM o WHERE k = 1
+  UNION ALL SELECT o.doc_id, o.ord, o.k, NOT {NEAR_SQL}, CASE WHEN {NEAR_SQL} THEN seen ELSE list_append(seen, w) END FROM f JOIN o ON o.doc_id = f.doc_id AND o.k = f.k + 1) SELECT doc_id, ord FROM f WHERE kept""",
 )
-add("dm4_first_filled", lambda s, d: merge.first_filled(source_items(s, d), ["doc_id"], "ord", "quote", "lang"), f"WITH {SOURCE_SQL} SELECT doc_id, arg_min(quote, ord) FILTER (quote <> '') AS quote, arg_min(lang, ord) AS lang FROM items GROUP BY doc_id")
 add(
-    "dm5_merge_lists", lambda s, d: merge.merge_lists(source_items(s, d).withColumn("words", F.split("quote", " ")), ["doc_id"], "ord", "words").select("doc_id", F.array_join("words", "|").alias("words")),
-    f"WITH {SOURCE_SQL}, w AS (SELECT doc_id, ord, unnest(string_split(quote, ' ')) AS w, generate_subscripts(string_split(quote, ' '), 1) AS i FROM items), f AS (SELECT doc_id, w, min(ord * 1000 + i) AS place FROM w GROUP BY ALL) SELECT doc_id, string_agg(w, '|' ORDER BY place) AS words FROM f GROUP BY doc_id",
+    "dm3_dedup_prefix", lambda s, d: merge.dedup_prefix(line_items(s, d), 120, 25).select("doc_id", "ord"),
+    f"WITH {LINE_ITEMS_SQL}, a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, substring({strip_sql('lower(text)')}, 1, 120) ORDER BY ord) AS k FROM items), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS j FROM a WHERE k = 1) SELECT doc_id, ord FROM b WHERE j <= 25",
+)
+add("dm4_first_filled", lambda s, d: merge.first_filled(line_items(s, d), ["doc_id"], "ord", "quote", "text"), f"WITH {LINE_ITEMS_SQL} SELECT doc_id, arg_min(quote, ord) FILTER (quote <> '') AS quote, arg_min(text, ord) FILTER (text <> '') AS text FROM items GROUP BY doc_id")
+add(
+    "dm5_merge_lists", lambda s, d: merge.merge_lists(line_items(s, d).withColumn("words", F.split("text", " ")), ["doc_id"], "ord", "words").select("doc_id", F.array_join("words", "|").alias("words")),
+    f"WITH {LINE_ITEMS_SQL}, w AS (SELECT doc_id, ord, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM items), f AS (SELECT doc_id, w, min(ord * 1000000 + i) AS place FROM w GROUP BY ALL) SELECT doc_id, string_agg(w, '|' ORDER BY place) AS words FROM f GROUP BY doc_id",
 )
 add(
     "dm6_overwrite", lambda s, d: documents(s, d).select("doc_id", merge.overwrite(F.create_map(F.lit("lang"), F.col("lang"), F.lit("a"), F.lit("x")), F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("lang"), F.col("source"))).otherwise(F.create_map(F.lit("b"), F.lit("y")))).alias("m")).select("doc_id", F.col("m")["lang"].alias("lang"), F.size("m").cast("long").alias("n")),
     "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END AS lang, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 3 END AS n FROM documents",
 )
 add(
-    "dm7_composite_merge", lambda s, d: merge.composite_merge(source_items(s, d).withColumn("chunk", F.floor(F.col("ord") / 100)).withColumn("key", F.substring("quote", 1, 4)), ["key", "lang"]).select("doc_id", "ord"),
-    f"WITH {SOURCE_SQL}, c AS (SELECT *, ord // 100 AS chunk, {strip_sql('lower(substring(quote, 1, 4))')} || '|' || lang AS key FROM items), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY chunk, ord) AS k, min(chunk) OVER (PARTITION BY doc_id) AS f FROM c) SELECT doc_id, ord FROM r WHERE chunk = f OR (k = 1 AND replace(key, '|', '') <> '')",
+    "dm7_composite_merge", lambda s, d: merge.composite_merge(line_items(s, d).withColumn("chunk", F.floor(F.col("ord") / 5)).withColumn("mark", F.when(F.contains("text", F.lit("license")), "license")), ["quote", "mark"]).select("doc_id", "ord"),
+    f"WITH {LINE_ITEMS_SQL}, c AS (SELECT *, ord // 5 AS chunk, {strip_sql('lower(quote)')} || '|' || CASE WHEN contains(text, 'license') THEN 'license' ELSE '' END AS key FROM items), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, key ORDER BY chunk, ord) AS k, min(chunk) OVER (PARTITION BY doc_id) AS f FROM c) SELECT doc_id, ord FROM r WHERE chunk = f OR (k = 1 AND replace(key, '|', '') <> '')",
 )
 on_documents("dm9_fill_missing", "string", lambda: merge.fill_missing(F.when(F.col("doc_id") % 2 == 0, F.lit("Not Reported")).otherwise(F.col("lang")), F.col("source")), "CASE WHEN doc_id % 2 = 0 THEN source ELSE lang END")
 add(
-    "dm10_reduce", lambda s, d: merge.reduce_notes(source_items(s, d).selectExpr("doc_id", "ord", "lang AS note", "substring(quote, 1, 3) AS source", "nullif(quote, '') AS scalar"), ["doc_id"], "ord").withColumn("sources", F.array_join("sources", "|")),
-    f"WITH {SOURCE_SQL}, n AS (SELECT doc_id, lang, min(ord) AS place FROM items GROUP BY ALL), s AS (SELECT DISTINCT doc_id, substring(quote, 1, 3) AS q FROM items) SELECT i.doc_id, (SELECT string_agg(lang, chr(10) ORDER BY place) FROM n WHERE n.doc_id = i.doc_id) AS notes, (SELECT string_agg(q, '|' ORDER BY q) FROM s WHERE s.doc_id = i.doc_id) AS sources, arg_max(quote, ord) FILTER (quote <> '') AS scalar FROM items i GROUP BY i.doc_id",
+    "dm10_reduce", lambda s, d: merge.reduce_notes(line_items(s, d).selectExpr("doc_id", "ord", "text AS note", "concat('p', ord div 5) AS source", "nullif(quote, '') AS scalar"), ["doc_id"], "ord").withColumn("sources", F.array_join("sources", "|")),
+    f"WITH {LINE_ITEMS_SQL}, n AS (SELECT doc_id, text, min(ord) AS place FROM items WHERE text <> '' GROUP BY ALL), a AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY place) AS notes FROM n GROUP BY doc_id), b AS (SELECT doc_id, string_agg(DISTINCT 'p' || ord // 5, '|' ORDER BY 'p' || ord // 5) AS sources, arg_max(quote, ord) FILTER (quote <> '') AS scalar FROM items GROUP BY doc_id) SELECT doc_id, coalesce(notes, '') AS notes, sources, scalar FROM b LEFT JOIN a USING (doc_id)",
 )
 on_documents("dm11_longer", "string", lambda: F.array_join(merge.longer(F.array("lang"), F.when(F.col("doc_id") % 2 == 0, F.array("source", "lang"))), ","), "CASE WHEN doc_id % 2 = 0 THEN source || ',' || lang ELSE lang END")
-WORDS_SQL = "list_distinct(string_split({}, ' '))"
+HALVES = lambda first: F.array_distinct(F.flatten(F.collect_list(F.when((F.col("page_no") * 2 <= F.col("total_pages")) == first, F.split("text", " ")))))
 add(
-    "dm12_compare_sets", lambda s, d: page_rows(s, d).where("page_no <= 2").groupBy("doc_id").agg(F.max(F.when(F.col("page_no") == 1, T())).alias("a"), F.max(F.when(F.col("page_no") == 2, T())).alias("b")).where("b IS NOT NULL").select("doc_id", merge.compare_sets(F.array_distinct(F.split("a", " ")), F.array_distinct(F.split("b", " "))).alias("c")).select("doc_id", F.size("c.common").cast("long").alias("common"), F.array_join("c.only_left", " ").alias("l"), F.array_join("c.only_right", " ").alias("r")),
-    f"WITH {PAGES_SQL}, p AS (SELECT doc_id, list_distinct(string_split(max(CASE WHEN page_no = 1 THEN text END), ' ')) AS a, list_distinct(string_split(max(CASE WHEN page_no = 2 THEN text END), ' ')) AS b FROM pages_d WHERE page_no <= 2 GROUP BY doc_id HAVING max(page_no) = 2) SELECT doc_id, CAST(len(list_intersect(a, b)) AS BIGINT) AS common, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x)))[1:5], ' ') AS l, array_to_string(list_sort(list_filter(b, lambda x: NOT list_contains(a, x)))[1:5], ' ') AS r FROM p",
+    "dm12_compare_sets", lambda s, d: page_rows(s, d).groupBy("doc_id").agg(HALVES(True).alias("a"), HALVES(False).alias("b")).select("doc_id", merge.compare_sets(F.col("a"), F.col("b")).alias("c")).select("doc_id", F.size("c.common").cast("long").alias("common"), F.array_join("c.only_left", " ").alias("l"), F.array_join("c.only_right", " ").alias("r")),
+    f"WITH {PAGES_SQL}, w AS (SELECT DISTINCT doc_id, page_no * 2 <= total_pages AS first, unnest(string_split(text, ' ')) AS w FROM pages_d), g AS (SELECT doc_id, w, bool_or(first) AS a, bool_or(NOT first) AS b FROM w GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, a, b ORDER BY w) AS k FROM g) SELECT doc_id, count(*) FILTER (a AND b) AS common, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (a AND NOT b AND k <= 5), '') AS l, coalesce(string_agg(w, ' ' ORDER BY w) FILTER (b AND NOT a AND k <= 5), '') AS r FROM p GROUP BY doc_id",
 )
 add("dm13_page_union", lambda s, d: page_rows(s, d).where("page_no <= 3").select("doc_id", "page_no").union(page_rows(s, d).where(F.contains(T(), F.lit("license"))).select("doc_id", "page_no")).distinct(), f"WITH {PAGES_SQL} SELECT doc_id, page_no FROM pages_d WHERE page_no <= 3 OR contains(text, 'license')")
 add(
-    "dm14_chunk_summaries", lambda s, d: pages.joined(page_rows(s, d).where("page_no <= 4"), "page_no", F.concat(F.lit("[部分 "), F.col("page_no").cast("string"), F.lit("] "), F.substring("text", 1, 30)), "\n\n"),
-    f"WITH {PAGES_SQL} SELECT doc_id, string_agg('[部分 ' || page_no || '] ' || substring(text, 1, 30), chr(10) || chr(10) ORDER BY page_no) AS text FROM pages_d WHERE page_no <= 4 GROUP BY doc_id",
+    "dm14_chunk_summaries", lambda s, d: pages.joined(page_rows(s, d), "page_no", F.concat(F.lit("[部分 "), F.col("page_no").cast("string"), F.lit("] "), F.col("text")), "\n\n"),
+    f"WITH {PAGES_SQL} SELECT doc_id, string_agg('[部分 ' || page_no || '] ' || text, chr(10) || chr(10) ORDER BY page_no) AS text FROM pages_d GROUP BY doc_id",
 )
 
 # ---- replies
@@ -75,7 +82,7 @@ on_documents("js2_extract", "string", lambda: F.get_json_object(js.extracted(REP
 on_documents("js3_untruncated", "string", lambda: js.untruncated(F.concat(F.lit("{\"a\":[{\"n\":"), F.col("doc_id").cast("string"), F.lit("}],\"b\":[{\"n\":"))), "'{\"a\":[{\"n\":' || doc_id || '}]}'")
 on_documents("js4_closed", "string", lambda: js.closed(F.concat(F.lit("{\"a\":[["), F.col("doc_id").cast("string"))), "'{\"a\":[[' || doc_id || ']]}'")
 on_documents("js5_source_lists", "long", lambda: F.aggregate(js.flattened_sources(F.concat(F.lit("{\"a\":{\"sources\":[\"p1\"]},\"b\":[{\"sources\":[\"p"), F.col("doc_id").cast("string"), F.lit("\",\"p2\"]}]}"))), F.lit(0), lambda n, x: n + F.size(x["sources"])), "3")
-on_documents("js7_sample", "string", lambda: js.sample(F.struct(F.split(F.substring("text", 1, 30), " ").alias("findings")), {"findings": 2}, 40), "substring('{\"findings\":' || to_json(string_split(substring(text, 1, 30), ' ')[1:2]) || '}', 1, 40)")
+on_documents("js7_sample", "string", lambda: js.sample(F.struct(F.split("text", " ").alias("findings")), {"findings": 2}, 40), "substring('{\"findings\":' || to_json(string_split(text, ' ')[1:2]) || '}', 1, 40)")
 on_documents("js9_greedy", "string", lambda: js.greedy(F.concat(F.lit("so {\"lang\":\""), F.col("lang"), F.lit("\"} ok"))), "'{\"lang\":\"' || lang || '\"}'")
 on_documents("js10_ordered", "string", lambda: F.get_json_object(js.or_summary(F.when(F.col("doc_id") % 2 == 0, F.lit("plain words")).otherwise(F.concat(F.lit("```json\n{\"summary\":\""), F.col("lang"), F.lit("\"}```")))), "$.summary"), "CASE WHEN doc_id % 2 = 0 THEN 'plain words' ELSE lang END")
 
@@ -197,16 +204,24 @@ add("ca5_summary_cache", lambda s, d: documents(s, d).groupBy(tx.cache_key(T(),
 
 # ---- prompts, tasks, chunks, exports
 
-on_documents("gn3_prompt", "string", lambda: generate.prompt("Summarise ({lang}): {text} END", lang=F.col("lang"), text=F.substring("text", 1, 30)), "'Summarise (' || lang || '): ' || substring(text, 1, 30) || ' END'")
+on_documents("gn3_prompt", "string", lambda: generate.prompt("Summarise ({lang}): {text} END", lang=F.col("lang"), text=F.col("text")), "'Summarise (' || lang || '): ' || text || ' END'")
 SECTION_TASKS_SQL = f"WITH {PAGES_SQL}, s AS (SELECT doc_id, page_no, {SECTION_SQL} AS section FROM pages_d), p AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY doc_id, section ORDER BY page_no) - 1 AS at_ FROM s WINDOW w AS (PARTITION BY doc_id, section)), c AS (SELECT doc_id, section, page_no, CAST(0 AS BIGINT) AS chunk FROM p WHERE n <= 30 UNION ALL SELECT doc_id, section, page_no, g FROM p, generate_series(0, (n - 1) // 17) AS u(g) WHERE n > 30 AND at_ >= g * 17 AND at_ < g * 17 + 20) SELECT doc_id, section, chunk, min(page_no) AS first_page, max(page_no) AS last_page, count(*) AS pages FROM c GROUP BY ALL"
 add("gn8_section_tasks", lambda s, d: generate.section_tasks(page_rows(s, d), RULES), SECTION_TASKS_SQL)
 add("gn21_status", lambda s, d: documents(s, d).select("doc_id", generate.status_of(F.when(F.length("text") < 100, "ContentTooShort").when(F.length("text") > 10000, "Other")).cast("long").alias("value")), "SELECT doc_id, CASE WHEN length(text) < 100 THEN 422 WHEN length(text) > 10000 THEN 500 ELSE 200 END AS value FROM documents")
 add("gn23_errors", lambda s, d: generate.generate(documents(s, d).select("doc_id", "text"), F.col("text"), generate.Echo(poison="license"), 5, 1).select("doc_id", (F.col("error").isNotNull()).alias("failed")), "SELECT doc_id, contains(text, 'license') AS failed FROM documents")
-add("gn4_map_reduce", lambda s, d: generate.map_reduce(page_rows(s, d).where("page_no <= 3").selectExpr("doc_id", "page_no - 1 AS chunk", "text"), generate.Echo(), "{text}", "{text}", 100))
-add("gn5_refine", lambda s, d: generate.refine(page_rows(s, d).where("page_no <= 3").selectExpr("doc_id", "page_no AS chunk", "text"), generate.Echo(), "{text}", "{summary} {text}", 20))
+NORMAL_SQL = lambda t: strip_sql(f"regexp_replace({t}, '{SP}+', ' ', 'g')")
+LAST_WORDS_SQL = lambda t, n: f"array_to_string(string_split({NORMAL_SQL(t)}, ' ')[-{n}:], ' ')"
+add(
+    "gn4_map_reduce", lambda s, d: generate.map_reduce(page_rows(s, d).selectExpr("doc_id", "page_no - 1 AS chunk", "text"), generate.Echo(), "{text}", "{text}", 100),
+    f"WITH {PAGES_SQL}, m AS (SELECT doc_id, string_agg('[部分 ' || page_no || '] ' || {LAST_WORDS_SQL('text', 100)}, chr(10) || chr(10) ORDER BY page_no) AS t FROM pages_d GROUP BY doc_id) SELECT doc_id, {LAST_WORDS_SQL('t', 100)} AS reply, CAST(NULL AS VARCHAR) AS error FROM m",
+)
+add(
+    "gn5_refine", lambda s, d: generate.refine(page_rows(s, d).selectExpr("doc_id", "page_no AS chunk", "text"), generate.Echo(), "{text}", "{summary} {text}", 20),
+    f"WITH {PAGES_SQL}, m AS (SELECT doc_id, string_agg(text, ' ' ORDER BY page_no) AS t FROM pages_d GROUP BY doc_id) SELECT doc_id, {LAST_WORDS_SQL('t', 20)} AS reply, CAST(NULL AS VARCHAR) AS error FROM m",
+)
 for _mode, _options in (("chars", {"size": 800, "overlap": 100}), ("tokens", {"most": 200, "overlap": 30}), ("sliding", {"size": 1200, "overlap": 200})):
     add(f"ch_{_mode}_chunks", lambda s, d, m=_mode, o=_options: chunking.chunks(documents(s, d), chunking.chunker(m, **o)))
-add("sk2_markdown", lambda s, d: documents(s, d).select("doc_id", sinks.markdown(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.col("n_chars"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.substring("text", 1, 20)).alias("value")), "SELECT doc_id, '# Doc ' || doc_id || chr(10) || chr(10) || '- **words**: ' || format('{:,}', n_chars) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- **source**: ' || source || chr(10) ELSE '' END || chr(10) || substring(text, 1, 20) AS value FROM documents")
+add("sk2_markdown", lambda s, d: documents(s, d).select("doc_id", sinks.markdown(F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.col("n_chars"), F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("text")).alias("value")), "SELECT doc_id, '# Doc ' || doc_id || chr(10) || chr(10) || '- **words**: ' || format('{:,}', n_chars) || chr(10) || CASE WHEN doc_id % 2 = 0 THEN '- **source**: ' || source || chr(10) ELSE '' END || chr(10) || text AS value FROM documents")
 add("sk8_batch_summary", lambda s, d: sinks.batch_summary(documents(s, d).select(F.col("lang").alias("doc_type"), (F.col("n_chars") >= 200).alias("success"))), "SELECT lang AS doc_type, count(*) AS n, count(*) FILTER (n_chars >= 200) AS success FROM documents GROUP BY lang")
 
 # ---- the rest
@@ -215,14 +230,17 @@ on_documents(
     "sf6_content_density", "double", lambda: F.round(tx.content_density(T()), 9),
     f"CASE WHEN length(regexp_replace(text, '{SP}+', '', 'g')) = 0 THEN 0.0 ELSE round(least(1.0, list_sum(list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}')), lambda w: length(w)) || [0]) / CAST(length(regexp_replace(text, '{SP}+', '', 'g')) AS DOUBLE) * CASE WHEN len(regexp_extract_all(text, '[.]{{3,}}')) > 5 THEN 0.3 ELSE 1.0 END), 9) END",
 )
-on_documents("sf30_compression", "double", lambda: tx.compression_ratio(F.substring(T(), 1, 500), T()), "CASE WHEN length(text) > 0 THEN round_even(least(500, length(text)) / CAST(length(text) AS DOUBLE), 2) ELSE 0.0 END")
+on_documents("sf30_compression", "double", lambda: tx.compression_ratio(tx.whitespace_normal(T()), T()), f"CASE WHEN length(text) > 0 THEN round_even(length({strip_sql(f"regexp_replace(text, '{SP}+', ' ', 'g')")}) / CAST(length(text) AS DOUBLE), 2) ELSE 0.0 END")
 on_documents("sf35_megabytes", "double", lambda: tx.megabytes(F.col("n_chars") * 100), "round_even(n_chars * 100 / CAST(1048576 AS DOUBLE), 2)")
 add("sf37_json_log", lambda s, d: EVENTS(s, d).select("event_id", F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS").alias("timestamp"), F.col("event_type").alias("message"))).alias("value")), """SELECT event_id, '{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || '","message":"' || event_type || '"}' AS value FROM events""")
 add(
     "dm8_merge_by_text", lambda s, d: merge.merge_lists(item_rows(s, d).withColumn("key", tx.item_key(F.col("text"))).withColumn("sources", F.array(F.concat(F.lit("p"), F.col("cited_page").cast("string")))), ["doc_id", "key"], "ord", "sources").select("doc_id", "key", F.array_join("sources", ",").alias("sources")),
     f"WITH {ITEMS_SQL}, k AS (SELECT doc_id, regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS key, cited_page, min(ord) AS ord FROM items GROUP BY ALL) SELECT doc_id, key, string_agg('p' || cited_page, ',' ORDER BY ord) AS sources FROM k GROUP BY doc_id, key",
 )
-add("dm5_deep_merge", lambda s, d: condense.deep_merged(documents(s, d).where("length(text) > 0").select((F.col("doc_id") % 20).alias("doc_id"), F.col("doc_id").alias("ord"), F.to_json(F.struct("lang", F.array("lang", "source").alias("tags"))).alias("value"))))
+add(
+    "dm5_deep_merge", lambda s, d: condense.deep_merged(line_items(s, d).select("doc_id", "ord", F.to_json(F.struct("lang", F.split("text", " ").alias("words"))).alias("value"))),
+    f"WITH {LINE_ITEMS_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM items), w AS (SELECT doc_id, lang, ord, n, unnest(string_split(text, ' ')) AS w, generate_subscripts(string_split(text, ' '), 1) AS i FROM c), f AS (SELECT doc_id, lang, w, min(ord * 1000000 + i) AS place FROM w GROUP BY doc_id, lang, w, CASE WHEN n = 1 THEN i END) SELECT doc_id, '{{\"lang\": ' || to_json(lang) || ', \"words\": [' || string_agg(CAST(to_json(w) AS VARCHAR), ', ' ORDER BY place) || ']}}' AS value FROM f GROUP BY doc_id, lang",
+)
 add(
     "cl5_classification_pages", lambda s, d: pages.classification_pages(page_rows(s, d), F.round(tx.classification_score(T(), [("the ", 1.5)], []), 6), {"mark": (tx.hits(T(), "license"), 10), "percent": (tx.hits(T(), "%"), 80)}).select("doc_id", "page_no", "must"),
     f"""WITH {PAGES_SQL}, a AS (SELECT *, CASE WHEN {strip_sql('text')} = '' THEN -1.0 ELSE round(len(regexp_extract_all(text, '[0-9]')) * 0.08 + (length(text) - length(replace(text, '%', ''))) * 4.0 + least(length(text), 4000) / CAST(2500 AS DOUBLE) + floor((length(text) - length(replace(lower(text), 'the ', ''))) / 4) * 1.5, 6) END AS score,

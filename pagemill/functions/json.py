@@ -12,7 +12,6 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from pagemill.functions import text as tx
 
@@ -44,7 +43,7 @@ def _first_objects(text: pd.Series) -> pd.Series:
 
 
 def first_object(t: Column) -> Column:
-    return F.pandas_udf(_first_objects, "string", PandasUDFType.SCALAR)(t)
+    return F.pandas_udf(_first_objects, "string")(t)
 
 
 def valid(t: Column) -> Column:
@@ -124,7 +123,7 @@ def _flattened(text: pd.Series) -> pd.Series:
 
 def flattened_sources(t: Column) -> Column:
     """Every list of sources of a JSON text, with its path."""
-    return F.pandas_udf(_flattened, "array<struct<path:string,sources:array<string>>>", PandasUDFType.SCALAR)(t)
+    return F.pandas_udf(_flattened, "array<struct<path:string,sources:array<string>>>")(t)
 
 
 def sample(result: Column, lists: dict[str, int], cap: int) -> Column:

@@ -87,3 +87,10 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def requests_within(calls: DataFrame, key: str, seconds: int, ts: str = "ts") -> Column:
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     return F.count(F.lit(1)).over(Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0))
+
+
+def evict_finished(tasks: DataFrame, finished: Column, order: list[str], most: int = 1000) -> DataFrame:
+    """Tasks, of which the oldest finished go while there are more than ``most``; unfinished ones stay however many they are."""
+    room = max(0, most - tasks.where(~finished).count())
+    newest = tasks.where(finished).orderBy(*(F.desc(c) for c in order)).limit(room)  # at most ``most`` rows
+    return tasks.where(~finished).unionByName(newest)

@@ -200,7 +200,7 @@ def _overlays(unified: pd.Series, parts: pd.Series, guideline: pd.Series) -> pd.
     def one(u, p, g):
         if u is None:
             return None
-        return json.dumps(overlay(json.loads(u), {k: json.loads(v) for k, v in (p or []) if v}, bool(g)), ensure_ascii=False)
+        return json.dumps(overlay(json.loads(u), {k: json.loads(v) for k, v in dict(p or {}).items() if v}, bool(g)), ensure_ascii=False)
 
     return pd.Series([one(*row) for row in zip(unified, parts, guideline)], dtype=object)
 

@@ -15,7 +15,8 @@ ITEM = ["doc_id", "ord"]
 
 
 def candidates(items: DataFrame, pages: DataFrame) -> DataFrame:
-    return items.join(pages.select("doc_id", "page_no", F.col("text").alias("_page")), "doc_id")
+    """Items beside the pages of their document, which are lower-cased once, before they meet."""
+    return items.join(pages.select("doc_id", "page_no", F.lower("text").alias("_page")), "doc_id")
 
 
 def locate(items: DataFrame, pages: DataFrame, wanted: Column, prefix: int = 60, least: int = 10, per_page: int | None = 2500, threshold: float = 0.5, n: int = 3) -> DataFrame:
@@ -53,10 +54,9 @@ def locate_by_words(items: DataFrame, pages: DataFrame, prefix: int = 40, words:
     """The earliest page with the beginning of the quotation, else the page with the most of its first longer words."""
     low = tx.strip(F.lower("quote"))
     prepared = items.withColumns({"_start": F.substring(low, 1, prefix), "_words": F.slice(F.regexp_extract_all(low, F.lit(r"[a-z]{4,}"), 0), 1, words)})
-    page = F.lower("_page")
-    hit = F.when(F.size("_words") >= least, F.size(F.filter("_words", lambda w: F.contains(page, w))) / F.size("_words")).otherwise(0.0)
+    hit = F.when(F.size("_words") >= least, F.size(F.filter("_words", lambda w: F.contains("_page", w))) / F.size("_words")).otherwise(0.0)
     rows = candidates(prepared, pages)
-    score = F.when((F.length("_start") > 0) & F.contains(page, F.col("_start")), 2.0).otherwise(hit)
+    score = F.when((F.length("_start") > 0) & F.contains("_page", F.col("_start")), 2.0).otherwise(hit)
     best = rows.groupBy(*ITEM).agg(F.max(F.struct(score.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"))
     return best.where(F.col("_b.s") >= share).select(*ITEM, (-F.col("_b.p")).alias("page_no"))
 
@@ -64,7 +64,7 @@ def locate_by_words(items: DataFrame, pages: DataFrame, prefix: int = 40, words:
 def verify_by_keywords(items: DataFrame, pages: DataFrame, n: int = 15, share: float = 0.3) -> DataFrame:
     """Checks the cited page by keywords and looks for a better one; what cannot be fixed stays as it is."""
     rows = candidates(items.withColumn("_words", tx.keywords(F.col("text"), n)), pages)
-    hit = F.when(F.size("_words") > 0, F.size(F.filter("_words", lambda w: F.contains(F.lower("_page"), w))) / F.size("_words")).otherwise(0.0)
+    hit = F.when(F.size("_words") > 0, F.size(F.filter("_words", lambda w: F.contains("_page", w))) / F.size("_words")).otherwise(0.0)
     best = rows.groupBy(*ITEM, "cited_page").agg(
         F.max(F.when(F.col("page_no") == F.col("cited_page"), hit)).alias("_own"), F.max(F.struct(hit.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b")
     )
@@ -77,8 +77,7 @@ def relocate(items: DataFrame, pages: DataFrame, near: int = 10, far: int = 15,
     """Keeps a citation with enough of the text's first longer words, else moves it to the page with the most."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)
     rows = candidates(items.withColumns({"_near": F.slice(words, 1, near), "_far": F.slice(words, 1, far)}), pages)
-    page = F.lower("_page")
-    count = lambda ws: F.size(F.filter(ws, lambda w: F.contains(page, w)))
+    count = lambda ws: F.size(F.filter(ws, lambda w: F.contains("_page", w)))
     best = rows.groupBy(*ITEM, "cited_page").agg(
         F.max(F.when(F.col("page_no") == F.col("cited_page"), count("_near"))).alias("_own"), F.max(F.struct(count("_far").alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"),
         F.max(F.size("_near")).alias("_n"), F.max(F.size("_far")).alias("_f"),
@@ -96,7 +95,7 @@ def quote_on_cited_page(items: DataFrame, pages: DataFrame, head: int = 50, pref
 
 def quote_page(items: DataFrame, pages: DataFrame, prefix: int = 40) -> DataFrame:
     """The first page with the beginning of the quotation, or -1."""
-    rows = candidates(items, pages).where(F.contains(F.lower("_page"), F.substring(F.lower("quote"), 1, prefix)))
+    rows = candidates(items, pages).where(F.contains("_page", F.substring(F.lower("quote"), 1, prefix)))
     first = rows.groupBy(*ITEM).agg(F.min("page_no").alias("page_no"))
     return items.select(*ITEM).join(first, ITEM, "left").select(*ITEM, F.coalesce("page_no", F.lit(-1)).alias("page_no"))
 

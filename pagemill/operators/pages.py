@@ -38,9 +38,11 @@ def by_doc():
 
 def page_table(docs: DataFrame, size: int = 200) -> DataFrame:
     """Pages of ``size`` characters; empty and null texts have none."""
-    total = F.ceil(F.length("text") / size).cast("int")
-    numbered = docs.where(F.length("text") > 0).select("doc_id", F.col("text").alias("_whole"), total.alias("total_pages"), F.explode(F.sequence(F.lit(1), total)).alias("page_no"))
-    return numbered.select("doc_id", "page_no", "total_pages", F.substr("_whole", (F.col("page_no") - 1) * size + 1, F.lit(size)).alias("text"))
+    # one pass over the text; an exploded row holds its page, not the whole text
+    cut = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    cut_docs = docs.where(F.length("text") > 0).select("doc_id", cut.alias("_pages"))
+    numbered = cut_docs.select("doc_id", F.size("_pages").alias("total_pages"), F.posexplode("_pages").alias("_at", "text"))
+    return numbered.select("doc_id", (F.col("_at") + 1).alias("page_no"), "total_pages", "text")
 
 
 def joined(rows: DataFrame, order: str, value: Column, separator: str, name: str = "text", keys: Sequence[str] = ("doc_id",)) -> DataFrame:

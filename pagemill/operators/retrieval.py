@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 
 
-def term_frequencies(chunks: DataFrame, fields: dict[str, Sequence[str]]) -> DataFrame:
+def term_frequencies(chunks: DataFrame, fields: dict[str, Sequence[str]], *more: str) -> DataFrame:
     """A row per chunk, field and keyword that occurs in it."""
     low = F.lower("text")
     entries = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w.lower()).alias("keyword"), tx.hits(low, w.lower()).alias("tf")) for f, ws in fields.items() for w in ws))
-    return chunks.select("doc_id", "chunk", F.inline(F.filter(entries, lambda e: e["tf"] > 0)))
+    return chunks.select("doc_id", "chunk", *more, F.inline(entries)).where("tf > 0")
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:
@@ -28,14 +28,14 @@ def document_frequencies(tf: DataFrame) -> DataFrame:
 
 def scores(chunks: DataFrame, fields: dict[str, Sequence[str]]) -> DataFrame:
     """(doc_id, chunk, field, score) for chunks and fields with a hit, boosts included."""
-    tf = term_frequencies(chunks, fields)
-    n = chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    # hits are counted before any shuffle, so texts stay where they are; what follows is partitioned by doc_id
+    rows = term_frequencies(chunks, fields, "density", "has_header").withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "keyword")))
+    rows = rows.join(chunks.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id")
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    raw = tf.join(document_frequencies(tf), ["doc_id", "keyword"]).join(n, "doc_id").groupBy("doc_id", "chunk", "field", "n").agg(F.sum(F.col("tf") * idf).alias("raw"))
+    raw = rows.groupBy("doc_id", "chunk", "field", "n", "density", "has_header").agg(F.sum(F.col("tf") * idf).alias("raw"))
     i = F.col("chunk")
     place = F.when(i == 0, 1.4).when(i == F.col("n") - 1, 1.3).when(i <= 2, 1.15).when(i >= F.col("n") - 3, 1.1).otherwise(1.0)
-    boosted = raw.join(chunks.select("doc_id", "chunk", "density", "has_header"), ["doc_id", "chunk"])
-    return boosted.select("doc_id", "chunk", "field", "n", "raw", (F.col("raw") * place * (1.0 + F.col("density") * 0.3) * F.when(F.col("has_header"), 1.2).otherwise(1.0)).alias("score"))
+    return raw.select("doc_id", "chunk", "field", "n", "raw", (F.col("raw") * place * (1.0 + F.col("density") * 0.3) * F.when(F.col("has_header"), 1.2).otherwise(1.0)).alias("score"))
 
 
 def retrieve(chunks: DataFrame, scored: DataFrame, limits: dict[str, int], least: float = 0.3) -> DataFrame:

@@ -15,6 +15,7 @@ from pagemill.llm.packing import op6_best_fit_packing
 from pagemill.llm.simhash import op10_simhash_near_dedup
 from pagemill.llm.token_counts import op3_token_counts
 from pagemill.llm.toxicity import op9_toxicity
+from pagemill.llm.vector_codes import OP13_SQL, op13_vector_codes
 from pagemill.llm.vector_dedup import OP5_SQL, op5_embedding_near_dedup
 
 
@@ -30,8 +31,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op13_vector_codes": OP13_SQL}

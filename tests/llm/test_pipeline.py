@@ -52,7 +52,7 @@ def test_run_equals_the_stages(spark, stages):
 
 def test_queries_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 

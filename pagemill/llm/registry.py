@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.alignment import op11_token_alignment
 from pagemill.llm.byte_bpe import op8_byte_bpe
 from pagemill.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from pagemill.llm.html_text import op4_html_extraction
@@ -31,6 +32,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_toxicity": op9_toxicity,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
+        "op11_token_alignment": op11_token_alignment,
         "op13_vector_codes": op13_vector_codes,
     }
 

@@ -18,6 +18,7 @@ from pagemill.llm.token_counts import op3_token_counts
 from pagemill.llm.toxicity import op9_toxicity
 from pagemill.llm.vector_codes import OP13_SQL, op13_vector_codes
 from pagemill.llm.vector_dedup import OP5_SQL, op5_embedding_near_dedup
+from pagemill.llm.window_packing import op12_window_packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -33,6 +34,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_simhash_near_dedup": op10_simhash_near_dedup,
         "op11_token_alignment": op11_token_alignment,
+        "op12_window_packing": op12_window_packing,
         "op13_vector_codes": op13_vector_codes,
     }
 

@@ -77,6 +77,15 @@ class Bounds:
         self.book = book
         self.moved = ceil_root(squares(book, before))
         self.between = floor_root(squares(book[:, None], book[None]))
+        self.norms = squares(book, np.zeros_like(book))
+
+    def all_squares(self, x: np.ndarray) -> np.ndarray | None:
+        """Every row against every entry by one product of matrices; None where doubles might not hold the integers."""
+        size = max(np.abs(x).max(initial=0), np.abs(self.book).max(initial=0)) if x.size else 0
+        if int(size) ** 2 * 4 * x.shape[1] >= 1 << 53:
+            return None
+        product = x.astype(np.float64) @ self.book.T.astype(np.float64)
+        return (squares(x, np.zeros_like(x))[:, None] + self.norms - 2 * product).astype(np.int64)
 
     def assign(self, x: np.ndarray, at: np.ndarray, upper: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
         """The new entry and upper bound of each row, and how many distances were measured; ``lower`` is brought up to date in place."""
@@ -94,7 +103,14 @@ class Bounds:
         # first the distance to the part's own entry, which may settle it
         square = squares(x[rows], self.book[at[rows]])
         upper[rows], lower[rows, at[rows]] = ceil_root(square), floor_root(square)
-        k, entry = np.nonzero(near(rows))
+        open_ = near(rows)
+        if 4 * open_.sum() > open_.size and (all_ := self.all_squares(x[rows])) is not None:  # most are open: at the beginning
+            lower[rows] = floor_root(all_)
+            at = at.copy()
+            at[rows] = all_.argmin(1)
+            upper[rows] = ceil_root(all_[np.arange(len(rows)), at[rows]])
+            return at, upper, all_.size
+        k, entry = np.nonzero(open_)
         others = squares(x[rows[k]], self.book[entry])
         lower[rows[k], entry] = floor_root(others)
         row = np.concatenate([np.arange(len(rows)), k])

@@ -13,15 +13,14 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pagemill.llm import window_packing as wp
-from pagemill.llm.packing import ByteLevel
 
 LEVEL = P.path("byte_bpe_50k.json")
 
 
 @pytest.fixture(scope="module")
 def level():
-    tokenizer = ByteLevel(LEVEL)
-    return tokenizer, wp.Sentences(tokenizer)
+    tokenizer = wp.Encoder(LEVEL)
+    return tokenizer, wp.Sentences(tokenizer.level)
 
 
 def padding(length, capacity):
@@ -73,12 +72,28 @@ def test_a_cut_is_forced_where_no_way_is_common():
     assert out[-1] == 300 and len(windows.place) == 1 and all(b - a <= 7 for a, b in zip([0, *out], out))
 
 
+def test_encoder_equals_the_library(level):
+    library = Tokenizer.from_file(LEVEL)
+    assert level[0].fast
+    parts = ["a", "b", "A", " ", "  ", "\n", "\r\n", "\t", "-", "...", "é", "日本", "🙂", "12", "\x1c", "\x85", "\u3000", "'s", "__", "word", "Wörter,", "<|endoftext|>", "internationalisation", "\x00", "ethron", "ndestt"]
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.lists(st.sampled_from(parts), max_size=30).map("".join) | st.text(st.characters(exclude_categories=["Cs"]), max_size=60) | st.text("abcdeilnorst", max_size=60))
+    def check(text):
+        assert level[0].encode(text) == struct.pack(f"<{len(ids)}I", *ids) if (ids := library.encode(text, add_special_tokens=False).ids) else level[0].encode(text) == b""
+
+    check()
+    for text in ("a" * 50_000, "word " * 3000, "- " * 900 + "x" * 3000, " " * 5000, "日本" * 2000):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert level[0].encode(text) == struct.pack(f"<{len(ids)}I", *ids)
+
+
 def test_sentences(level):
     tokenizer, sentences = level
     text = 'One two. Three 3.5 four? "Five!" Six\nSeven e.g. x 日本語。次の文'
     ids = np.frombuffer(tokenizer.encode(text), "<u4")
     ends = sentences.ends(ids)
-    cuts = [tokenizer.whole.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], [*ends, len(ids)])]
+    cuts = [tokenizer.level.whole.decode(ids[a:b].tolist()) for a, b in zip([0, *ends], [*ends, len(ids)])]
     assert "".join(cuts) == text and cuts == ["One two.", " Three 3.5 four?", ' "Five!"', " Six\n", "Seven e.g.", " x 日本語。", "次の文"]
 
 

@@ -1,7 +1,12 @@
 """Evidence: which page a quotation stands on, and what becomes of an item's citation.
 
-Items have doc_id, ord, text, quote and cited_page. They meet the pages of their own document only (an equi-join
-on doc_id); a quotation is settled by aggregations per item, so a long document is no one task's burden.
+Items have doc_id, ord (the two are an item's key), text, quote and cited_page. An item meets a page of its document only where an
+index of n-grams says so: the join is on (doc_id, gram), so neither a long document nor one with many items is a cross product.
+
+- A page that holds the beginning of a text holds every n-gram of words inside that beginning, whose first and last word may be cut.
+  One of them, the middle one, leads to the pages that are searched. Beginnings with too few words for one are searched on all pages.
+- Of m n-grams a page must hold at least ``threshold`` m. Items with fewer in all of the document are out by that count; of the
+  others, a page with enough holds one of the rarest ``present - needed + 1``, so only pages with one of these are compared.
 """
 
 from __future__ import annotations
@@ -12,6 +17,22 @@ from pyspark.sql import functions as F
 from pagemill.functions import text as tx
 
 ITEM = ["doc_id", "ord"]
+PHRASE, START = 2, 3
+#: Above any page number: a rank and a page in one long, since a maximum of longs is a hash aggregation and one of structs a sort.
+STEP = 1 << 32
+
+
+def best_page(rank: Column, page: str = "page_no") -> Column:
+    """The maximum of this is that of the highest rank, and of these the earliest page; ``rank_of`` and ``page_of`` take it apart."""
+    return F.max(rank.cast("long") * STEP - F.col(page))
+
+
+def rank_of(best: Column) -> Column:
+    return F.floor((best + STEP - 1) / STEP)
+
+
+def page_of(best: Column) -> Column:
+    return (rank_of(best) * STEP - best).cast("int")
 
 
 def candidates(items: DataFrame, pages: DataFrame) -> DataFrame:
@@ -19,22 +40,80 @@ def candidates(items: DataFrame, pages: DataFrame) -> DataFrame:
     return items.join(pages.select("doc_id", "page_no", F.lower("text").alias("_page")), "doc_id")
 
 
+def _cjk(t: Column) -> Column:
+    return F.regexp_replace(t, f"[^{tx.CJK[1:-1]}]+", "")
+
+
+def gram_digests(t: Column, n: int = 3) -> Column:
+    """The set of ``text.ngrams`` as digests: of n words in a row, or of single words where there are fewer, and of n CJK characters, or of all where there are fewer."""
+    low = F.lower(t)
+    bound = lambda xs, f: F.transform(F.array(xs), f)[0]  # noqa: E731  evaluated once
+    words = F.transform(F.regexp_extract_all(low, F.lit("[a-z]+|[0-9]+"), 0), lambda w: F.xxhash64(w))
+    rows = lambda xs: F.transform(xs, lambda x, i: F.xxhash64(x, *[F.get(xs, i + k) for k in range(1, n)]))
+    latin = lambda xs: F.when(F.size(xs) >= n, F.slice(rows(xs), F.lit(1), F.greatest(F.size(xs) - n + 1, F.lit(0)))).otherwise(xs)
+    signs = lambda s: F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(s, i, F.lit(n))))).when(F.length(s) > 0, F.array(F.xxhash64(s))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(bound(words, latin), bound(_cjk(low), signs)))
+
+
+def page_index(pages: DataFrame, cap: int | None = None, n: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Pages in lower case with the digests of their n-grams, and a row per page and gram."""
+    page = F.lower(F.col("text") if cap is None else F.substring("text", 1, cap))
+    book = pages.select("doc_id", "page_no", page.alias("_page")).select("*", gram_digests(F.col("_page"), n).alias("_of_page"))
+    return book, book.select("doc_id", "page_no", F.explode("_of_page").alias("_gram"))
+
+
+def probe(start: Column, n: int = 3) -> Column:
+    """The digest of an n-gram that every page with ``start`` (in lower case) has; null if it has none inside."""
+    inside = F.regexp_extract_all(F.regexp_replace(start, "^([a-z]+|[0-9]+)|([a-z]+|[0-9]+)$", ""), F.lit("[a-z]+|[0-9]+"), 0)
+    signs = _cjk(start)
+    middle = lambda xs: F.when(F.size(xs) >= n, F.xxhash64(*[F.xxhash64(F.get(xs, F.floor((F.size(xs) - n) / 2).cast("int") + i)) for i in range(n)]))
+    return F.coalesce(F.transform(F.array(inside), middle)[0], F.when(F.length(signs) >= n, F.xxhash64(F.substring(signs, 1, n))))
+
+
+def pages_with(wanted: DataFrame, book: DataFrame, index: DataFrame) -> DataFrame:
+    """(kind, page_no) pairs per item: pages that hold ``_needle``; of kind PHRASE, whose CJK characters do. ``wanted``: ITEM, _kind, _needle, _gram."""
+    text = book.select("doc_id", "page_no", "_page")
+    led = wanted.where(F.col("_gram").isNotNull()).join(index, ["doc_id", "_gram"]).select(*ITEM, "_kind", "_needle", "page_no").join(text, ["doc_id", "page_no"])
+    blind = wanted.where(F.col("_gram").isNull()).join(text, "doc_id")
+    holds = F.when(F.col("_kind") == PHRASE, F.contains(_cjk(F.col("_page")), F.col("_needle"))).otherwise(F.contains("_page", F.col("_needle")))
+    return led.where(holds).select(*ITEM, "_kind", "page_no").union(blind.where(holds).select(*ITEM, "_kind", "page_no"))
+
+
+def first_page(items: DataFrame, pages: DataFrame, start: Column) -> DataFrame:
+    """The first page that holds ``start`` (in lower case), for the items that have one."""
+    wanted = items.select(*ITEM, F.lit(START).alias("_kind"), start.alias("_needle")).withColumn("_gram", probe(F.col("_needle")))
+    return pages_with(wanted, *page_index(pages)).groupBy(*ITEM).agg(F.min("page_no").alias("page_no"))
+
+
+def most_shared(wanted: DataFrame, book: DataFrame, index: DataFrame, threshold: float) -> DataFrame:
+    """The earliest page with the largest share of an item's n-grams, and the share, if it is enough. ``wanted``: ITEM, _grams."""
+    size = F.size("_grams")
+    rows = wanted.where(F.col("_grams").isNotNull() & (size > 0))  # as the explode below has it, so that both ways share what is before
+    spread = index.groupBy("doc_id", "_gram").agg(F.count(F.lit(1)).alias("_n"), F.min("page_no").alias("_first"))
+    known = rows.select(*ITEM, size.alias("_m"), F.explode("_grams").alias("_gram")).join(spread, ["doc_id", "_gram"])
+    by_item = known.groupBy(*ITEM, "_m").agg(F.sort_array(F.collect_list(F.struct("_n", "_first", "_gram"))).alias("_known"))
+    needed = F.greatest(F.lit(1), F.floor(F.col("_m") * threshold - 1e-9).cast("int"))  # not more than are needed
+    probes = by_item.where(F.size("_known") >= needed).select(*ITEM, F.explode(F.slice("_known", F.lit(1), F.size("_known") - needed + 1)["_gram"]).alias("_gram"))
+    met = probes.join(index, ["doc_id", "_gram"]).select(*ITEM, "page_no").distinct()
+    both = met.join(rows.select(*ITEM, "_grams"), ITEM).join(book.select("doc_id", "page_no", "_of_page"), ["doc_id", "page_no"])
+    best = both.groupBy(*ITEM).agg(best_page(F.size(F.array_intersect("_grams", "_of_page"))).alias("_b"), F.first(size).alias("_m"))
+    share = rank_of(F.col("_b")) / F.col("_m")
+    return best.where(share >= threshold).select(*ITEM, page_of(F.col("_b")).alias("page_no"), share.alias("confidence"))
+
+
 def locate(items: DataFrame, pages: DataFrame, wanted: Column, prefix: int = 60, least: int = 10, per_page: int | None = 2500, threshold: float = 0.5, n: int = 3) -> DataFrame:
     """page_no and confidence per item: the earliest page with the beginning of the text, else with its
     CJK characters, else the earliest page with the largest share of its n-grams, if that is enough."""
     low = tx.strip(F.lower(wanted))
-    cjk = lambda t: F.regexp_replace(t, f"[^{tx.CJK[1:-1]}]", "")
-    grams = tx.ngrams(tx.strip(wanted), n)
-    prepared = items.withColumns({"_start": F.substring(low, 1, prefix), "_cjk": F.substring(cjk(low), 1, 20), "_long": F.length(cjk(low)) >= 8, "_grams": grams}).where(F.length(wanted) >= least)
-    # a page is lower-cased and taken apart once, not once for each item
-    page = F.lower(F.col("text") if per_page is None else F.substring("text", 1, per_page))
-    book = pages.select("doc_id", "page_no", page.alias("_page")).select("*", tx.ngrams(F.col("_page"), n).alias("_of_page"))
-    rows = prepared.join(book, "doc_id")
-    share = F.size(F.array_intersect("_grams", "_of_page")) / F.nullif(F.size("_grams"), F.lit(0))
-    score = F.when(F.contains("_page", F.col("_start")), 3.0).when(F.col("_long") & F.contains(cjk(F.col("_page")), F.col("_cjk")), 2.0).otherwise(share)
-    best = rows.groupBy(*ITEM).agg(F.max(F.struct(score.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"))
-    conf = F.when(F.col("_b.s") == 3.0, 1.0).when(F.col("_b.s") == 2.0, 0.95).otherwise(F.col("_b.s"))
-    return best.where(F.col("_b.s") >= threshold).select(*ITEM, (-F.col("_b.p")).alias("page_no"), conf.alias("confidence"))
+    prepared = items.where(F.length(wanted) >= least).select(*ITEM, F.substring(low, 1, prefix).alias("_start"), _cjk(low).alias("_signs"), gram_digests(wanted, n).alias("_grams"))
+    book, index = page_index(pages, per_page, n)
+    needle = lambda kind, text: F.struct(F.lit(kind).alias("_kind"), text.alias("_needle"), probe(text, n).alias("_gram"))
+    needles = F.array(needle(START, F.col("_start")), needle(PHRASE, F.when(F.length("_signs") >= 8, F.substring("_signs", 1, 20))))
+    exact = pages_with(prepared.select(*ITEM, F.inline(needles)).where("_needle IS NOT NULL"), book, index).groupBy(*ITEM).agg(best_page(F.col("_kind")).alias("_b"))
+    # an outer join in place of an anti join needs the same columns of ``exact`` as ``found``, which therefore is worked out once
+    rest = prepared.select(*ITEM, "_grams").join(exact, ITEM, "left").where("_b IS NULL")
+    found = exact.select(*ITEM, page_of(F.col("_b")).alias("page_no"), F.when(rank_of(F.col("_b")) == START, 1.0).otherwise(0.95).alias("confidence"))
+    return found.union(most_shared(rest, book, index, threshold))
 
 
 def verify(items: DataFrame, located: DataFrame) -> DataFrame:
@@ -53,38 +132,42 @@ def verification_stats(verified: DataFrame, *keys: str) -> DataFrame:
 def locate_by_words(items: DataFrame, pages: DataFrame, prefix: int = 40, words: int = 8, least: int = 3, share: float = 0.5) -> DataFrame:
     """The earliest page with the beginning of the quotation, else the page with the most of its first longer words."""
     low = tx.strip(F.lower("quote"))
-    prepared = items.withColumns({"_start": F.substring(low, 1, prefix), "_words": F.slice(F.regexp_extract_all(low, F.lit(r"[a-z]{4,}"), 0), 1, words)})
-    hit = F.when(F.size("_words") >= least, F.size(F.filter("_words", lambda w: F.contains("_page", w))) / F.size("_words")).otherwise(0.0)
-    rows = candidates(prepared, pages)
-    score = F.when((F.length("_start") > 0) & F.contains("_page", F.col("_start")), 2.0).otherwise(hit)
-    best = rows.groupBy(*ITEM).agg(F.max(F.struct(score.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"))
-    return best.where(F.col("_b.s") >= share).select(*ITEM, (-F.col("_b.p")).alias("page_no"))
+    prepared = items.select(*ITEM, F.substring(low, 1, prefix).alias("_start"), F.slice(F.regexp_extract_all(low, F.lit(r"[a-z]{4,}"), 0), 1, words).alias("_words"))
+    exact = first_page(prepared.where(F.length("_start") > 0), pages, F.col("_start"))
+    # words count inside of others too, so no index of words can say where they are; only what is not settled meets the pages
+    rest = candidates(prepared.where(F.size("_words") >= least).join(exact, ITEM, "left_anti"), pages)
+    hit = F.size(F.filter("_words", lambda w: F.contains("_page", w))) / F.size("_words")
+    best = rest.groupBy(*ITEM).agg(F.max(F.struct(hit.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"))
+    return exact.select(*ITEM, "page_no").union(best.where(F.col("_b.s") >= share).select(*ITEM, (-F.col("_b.p")).alias("page_no")))
+
+
+def on_cited_page(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """Items with their cited page in lower case, null if there is none."""
+    return items.join(pages.select("doc_id", F.col("page_no").alias("cited_page"), F.lower("text").alias("_page")), ["doc_id", "cited_page"], "left")
 
 
 def verify_by_keywords(items: DataFrame, pages: DataFrame, n: int = 15, share: float = 0.3) -> DataFrame:
-    """Checks the cited page by keywords and looks for a better one; what cannot be fixed stays as it is."""
-    rows = candidates(items.withColumn("_words", tx.keywords(F.col("text"), n)), pages)
+    """Checks the cited page by keywords and looks for a better one; what cannot be fixed stays as it is. Items of documents without pages are left out."""
     hit = F.when(F.size("_words") > 0, F.size(F.filter("_words", lambda w: F.contains("_page", w))) / F.size("_words")).otherwise(0.0)
-    best = rows.groupBy(*ITEM, "cited_page").agg(
-        F.max(F.when(F.col("page_no") == F.col("cited_page"), hit)).alias("_own"), F.max(F.struct(hit.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b")
-    )
-    found = F.coalesce("_own", F.lit(0.0)) >= share
-    moved = ~found & (F.col("_b.s") >= share)
-    return best.select(*ITEM, F.when(moved, -F.col("_b.p")).otherwise(F.col("cited_page")).alias("page_no"), F.when(moved, "fixed").otherwise("verified").alias("status"))
+    rows = items.select(*ITEM, "cited_page", tx.keywords(F.col("text"), n).alias("_words"))
+    own = on_cited_page(rows, pages).withColumn("_found", F.coalesce(hit, F.lit(0.0)) >= share).drop("_page")
+    # only what is not on its page meets the others
+    best = candidates(own.where(~F.col("_found")), pages).groupBy(*ITEM, "cited_page").agg(F.max(F.struct(hit.alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"))
+    moved = F.col("_b.s") >= share
+    fixed = best.select(*ITEM, F.when(moved, -F.col("_b.p")).otherwise(F.col("cited_page")).alias("page_no"), F.when(moved, "fixed").otherwise("verified").alias("status"))
+    return own.where("_found").select(*ITEM, F.col("cited_page").alias("page_no"), F.lit("verified").alias("status")).union(fixed)
 
 
 def relocate(items: DataFrame, pages: DataFrame, near: int = 10, far: int = 15, share: float = 0.25) -> DataFrame:
     """Keeps a citation with enough of the text's first longer words, else moves it to the page with the most."""
     words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: F.length(w) > 3)
-    rows = candidates(items.withColumns({"_near": F.slice(words, 1, near), "_far": F.slice(words, 1, far)}), pages)
     count = lambda ws: F.size(F.filter(ws, lambda w: F.contains("_page", w)))
-    best = rows.groupBy(*ITEM, "cited_page").agg(
-        F.max(F.when(F.col("page_no") == F.col("cited_page"), count("_near"))).alias("_own"), F.max(F.struct(count("_far").alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"),
-        F.max(F.size("_near")).alias("_n"), F.max(F.size("_far")).alias("_f"),
-    )
-    own = F.coalesce("_own", F.lit(0)) >= F.greatest(F.lit(2.0), F.col("_n") * share)
-    moved = ~own & (F.col("_b.s") >= F.greatest(F.lit(3.0), F.col("_f") * share))
-    return best.select(*ITEM, F.when(moved, -F.col("_b.p")).otherwise(F.col("cited_page")).alias("page_no"), own.alias("verified"), moved.alias("moved"))
+    rows = items.select(*ITEM, "cited_page", F.slice(words, 1, near).alias("_near"), F.slice(words, 1, far).alias("_far"))
+    own = on_cited_page(rows, pages).withColumn("_own", F.when(F.col("_page").isNotNull(), count("_near")).otherwise(0) >= F.greatest(F.lit(2.0), F.size("_near") * share)).drop("_page")
+    best = candidates(own.where(~F.col("_own")), pages).groupBy(*ITEM, "cited_page").agg(F.max(F.struct(count("_far").alias("s"), (-F.col("page_no")).alias("p"))).alias("_b"), F.max(F.size("_far")).alias("_f"))
+    moved = F.col("_b.s") >= F.greatest(F.lit(3.0), F.col("_f") * share)
+    kept = own.where("_own").select(*ITEM, F.col("cited_page").alias("page_no"), F.lit(True).alias("verified"), F.lit(False).alias("moved"))
+    return kept.union(best.select(*ITEM, F.when(moved, -F.col("_b.p")).otherwise(F.col("cited_page")).alias("page_no"), F.lit(False).alias("verified"), moved.alias("moved")))
 
 
 def quote_on_cited_page(items: DataFrame, pages: DataFrame, head: int = 50, prefix: int = 30) -> DataFrame:
@@ -95,8 +178,7 @@ def quote_on_cited_page(items: DataFrame, pages: DataFrame, head: int = 50, pref
 
 def quote_page(items: DataFrame, pages: DataFrame, prefix: int = 40) -> DataFrame:
     """The first page with the beginning of the quotation, or -1."""
-    rows = candidates(items, pages).where(F.contains("_page", F.substring(F.lower("quote"), 1, prefix)))
-    first = rows.groupBy(*ITEM).agg(F.min("page_no").alias("page_no"))
+    first = first_page(items, pages, F.substring(F.lower("quote"), 1, prefix))
     return items.select(*ITEM).join(first, ITEM, "left").select(*ITEM, F.coalesce("page_no", F.lit(-1)).alias("page_no"))
 
 

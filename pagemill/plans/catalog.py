@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
 from pagemill.operators import chunking, evaluation, evidence, merge, pages, retrieval
+from pagemill.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -33,10 +34,9 @@ PAGES_SQL = f"""pages_d AS (
   FROM documents, unnest(generate_series(1, CAST(ceil(length(text) / {PAGE}.0) AS BIGINT))) AS u(g)
 )"""
 ITEMS_SQL = """items AS (
-  SELECT doc_id, 1 AS ord, substring(text, 205, 80) AS text, substring(text, 205, 70) AS quote, 2 AS cited_page, length(text) AS n FROM documents WHERE length(text) >= 400
-  UNION ALL SELECT doc_id, 2, substring(text, 11, 90), substring(text, 11, 70), 2, length(text) FROM documents WHERE length(text) >= 400
-  UNION ALL SELECT d.doc_id, 3, substring(b.text, 1, 90), substring(b.text, 1, 70), 1, length(d.text) FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE length(d.text) >= 400
-  UNION ALL SELECT doc_id, 4, substring(text, 205, 80), '', 2, length(text) FROM documents WHERE length(text) >= 400
+  SELECT doc_id, ord, t AS text, CASE WHEN ord % 3 <> 0 THEN t ELSE '' END AS quote, CAST(1 + floor((ord - 1) * ceil(n / 200.0) / k) AS INTEGER) AS cited_page
+  FROM (SELECT doc_id, length(text) AS n, len(parts) AS k, unnest(parts) AS t, CAST(generate_subscripts(parts, 1) AS INTEGER) AS ord FROM (SELECT *, string_split_regex(text, '[.!?\n]+ *') AS parts FROM documents)) WHERE length(t) >= 20
+  UNION ALL SELECT d.doc_id, 0, b.text, b.text, 1 FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40 WHERE length(d.text) > 0
 )"""
 
 
@@ -69,7 +69,7 @@ def match_sql(t: str, patterns: list[str], flags: str = "") -> str:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet")
+    return files.read_table(spark, f"{sf}/documents.parquet")
 
 
 def page_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,13 +77,15 @@ def page_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def item_rows(spark: SparkSession, sf: str) -> DataFrame:
-    docs = documents(spark, sf).where(F.length("text") >= 400)
+    """Every sentence of a document of 20 characters or more, cited at the page where it would stand if sentences were of one length, and
+    a passage of ``benchmark``, which may or may not stand in the document. Every third sentence has no quotation."""
+    docs = documents(spark, sf).where(F.length("text") > 0)
     marks = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("_k"), F.col("text").alias("_passage"))
-    row = lambda o, t, q, c: F.struct(F.lit(o).alias("ord"), t.alias("text"), q.alias("quote"), F.lit(c).alias("cited_page"))
-    t = F.col("text")
-    own = docs.select("doc_id", F.inline(F.array(row(1, F.substring(t, 205, 80), F.substring(t, 205, 70), 2), row(2, F.substring(t, 11, 90), F.substring(t, 11, 70), 2), row(4, F.substring(t, 205, 80), F.lit(""), 2))))
+    parts = docs.select("doc_id", F.ceil(F.length("text") / PAGE).alias("_pages"), F.split("text", "[.!?\n]+ *").alias("_parts")).select("doc_id", "_pages", F.size("_parts").alias("_k"), F.posexplode("_parts").alias("_i", "text"))
+    cited = (1 + F.floor(F.col("_i") * F.col("_pages") / F.col("_k"))).cast("int")
+    own = parts.where(F.length("text") >= 20).select("doc_id", (F.col("_i") + 1).alias("ord"), "text", F.when((F.col("_i") + 1) % 3 != 0, F.col("text")).otherwise("").alias("quote"), cited.alias("cited_page"))
     # the table of passages is read whole and joined on a key; Spark broadcasts it if it is small
-    other = docs.select("doc_id", (F.col("doc_id") % 40).alias("_k")).join(marks, "_k").select("doc_id", F.lit(3).alias("ord"), F.substring("_passage", 1, 90).alias("text"), F.substring("_passage", 1, 70).alias("quote"), F.lit(1).alias("cited_page"))
+    other = docs.select("doc_id", (F.col("doc_id") % 40).alias("_k")).join(marks, "_k").select("doc_id", F.lit(0).alias("ord"), F.col("_passage").alias("text"), F.col("_passage").alias("quote"), F.lit(1).alias("cited_page"))
     return own.union(other)
 
 

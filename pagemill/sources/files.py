@@ -24,6 +24,19 @@ Parser = Callable[[bytes], tuple[list[str], dict]]
 PAGES = "path string, page_no int, total_pages int, text string, meta map<string,string>, error string"
 
 
+#: Tables up to this size may be dealt out anew.
+SMALL = 1 << 30
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table. A small one in fewer files than the cluster has cores is dealt out to all of them: a file of one row group is one task, and
+    what follows the scan costs far more than a shuffle of so little. Larger tables stay where they are."""
+    rows = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return rows.repartition(cores) if int(str(size)) <= SMALL and len(rows.inputFiles()) < cores else rows
+
+
 def pdf_files(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """path, length and content of the PDFs of a folder, by name."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").load(path).select("path", "length", "content")

@@ -1,7 +1,9 @@
 """Deduplicating and merging extraction items.
 
-The ordered deduplications are folds over the items of one document: whether a row stays depends on which rows before it
-stayed. They run as aggregates over the document's sorted items, inside the JVM.
+The ordered deduplications are defined as folds: whether an item stays depends on which before it stayed. They are worked out for all
+documents at once, in rounds: what has nothing undecided before it stays, what meets one of these goes, and the next round
+begins with the rest. The first undecided item of a document is decided in every round, so rounds end; there are as many as the longest chain
+of items of which each is spared because the one before it went, two or three in texts as they are. No row ever holds a document's items.
 """
 
 from __future__ import annotations
@@ -10,44 +12,81 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
+from pagemill.storage import Steps
 
 
-def ordered_items(items: DataFrame, *columns: Column) -> DataFrame:
-    return items.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", *columns))).alias("_items"))
+def _united(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for df in frames[1:]:
+        out = out.union(df)
+    return out
 
 
 def dedup_two_keys(items: DataFrame) -> DataFrame:
-    """Keeps the first of items with equal text or equal quote; only what is kept counts as seen. Blank texts go."""
-    rows = ordered_items(items.where(F.length(tx.strip(F.col("text"))) > 0), tx.item_key(tx.strip(F.col("text"))).alias("t"), F.lower(tx.strip(F.coalesce("quote", F.lit("")))).alias("q"))
-    none = F.array().cast("array<string>")
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), none.alias("texts"), none.alias("quotes"))
-
-    def step(acc, x):
-        drop = F.array_contains(acc["texts"], x["t"]) | ((x["q"] != "") & F.array_contains(acc["quotes"], x["q"]))
-        more = F.struct(
-            F.concat(acc["out"], F.array(x["ord"].cast("bigint"))).alias("out"),
-            F.concat(acc["texts"], F.array(x["t"])).alias("texts"),
-            F.when(x["q"] != "", F.concat(acc["quotes"], F.array(x["q"]))).otherwise(acc["quotes"]).alias("quotes"),
-        )
-        return F.when(drop, acc).otherwise(more)
-
-    kept = rows.select("doc_id", F.explode(F.aggregate("_items", start, step)["out"]).alias("ord"))
-    return items.join(kept, ["doc_id", "ord"], "left_semi")
+    """Keeps the first of items with equal text or equal quote; only what is kept counts as seen. Blank texts go.
+
+    A round keeps the items that are the first undecided of their text and of their quote; items that share either with them go.
+    Items with the same doc_id and ord stay or go together.
+    """
+    steps = Steps(items.sparkSession, "two-keys")
+    quote = F.lower(tx.strip(F.coalesce("quote", F.lit(""))))
+    rows = items.where(F.length(tx.strip(F.col("text"))) > 0).select("doc_id", "ord", tx.item_key(tx.strip(F.col("text"))).alias("_t"), F.when(quote != "", F.md5(quote.cast("binary"))).alias("_q"))
+    # of equal rows in both keys only the first can stay
+    open_ = steps.save(rows.groupBy("doc_id", "_t", "_q").agg(F.min("ord").alias("ord")))
+    kept = []
+    while not open_.isEmpty():
+        by_text = open_.groupBy("doc_id", "_t").agg(F.min("ord").alias("_first_t"))
+        by_quote = open_.where("_q IS NOT NULL").groupBy("doc_id", "_q").agg(F.min("ord").alias("_first_q"))
+        ranked = open_.join(by_text, ["doc_id", "_t"]).join(by_quote, ["doc_id", "_q"], "left")
+        stay = steps.save(ranked.where("ord = _first_t AND (_q IS NULL OR ord = _first_q)").select("doc_id", "ord", "_t", "_q"))
+        left = steps.save(open_.join(stay, ["doc_id", "_t"], "left_anti").join(stay.where("_q IS NOT NULL"), ["doc_id", "_q"], "left_anti"))
+        steps.drop(open_)
+        kept.append(stay.select("doc_id", "ord"))
+        open_ = left
+    return items.join(_united(kept), ["doc_id", "ord"], "left_semi") if kept else items.where("false")
+
+
+def overlapping(sets: DataFrame, share: float) -> DataFrame:
+    """(doc_id, early, late): items of a document whose words overlap by more than ``share`` of the smaller set. ``sets``: doc_id, ord, words, of one set a document each.
+
+    The smaller set has at least ``needed`` of its words in the other one, hence one of its rarest size - needed + 1 (rare by the number of the
+    document's sets with it). So only these are looked up among all words of sets at least as large, and what is found is verified.
+    """
+    size = F.size("words")
+    words = sets.select("doc_id", "ord", size.alias("_n"), F.explode("words").alias("_word"))
+    spread = words.groupBy("doc_id", "_word").agg(F.count(F.lit(1)).alias("_in"))
+    ranked = words.join(spread, ["doc_id", "_word"]).groupBy("doc_id", "ord", "_n").agg(F.sort_array(F.collect_list(F.struct("_in", "_word")))["_word"].alias("_rare"))
+    needed = F.greatest(F.lit(1), F.floor(F.col("_n") * share).cast("int"))
+    few = ranked.select("doc_id", F.col("ord").alias("_small"), F.col("_n").alias("_m"), F.explode(F.slice("_rare", F.lit(1), F.col("_n") - needed + 1)).alias("_word"))
+    met = few.join(words, ["doc_id", "_word"]).where((F.col("_m") <= F.col("_n")) & (F.col("_small") != F.col("ord")))
+    pairs = met.select("doc_id", F.least("_small", "ord").alias("early"), F.greatest("_small", "ord").alias("late")).distinct()
+    of = lambda name: sets.select("doc_id", F.col("ord").alias(name), F.col("words").alias(f"_{name}"))
+    both = pairs.join(of("early"), ["doc_id", "early"]).join(of("late"), ["doc_id", "late"])
+    return both.where(F.size(F.array_intersect("_early", "_late")) / F.least(F.size("_early"), F.size("_late")) > share).select("doc_id", "early", "late")
 
 
 def dedup_fuzzy(items: DataFrame, least: int = 10, share: float = 0.6) -> DataFrame:
-    """Drops short texts and those whose words overlap too much with a text that was kept, relative to the smaller set."""
-    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
-    rows = ordered_items(items.where(F.length("text") >= least), words.alias("w"))
-    start = F.struct(F.array().cast("array<bigint>").alias("out"), F.array().cast("array<struct<w:array<string>>>").alias("seen"))
+    """Drops short texts and those whose words overlap too much with a text that was kept, relative to the smaller set. Texts without words stay.
 
-    def step(acc, x):
-        near = F.exists(acc["seen"], lambda s: F.coalesce(F.try_divide(F.size(F.array_intersect(s["w"], x["w"])), F.least(F.size(s["w"]), F.size(x["w"]))) > share, F.lit(False)))
-        more = F.struct(F.concat(acc["out"], F.array(x["ord"].cast("bigint"))).alias("out"), F.concat(acc["seen"], F.array(F.struct(x["w"].alias("w")))).alias("seen"))
-        return F.when(near, acc).otherwise(more)
-
-    kept = rows.select("doc_id", F.explode(F.aggregate("_items", start, step)["out"]).alias("ord"))
-    return items.join(kept, ["doc_id", "ord"], "left_semi")
+    Of items with the same set of words only the first can stay, and it meets what the others meet, so pairs are searched among distinct sets.
+    """
+    steps = Steps(items.sparkSession, "fuzzy")
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""))
+    rows = steps.save(items.where(F.length("text") >= least).select("doc_id", "ord", F.sort_array(words).alias("words")))
+    filled = rows.where(F.size("words") > 0)
+    sets = steps.save(filled.groupBy("doc_id", F.md5(F.array_join("words", " ").cast("binary")).alias("_set")).agg(F.min("ord").alias("ord"), F.first("words").alias("words")).drop("_set"))
+    links, gone = steps.save(overlapping(sets, share)), []
+    while not links.isEmpty():
+        first = links.select(F.col("early").alias("ord"), "doc_id").join(links.select("doc_id", F.col("late").alias("ord")), ["doc_id", "ord"], "left_anti").distinct()
+        out = steps.save(links.join(first.withColumnRenamed("ord", "early"), ["doc_id", "early"], "left_semi").select("doc_id", "late").distinct())
+        left = steps.save(links.join(out, ["doc_id", "late"], "left_anti").join(out.withColumnRenamed("late", "early"), ["doc_id", "early"], "left_anti"))
+        steps.drop(links)
+        gone.append(out.withColumnRenamed("late", "ord"))
+        links = left
+    kept = sets.select("doc_id", "ord")
+    if gone:
+        kept = kept.join(_united(gone), ["doc_id", "ord"], "left_anti")
+    return items.join(kept.union(rows.where(F.size("words") == 0).select("doc_id", "ord")), ["doc_id", "ord"], "left_semi")
 
 
 def dedup_prefix(items: DataFrame, prefix: int = 120, most: int = 25) -> DataFrame:

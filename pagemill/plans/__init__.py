@@ -2,7 +2,7 @@
 
 
 def all_queries() -> dict:
-    from pagemill.plans import catalog, catalog_flows, catalog_runs, catalog_tables  # noqa: F401  the modules fill the catalog
+    from pagemill.plans import catalog, catalog_files, catalog_flows, catalog_runs, catalog_tables  # noqa: F401  the modules fill the catalog
 
     return dict(catalog.QUERIES)
 

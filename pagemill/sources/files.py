@@ -1,6 +1,7 @@
 """Files as tables: PDFs and their pages, OCR, results, samples and templates.
 
-Parsing needs an outside library; where it is missing, the scan says so. What needs none, such as validation, is column expressions.
+``pdf_files`` and ``pdf_pages`` go through Spark's own file reader and reach any store that Spark reads; ``formats`` has the same pages as a format of
+their own. Rendering pages as images needs an outside library and says so where it is missing.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagemill.sources.pdf import read_pdf
+
 # Literals in a PDF that call for a warning.
 SUSPICIOUS = ["/JavaScript", "/JS", "/Launch", "/EmbeddedFile", "/OpenAction", "/AA", "/RichMedia"]
 # First bytes of image kinds.
@@ -51,14 +54,6 @@ def check_path(path: str) -> str:
     return path
 
 
-def pymupdf(content: bytes) -> tuple[list[str], dict]:
-    """The parser used by default, if that library is installed."""
-    import fitz
-
-    with fitz.open(stream=content, filetype="pdf") as doc:
-        return [page.get_text() for page in doc], {k: str(v) for k, v in (doc.metadata or {}).items() if v}
-
-
 def _pages(batches: Iterator[pa.RecordBatch], parser: Parser) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
@@ -72,7 +67,7 @@ def _pages(batches: Iterator[pa.RecordBatch], parser: Parser) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)], ["path", "page_no", "total_pages", "text", "meta", "error"])
 
 
-def pdf_pages(files: DataFrame, parser: Parser = pymupdf) -> DataFrame:
+def pdf_pages(files: DataFrame, parser: Parser = read_pdf) -> DataFrame:
     """The pages of PDFs; a file that cannot be read gives a row with its error."""
     return files.select("path", "content").mapInArrow(partial(_pages, parser=parser), PAGES)
 
@@ -128,9 +123,9 @@ def validation(content: Column, length: Column, most: int, markers: list[str] =
     return F.struct(error.isNull().alias("valid"), error.alias("error"), F.when(magic, F.substring(text, 6, 3)).alias("version"), found.alias("warnings"), F.regexp_count(text, F.lit(r"/Type\s*/Page[^s]")).alias("pages"))
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """Stored results, one JSON value a file."""
-    return spark.read.option("multiLine", True).json(path)
+def read_results(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Stored results, one JSON value a file; without a schema all files are read twice."""
+    return spark.read.option("multiLine", True).json(path, schema)
 
 
 def lookup(folder: str, pattern: str = "{key}_sample.json") -> Callable[[str], dict | None]:

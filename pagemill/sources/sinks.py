@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from datetime import UTC, datetime
+from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.sources.docx import write_docx
+from pagemill.sources.pdf import write_report
+
 MIME = {"json": "application/json", "markdown": "text/markdown", "pdf": "application/pdf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 
 
@@ -47,42 +51,55 @@ def _markdown(record: dict) -> bytes:
     return "\n".join([f"# {record.get('title') or 'Summary'}", "", *info, "", str(record.get("summary", ""))]).encode()
 
 
-def _pdf(record: dict) -> bytes:
-    from xml.sax.saxutils import escape
+# The words of a report, and its facts in order (of a PDF those without the parts and the way).
+TITLES = ("文档摘要报告", "医学文献摘要报告")
+TABLE, BODY, FOOTER = "基本信息", "摘要内容", "本摘要由 PDF Summarization Service 自动生成"
+UNKNOWN, LANGUAGES = "未知", {"zh": "中文"}
+
+
+def facts(record: dict, whole: bool) -> list[tuple[str, str]]:
+    """The table of a record: what is known of the source, the summary and how it was made."""
+    n = lambda k: f"{int(record.get(k) or 0):,}"
+    out = [
+        ("源文件", str(record.get("source_filename") or UNKNOWN)), ("语言", LANGUAGES.get(record.get("language"), "English")), ("摘要风格", str(record.get("style") or "")),
+        ("原文长度", f"{n('original_length')} 字符"), ("摘要字数", n("word_count")), ("处理耗时", f"{record.get('processing_time') or 0}s"),
+    ]
+    if whole:
+        out += [("分块数", str(record.get("chunks_processed") or 0)), ("处理策略", str(record.get("strategy") or ""))]
+    return [*out, ("生成时间", str(record.get("created_at") or "").replace("T", " ")[:19])]
+
 
-    from reportlab.lib.styles import getSampleStyleSheet
-    from reportlab.platypus import Paragraph, SimpleDocTemplate
+def paragraphs(record: dict) -> list[str]:
+    return [p for p in str(record.get("summary") or "").split("\n\n") if p.strip()]
 
-    out, style = io.BytesIO(), getSampleStyleSheet()["BodyText"]
-    SimpleDocTemplate(out).build([Paragraph(escape(p), style) for p in str(record.get("summary", "")).split("\n\n")])
-    return out.getvalue()
+
+def _pdf(record: dict) -> bytes:
+    info = {"Title": str(record.get("title") or record.get("source_filename") or UNKNOWN)}
+    return write_report(TITLES[bool(record.get("is_medical"))], facts(record, False), BODY, paragraphs(record), info, TABLE, FOOTER)
 
 
 def _docx(record: dict) -> bytes:
-    from docx import Document
+    return write_docx(TITLES[bool(record.get("is_medical"))], facts(record, True), BODY, [p.strip() for p in paragraphs(record)], TABLE, FOOTER)
+
+
+def _exported(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(f"{name}.{extension}", content) for name, (content, _, extension) in ((r.pop("_name"), export(r, kind)) for r in batch.to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 2, (pa.string(), pa.binary()))], ["name", "content"])
+
 
-    doc, out = Document(), io.BytesIO()
-    table = doc.add_table(rows=0, cols=2)
-    for k, v in record.items():
-        if k != "summary":
-            cells = table.add_row().cells
-            cells[0].text, cells[1].text = k, str(v)
-    for p in str(record.get("summary", "")).split("\n\n"):
-        doc.add_paragraph(p)
-    doc.save(out)
-    return out.getvalue()
+def export_files(records: DataFrame, name: Column, kind: str) -> DataFrame:
+    """A row per record with the name and content of its file, for the format ``row_files``."""
+    if kind.lower() not in exporters():
+        raise ValueError(f"unknown format {kind}")
+    return records.select(name.alias("_name"), "*").mapInArrow(partial(_exported, kind=kind), "name string, content binary")
 
 
 def exporters() -> dict[str, tuple[Callable[[dict], bytes], str, str]]:
-    """Writers by name; those that need a library are there if it is."""
-    from importlib.util import find_spec
-
-    found = {"json": (_json, MIME["json"], "json"), "markdown": (_markdown, MIME["markdown"], "md"), "md": (_markdown, MIME["markdown"], "md")}
-    if find_spec("reportlab"):
-        found["pdf"] = (_pdf, MIME["pdf"], "pdf")
-    if find_spec("docx"):
-        found["docx"] = found["word"] = (_docx, MIME["docx"], "docx")
-    return found
+    """Writers by name."""
+    docx = (_docx, MIME["docx"], "docx")
+    markdown_ = (_markdown, MIME["markdown"], "md")
+    return {"json": (_json, MIME["json"], "json"), "markdown": markdown_, "md": markdown_, "pdf": (_pdf, MIME["pdf"], "pdf"), "docx": docx, "word": docx}
 
 
 def export(record, kind: str = "json") -> tuple[bytes, str, str]:

@@ -248,5 +248,52 @@ add(
   b AS (SELECT *, page_no = 1 OR (h1 > 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY h1 DESC, page_no) = 1) OR (h2 > 0 AND row_number() OVER (PARTITION BY doc_id ORDER BY h2 DESC, page_no) = 1) AS must FROM a WHERE page_no <= CASE WHEN near < 6 THEN 80 ELSE 40 END),
   c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY must DESC, score DESC, page_no DESC) AS place FROM b) SELECT doc_id, page_no, must FROM c WHERE must OR place <= 6""",
 )
-add("ch5_captions", lambda s, d: condense.caption_rows(documents(s, d).select("doc_id", F.concat(F.lit("Table 1: "), F.col("text"), F.lit("\nFig. 2 end")).alias("text"))))
-add("ch6_condensed", lambda s, d: condense.condensed(documents(s, d), [("the", "^The ", 1), ("of", "^Of ", 2)], ["license"], passthrough=2000, header=500, footer=300, caps=(600, 200, 100), most=2500))
+
+# ---- condensing: every line of a document begins a table here, and what stands behind a comma a figure
+
+
+def captioned(s: SparkSession, d: str) -> DataFrame:
+    return documents(s, d).select("doc_id", F.replace(F.replace(F.col("text"), F.lit("\n"), F.lit("\nTable 2. ")), F.lit(", "), F.lit("\nFig. 7 ")).alias("text"))
+
+
+CAPTIONED_SQL = "c AS (SELECT doc_id, replace(replace(text, chr(10), chr(10) || 'Table 2. '), ', ', chr(10) || 'Fig. 7 ') AS text FROM documents)"
+
+
+def matches_sql(name: str, pattern: str) -> str:
+    """As the operator has it, on the table c: matches, the pieces between them, and running sums of both."""
+    pattern = "(?i)" + pattern.replace(r"\s", SP).replace(f":{SP}]", f":{SP[1:-1]}]")
+    return f"""{name} AS (SELECT doc_id, text, k - 1 AS ord, f[k] AS caption, regexp_extract(f[k], '{pattern}', 2) AS number, CAST(list_sum(list_transform(b[1:k], lambda x: length(x))) + list_sum(list_transform(f[1:k], lambda x: length(x))) AS BIGINT) AS e
+  FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS f, string_split_regex(text, '{pattern}') AS b FROM c), unnest(generate_series(1, len(f))) AS u(k))"""
+
+
+BODY_END_SQL = "(?s)" + condense.BODY_END.replace(r"\s", SP) + ".*"
+CAPTIONS_SQL = f"""{matches_sql('tm', condense.TABLE)}, {matches_sql('fm', condense.FIGURE)},
+  caps AS (SELECT doc_id, 'table' AS kind, ord, number, caption, {strip_sql(f"regexp_replace(substring(text, e + 1, 1500), '{BODY_END_SQL}', '')")} AS body FROM tm
+  UNION ALL SELECT doc_id, 'figure', ord, number, caption, {strip_sql("string_split(substring(text, e + 1, 200), chr(10))[1]")} FROM fm)"""
+add("ch5_captions", lambda s, d: condense.caption_rows(captioned(s, d)), f"WITH {CAPTIONED_SQL}, {CAPTIONS_SQL} SELECT doc_id, kind, CAST(ord AS INTEGER) AS ord, number, caption, body FROM caps")
+
+# budgets a twentieth of the operator's own, so that texts of some thousand characters reach every rule
+CONDENSED = {"most": 2500, "header": 400, "caps": (750, 150, 75), "tables": 500, "footer": 250, "room": 250, "reserve": 50}
+SECTIONS = [("opening", r"(Table 2\. )?(The|La|Der|El|Die|Le) ", 1), ("list", r"(Table 2\. )?[0-9]", 3), ("aside", r"(Table 2\. )?[A-D]", 2)]
+STATS, CONCLUSIONS = ["%", "[0-9]+", "license"], ["the", " de "]
+add(
+    "ch6_condensed", lambda s, d: condense.condensed(captioned(s, d), SECTIONS, STATS, CONCLUSIONS, **CONDENSED).withColumns({"sections": F.array_join("sections", ","), "ratio": F.round("ratio", 6)}),
+    f"""WITH c0 AS (SELECT doc_id, replace(replace(text, chr(10), chr(10) || 'Table 2. '), ', ', chr(10) || 'Fig. 7 ') AS text FROM documents), c AS (SELECT * FROM c0 WHERE length(text) > 2500), {CAPTIONS_SQL},
+  l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM c),
+  s AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, CASE {' '.join(f"WHEN regexp_matches({strip_sql('line')}, '^(?:{p})') THEN {k}" for k, (_, p, _) in enumerate(SECTIONS))} END AS r FROM l),
+  m AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY i) - 1, length(text)) AS z FROM s WHERE r IS NOT NULL),
+  h AS (SELECT doc_id, i, ['opening', 'list', 'aside'][r + 1] AS name, [1, 3, 2][r + 1] AS p, substring(text, CAST(a + 1 AS BIGINT), CAST(z - a AS BIGINT)) AS t FROM m),
+  tf AS (SELECT doc_id, string_agg(CASE WHEN kind = 'table' THEN '[表格] ' || caption || chr(10) || body WHEN body <> '' THEN '[图注] ' || caption || ' ' || body END, chr(10) || chr(10) ORDER BY kind DESC, ord) AS t, count(*) FILTER (kind = 'table') AS nt, count(*) FILTER (kind = 'figure') AS nf FROM caps GROUP BY doc_id),
+  above AS (SELECT doc_id, 0 AS place, 0 AS i, 'header' AS name, substring(text, 1, 400) AS t FROM c
+  UNION ALL SELECT doc_id, 1, i, name, CASE p WHEN 1 THEN substring(t, 1, 750) WHEN 3 THEN substring(t, 1, 75) ELSE CASE WHEN length(t) > 300 THEN substring(t, 1, 150) || chr(10) || '...[省略]...' || chr(10) || right(t, 150) ELSE t END END FROM h
+  UNION ALL SELECT doc_id, 2, 0, 'tables_figures', substring(t, 1, 500) FROM tf WHERE t <> ''),
+  u AS (SELECT doc_id, sum(length(t)) AS used FROM above GROUP BY doc_id HAVING sum(length(t)) < 2250),
+  g AS (SELECT doc_id, unnest(string_split_regex(text, '\\n{SP}*\\n')) AS t, generate_subscripts(string_split_regex(text, '\\n{SP}*\\n'), 1) AS i FROM c),
+  sc AS (SELECT *, ({' + '.join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN {w} ELSE 0 END" for w, ps in ((2.0, STATS), (1.5, CONCLUSIONS)) for p in ps)} + CASE WHEN len(regexp_extract_all(t, '[0-9]+([.][0-9]+)?')) > 3 THEN 1.0 ELSE 0 END) * CASE WHEN length(t) < 100 THEN 0.5 ELSE 1 END AS score FROM g WHERE length({strip_sql('t')}) > 50),
+  rk AS (SELECT *, sum(length(t)) OVER (PARTITION BY doc_id ORDER BY score DESC, i ROWS UNBOUNDED PRECEDING) AS taken, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, i) AS k FROM sc JOIN u USING (doc_id) WHERE score >= 1),
+  im AS (SELECT doc_id, string_agg(t, chr(10) || chr(10) ORDER BY k) AS t FROM rk WHERE taken <= 2500 - used - 50 GROUP BY doc_id),
+  parts AS (FROM above UNION ALL SELECT doc_id, 3, 0, 'important', t FROM im UNION ALL SELECT doc_id, 4, 0, 'footer', right(string_split_regex(text, '(?i){condense.REFERENCES.replace(chr(92) + 's', SP)}')[1], 250) FROM c),
+  w AS (SELECT doc_id, substring(string_agg('[' || upper(name) || ']' || chr(10) || t, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY place, i), 1, 2500) AS t, coalesce(string_agg(name, ',' ORDER BY i) FILTER (place = 1), '') AS sections FROM parts GROUP BY doc_id)
+  SELECT doc_id, coalesce(w.t, c0.text) AS text, coalesce(sections, '') AS sections, CAST(CASE WHEN tf.t <> '' THEN nt ELSE 0 END AS INTEGER) AS tables, CAST(CASE WHEN tf.t <> '' THEN nf ELSE 0 END AS INTEGER) AS figures, CASE WHEN w.t IS NULL THEN 1.0 ELSE round(length(w.t) / CAST(length(c0.text) AS DOUBLE), 6) END AS ratio
+  FROM c0 LEFT JOIN w USING (doc_id) LEFT JOIN tf USING (doc_id)""",
+)

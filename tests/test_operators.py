@@ -211,15 +211,9 @@ def test_export():
         sinks.export({}, "xls")
 
 
-def test_captions_and_condensing():
+def test_deep_merge():
     from pagemill.operators import condense
 
-    text = "Table 1. Doses\na 1\nb 2\n\n\n\nmore\nFig. 2: Flow of patients\nTable 3: Next\nc"
-    assert [*condense.captions(text)] == [("table", "1", "Doses", "a 1\nb 2"), ("figure", "2", "Flow of patients", ""), ("table", "3", "Next", "c")]
-    assert condense.condense(text, [], []) == text
-    long = "Intro\n" + "x" * 300 + "\nMethods\n" + "m" * 900 + "\nReferences\n" + "r" * 500
-    short = condense.condense(long, [("methods", "^Methods", 3)], [], passthrough=100, header=50, footer=40, caps=(9, 9, 20), most=400)
-    assert short == "Intro\n" + "x" * 44 + "\n\n[methods]\nMethods\nmmmmmmmmmmmm\n\n" + "m" * 39 + "\n"
     assert condense.deep_merge({"a": "", "l": [1], "o": {"x": 1}}, {"a": "v", "l": [1, 2], "o": {"y": 2}, "b": 3}) == {"a": "v", "l": [1, 2], "o": {"x": 1, "y": 2}, "b": 3}
 
 

@@ -171,6 +171,10 @@ add(
     "SELECT event_id, greatest(0, 3 - count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW)) AS n FROM events",
 )
 add("wn10_latest_status", lambda s, d: evaluation.latest(EVENTS(s, d), ["user_id"], ["ts", "event_id"]).select("user_id", "event_type"), "SELECT user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+add(
+    "wn8_idle_clients", lambda s, d: states.idle_clients(CALLS(s, d)).withColumns({c: F.round(c, 3) for c in ("last_seen", "evicted_at")}),
+    "WITH c AS (SELECT user_id AS client, epoch_us(ts) / 1e6 AS t, lead(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) SELECT client, round(t, 3) AS last_seen, round(t + 3600, 3) AS evicted_at FROM c WHERE n IS NULL OR n - t >= 3600",
+)
 add("wn10_task_states", lambda s, d: states.fold(CALLS(s, d), states.Tasks))
 
 

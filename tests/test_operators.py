@@ -1,7 +1,6 @@
 """Operators on hand-written cases: mixed scripts, edges, order of rows, state machines, outside services."""
 
 import json
-import time
 
 import pyarrow as pa
 import pytest
@@ -144,27 +143,6 @@ def test_state_machines():
     assert [task.step(0, ok, p) for ok, p in ((True, -5), (True, 140), (False, 3))] == ["processing", "completed", "completed"]
 
 
-CALLS = [(c, 10 * c + i, float(i), i % 3 > 0, float(i)) for c in (1, 2) for i in range(9)]
-SCHEMA = "client long, event_id long, at double, ok boolean, latency double"
-
-
-def test_stream_and_batch_agree(spark, tmp_path):
-    calls = spark.createDataFrame(CALLS, SCHEMA)
-    want = sorted(map(tuple, states.fold(calls, states.Breaker).collect()))
-    calls.where("at < 4").coalesce(1).write.parquet(str(tmp_path / "in"))
-    calls.where("at >= 4").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
-    query = states.fold_stream(stream, states.Breaker).writeStream.format("memory").queryName("folded").option("checkpointLocation", str(tmp_path / "ck")).outputMode("append").start()
-    try:
-        # batches go on while states can time out, so the stream never counts as idle
-        until = time.time() + 90
-        while spark.table("folded").count() < len(want) and time.time() < until:
-            time.sleep(0.5)
-        assert sorted(map(tuple, spark.table("folded").collect())) == want
-    finally:
-        query.stop()
-
-
 def test_generation_never_fails_the_job(spark):
     rows = spark.createDataFrame([(1, 0, "a b c"), (1, 1, "d e"), (2, 0, "poison")], "doc_id long, chunk int, text string")
     got = {(r.doc_id, r.chunk): (r.reply, r.error) for r in generate.generate(rows, F.col("text"), generate.Echo(poison="poison"), 2, tries=2, wait=0).collect()}

@@ -59,7 +59,7 @@ def _call(batches: Iterator[pa.RecordBatch], generator: Generator, max_tokens: i
             reply = error = None
             for k in range(0 if prompt is None else tries):
                 try:
-                    if breaker.state["is"] == "open":  # no row is lost to an open circuit: it waits and goes on
+                    if breaker.state["status"] == "open":  # no row is lost to an open circuit: it waits and goes on
                         time.sleep(max(0.0, breaker.state["since"] + breaker.timeout - time.time()))
                     reply, error = generator.reply(prompt, max_tokens), None
                     breaker.step(time.time(), True, 0)

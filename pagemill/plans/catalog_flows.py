@@ -5,14 +5,17 @@ The stand-in ``Lister`` answers with the lines that hold a word, so SQL can say
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions import text as tx
-from pagemill.operators import evaluation, flows, generate, pages
+from pagemill.operators import evaluation, flows, generate, incremental, pages
 from pagemill.plans.catalog import ITEMS_SQL, PAGES_SQL, add, documents, item_rows, page_rows, strip_sql
 from pagemill.plans.catalog_runs import EVENTS, LAST_WORDS_SQL
-from pagemill.plans.catalog_tables import CHUNKS, LINES_SQL, RETRIEVED_SQL, retrieved
+from pagemill.plans.catalog_tables import CHUNKS, LINES_SQL, RETRIEVED_SQL, locate_sql, retrieved
+from pagemill.storage import shared_folder
 
 MARK = "license"
 LISTER = flows.Lister(MARK)
@@ -95,3 +98,24 @@ add(
     "wn11_eviction", lambda s, d: evaluation.evict_finished(EVENTS(s, d), F.col("event_type") != "error", ["ts", "event_id"], 5000).select("event_id"),
     "WITH u AS (SELECT event_id FROM events WHERE event_type = 'error'), f AS (SELECT event_id, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_type <> 'error') SELECT event_id FROM u UNION ALL SELECT event_id FROM f WHERE k <= greatest(0, 5000 - (SELECT count(*) FROM u))",
 )
+
+
+def incremental_run(s: SparkSession, d: str) -> DataFrame:
+    """The table of documents as a stream, run twice; the second run finds nothing to do."""
+    folder = f"{shared_folder(s)}/extraction-{uuid.uuid4().hex}"
+    schema = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").schema
+    kinds = lambda docs: docs.select("doc_id", F.when(F.col("doc_id") % 2 == 0, "REVIEW").otherwise("OTHER").alias("doc_type"))
+    for _ in range(2):
+        # a pattern, since the table may be a file and a stream's plain path must be a folder
+        incremental.run(s.readStream.schema(schema).parquet(f"{d}/documents.parque[t]"), folder, lambda docs: incremental.extracted(docs, kinds, LISTER, BY_TYPE), "1")
+    return incremental.latest(incremental.cached(s, folder)).select("doc_id", "hash", "total", "verified", "fixed", "removed", "failed", "batch")
+
+
+add(
+    "ca4_gn23_incremental", incremental_run,
+    f"""WITH {PAGE_LINES_SQL}, n AS (SELECT doc_id, (max(total_pages) - 1) // 22 + 1 AS parts FROM pages_d GROUP BY doc_id),
+  once AS (SELECT h.doc_id, page_no, text, min(i) AS i FROM hits h JOIN n USING (doc_id) GROUP BY h.doc_id, page_no, text, CASE WHEN parts = 1 THEN i END),
+  items AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, i) AS ord, text, page_no AS cited_page FROM once), {locate_sql('text', 60, 10, 2500, 0.5)},
+  st AS (SELECT i.doc_id, count(*) AS total, count(*) FILTER (l.page_no = cited_page) AS verified, count(*) FILTER (l.page_no <> cited_page) AS fixed, count(*) FILTER (l.page_no IS NULL) AS removed FROM items i LEFT JOIN located l USING (doc_id, ord) GROUP BY i.doc_id)
+  SELECT doc_id, md5(text) AS hash, coalesce(total, 0) AS total, coalesce(verified, 0) AS verified, coalesce(fixed, 0) AS fixed, coalesce(removed, 0) AS removed, 0 AS failed, 0 AS batch FROM documents LEFT JOIN st USING (doc_id)""",
+)

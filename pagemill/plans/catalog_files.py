@@ -111,10 +111,10 @@ add("sc10_listing", sc10, "SELECT doc_id FROM documents WHERE length(text) > 0 O
 add("fl11_validation", fl11, f"WITH {PAGES_SQL} SELECT doc_id, true AS valid, CAST(NULL AS VARCHAR) AS error, '1.5' AS version, count(*) AS pages FROM pages_d GROUP BY doc_id")
 add(
     "sk3_pdf_export", sk3,
-    f"SELECT doc_id, {TITLE_SQL} || chr(10) || '基本信息' || chr(10) || array_to_string(list_transform({FACTS_SQL}, ['生成时间', '2026-01-02 03:04:05']], lambda f: f[1] || chr(9) || f[2] || chr(10)), '') || '摘要内容' || chr(10) || CASE WHEN {strip_sql('text')} <> '' THEN text || chr(10) || chr(10) ELSE '' END || '本摘要由 PDF Summarization Service 自动生成' || chr(10) AS text FROM documents",
+    f"SELECT doc_id, {TITLE_SQL} || chr(10) || '基本信息' || chr(10) || array_to_string(list_transform({FACTS_SQL}, ['生成时间', '2026-01-02 03:04:05']], lambda f: f[1] || chr(9) || f[2] || chr(10)), '') || '摘要内容' || chr(10) || CASE WHEN {strip_sql('text')} <> '' THEN text || chr(10) || chr(10) ELSE '' END || '本摘要由系统自动生成' || chr(10) AS text FROM documents",
 )
 add(
     "sk4_docx_export", sk4,
-    f"SELECT doc_id, array_to_string(list_transform({FACTS_SQL}, ['分块数', '3'], ['处理策略', 'direct'], ['生成时间', '2026-01-02 03:04:05']], lambda f: f[1] || chr(9) || f[2]), chr(10)) AS facts, array_to_string([{TITLE_SQL}, '基本信息', '', '摘要内容'] || CASE WHEN {strip_sql('text')} <> '' THEN [{plain_sql(strip_sql('text'))}] ELSE [] END || ['', '本摘要由 PDF Summarization Service 自动生成'], '|') AS text FROM documents",
+    f"SELECT doc_id, array_to_string(list_transform({FACTS_SQL}, ['分块数', '3'], ['处理策略', 'direct'], ['生成时间', '2026-01-02 03:04:05']], lambda f: f[1] || chr(9) || f[2]), chr(10)) AS facts, array_to_string([{TITLE_SQL}, '基本信息', '', '摘要内容'] || CASE WHEN {strip_sql('text')} <> '' THEN [{plain_sql(strip_sql('text'))}] ELSE [] END || ['', '本摘要由系统自动生成'], '|') AS text FROM documents",
 )
 add("sk7_json_files", sk7, "SELECT doc_id, lang, text FROM documents")

@@ -51,9 +51,9 @@ def _markdown(record: dict) -> bytes:
     return "\n".join([f"# {record.get('title') or 'Summary'}", "", *info, "", str(record.get("summary", ""))]).encode()
 
 
-# The words of a report, and its facts in order (of a PDF those without the parts and the way).
+# The words of a report but its last line, and its facts in order (of a PDF those without the parts and the way).
 TITLES = ("文档摘要报告", "医学文献摘要报告")
-TABLE, BODY, FOOTER = "基本信息", "摘要内容", "本摘要由 PDF Summarization Service 自动生成"
+TABLE, BODY, FOOTER = "基本信息", "摘要内容", "本摘要由系统自动生成"
 UNKNOWN, LANGUAGES = "未知", {"zh": "中文"}
 
 

@@ -74,3 +74,19 @@ def test_replies_that_fail_are_rows(place, spark):
     assert place.run(step) == 2
     rows = {r.doc_id: r for r in incremental.cached(spark, place.folder).collect()}
     assert (rows[2].failed, rows[2].error) == (1, "ValueError: refused: poison") and (rows[1].failed, rows[1].error, rows[1].total) == (1, "no JSON", 0)
+
+
+def test_a_model_is_asked_once_about_a_window(place, tmp_path):
+    place.put([(1, "a license line\n" + "y " * 300), (2, "license here"), (3, "none")])
+    asked = tmp_path / "asked"
+
+    class Noted(flows.Lister):  # notes every call in a file; a local class, which workers get by value
+        def reply(self, prompt, max_tokens):
+            with open(self.path, "a") as f:
+                f.write("x")
+            return super().reply(prompt, max_tokens)
+
+    noted = Noted("license")
+    noted.path = str(asked)
+    assert place.run(lambda docs: incremental.extracted(docs, TYPES, noted, {"OTHER": "{text}\n"})) == 3
+    assert len(asked.read_text()) == 3

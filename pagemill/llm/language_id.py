@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from pagemill.llm._fit import held_out, sample_by_class
 from pagemill.llm._spark import short_batches
-from pagemill.llm._units import trim
+from pagemill.llm._units import forget, trim
 from pagemill.llm.token_counts import WORD, read_pieces
 
 UNKNOWN = "und"
@@ -257,6 +257,7 @@ class WordScores:
 
 
 def _predict(texts: Iterator[pa.Array], path: str, languages: list[str], p: np.ndarray) -> Iterator[pa.Array]:
+    forget()
     scorer = WordScores(path, p)
     for column in texts:
         langs, scores = [], []

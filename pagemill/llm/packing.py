@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagemill.llm._spark import Scratch, short_batches
-from pagemill.llm._units import Cache, byte_characters, once, pack_ids, shown, spelled, units
+from pagemill.llm._units import Cache, byte_characters, once, pack_ids, shown, spelled, trim, units
 
 CAPACITY = 1024
 END = 2
@@ -105,6 +105,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterato
                 ranks[stop - start] += 1
         kinds = (batch.schema.field(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 7, kinds)], ["_id", "piece", "start", "length", "ids_crc32", "_part", "_local"])
+    trim()
 
 
 class Knapsack:

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm._spark import Scratch, short_batches, sorted_groups
+from pagemill.llm._units import trim
 from pagemill.llm.components import Forest, components, links_batch
 
 SHINGLE = 3
@@ -71,6 +72,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         values = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["_id", "_fp"])
+    trim()
 
 
 def _postings(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.RecordBatch]:

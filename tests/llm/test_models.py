@@ -166,3 +166,21 @@ def test_long_texts_are_scored_as_one():
     model = scorer.model
     whole, _ = tox.measured(model, [np.array([tox.features(w) for w in text.split()])])
     assert abs(scorer.score(text) - 1 / (1 + np.exp(-(whole[0] - model.thresholds[0])))) < 1e-4
+
+
+def test_what_a_worker_holds_is_bounded(monkeypatch):
+    """What an earlier operator built goes before scoring, and words are forgotten without a change of scores."""
+    import pyarrow as pa
+
+    from pagemill.llm import _units
+
+    model = tox.train([(i % 2, "en", np.array([tox.features(w) for w in ("good", "bad")[i % 2 :]])) for i in range(60)])
+    texts = [f"bad good w{i} " + " ".join(f"w{k}" for k in range(i, i + 200)) for i in range(300)]
+    made = []
+    monkeypatch.setattr(tox, "Scorer", lambda m, make=tox.Scorer: made.append(make(m)) or made[-1])
+    _units.once("earlier", lambda: "table")
+    usual = [x for c in tox._score(iter([pa.array(texts)]), model) for x in c.to_pylist()]
+    assert not _units._KEPT and len(made[0].table) <= 50_000
+    monkeypatch.setattr(tox, "KNOWN", 400)
+    few = [x for c in tox._score(iter([pa.array(texts)]), model) for x in c.to_pylist()]
+    assert np.allclose(usual, few, atol=1e-6) and len(made[1].rows) <= 501

@@ -93,3 +93,15 @@ def test_pairs_come_from_rare_words_only(spark):
     assert found.count() == 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_short_documents_are_folded_in_their_row(spark, monkeypatch):
+    """Below and above FEW items the same texts stay; without a long document no pairs are listed."""
+    rows = []
+    for k, lines in enumerate((merge.FEW - 1, merge.FEW, merge.FEW + 1)):
+        rows += [(k, o, text, q) for _, o, text, q in made(10 + k, 1, lines, 15, 30)] + [(k, 1000, " " * 12, None), (k, 1001, "\t" * 12, None)]
+    want = fold_fuzzy(rows)
+    assert kept(merge.dedup_fuzzy(spark.createDataFrame(rows, SCHEMA).repartition(3))) == want
+    monkeypatch.setattr(merge, "overlapping", None)
+    short = [r for r in rows if r[0] == 0][: merge.FEW]
+    assert kept(merge.dedup_fuzzy(spark.createDataFrame(short, SCHEMA))) == fold_fuzzy(short)

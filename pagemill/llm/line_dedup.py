@@ -7,12 +7,14 @@ some later copy is deleted. Runs do not reach across documents; shorter repeats,
 The steps:
 
 1. Lines are identified by digests; those that occur once end every repeated run, so only stretches of repeated lines go on.
-2. Prefix doubling: the rank of a suffix by its first 2^(k+1) lines is the sorted place of its pair of ranks by 2^k lines, here and
-   2^k lines on; a suffix that ends there comes first. It goes on until no two suffixes agree in 2^k lines any more without having
-   ended, so the last ranks, and the order of documents among equal suffixes, are the suffix array.
+2. Prefix doubling: the rank of a suffix by its first 2^(k+1) lines is that by 2^k lines, followed by the sorted place of its pair of
+   ranks by 2^k lines, here and 2^k lines on; a suffix that ends there comes first. A suffix that no other equals in 2^k lines, or
+   that has ended, keeps its rank, and a stretch without other suffixes leaves the rounds. They go on until no two suffixes agree in
+   2^k lines any more without having ended, so the last ranks, and the order of documents among equal suffixes, are the suffix array.
 3. Longest common prefixes of neighbours in the array. If the lines before two neighbours are equal, their prefix is that of the suffixes
-   one line before, less one line (the permuted form of the array), so it is worked out only where they differ: by
-   descending powers of two, 2^k lines being equal where the ranks are. The others follow by a window within the stretch.
+   one line before, less one line (the permuted form of the array), so it is worked out only where they differ: ranks tell the largest
+   power of two of equal lines, and as many lines after them are compared; these prefixes sum up to n log n lines at most. The others
+   follow by a window within the stretch.
 4. The suffixes that agree in their first n lines are an interval of the array: it begins where a neighbour's prefix is shorter
    than n. The depths n looked at for a suffix are those of the runs that have enough words, and would not without their first line or
    have not without their last: every maximal repeated run of enough words is a union of such runs, and every suffix of an interval has the same.
@@ -36,6 +38,9 @@ from pagemill.llm._spark import Scratch, free_name
 MIN_WORDS = 50
 #: A word of a line: no regular expression of a language, so that other engines agree.
 WORD = r"[^ \t\r\f\x0B]+"
+BLANKS = " \t\r\f\x0B"
+#: Bytes that a round adds to a rank.
+PLACE = 8
 DOC = ["_a", "_b"]
 #: Numbers of lines to delete are broadcast up to this size in all; beyond it texts meet them by a shuffle.
 BROADCAST_BYTES = 8 << 20
@@ -51,6 +56,21 @@ def _ranked(keys: DataFrame, columns: list[str], name: str, scratch: Scratch) ->
     return scratch.save(keys.orderBy(*columns).withColumn(name, F.monotonically_increasing_id()))
 
 
+def _words(line: Column) -> Column:
+    """The number of words in a line that has one; only lines with other white space than single spaces are split."""
+    trimmed = F.trim(line)
+    odd = trimmed.contains("  ")
+    for blank in BLANKS[1:]:
+        odd |= trimmed.contains(blank)
+    spaces = F.octet_length(trimmed) - F.octet_length(F.replace(trimmed, F.lit(" "), F.lit("")))
+    return F.when(odd, F.size(F.split(F.btrim(line, F.lit(BLANKS)), f"[{BLANKS}]+"))).otherwise(spaces + 1)
+
+
+def _bytes(place: str | Column) -> Column:
+    """A place as bytes that sort as the numbers do."""
+    return F.unhex(F.lpad(F.hex(place), 2 * PLACE, "0"))
+
+
 def _part(at: str) -> Column:
     return F.shiftright(at, 33)
 
@@ -61,75 +81,86 @@ def _stretch(*order: str) -> Window:
 
 
 def repeated_stretches(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> DataFrame:
-    """The lines that occur more than once, with the stretches they form: _seg, its last line _to, and _end of the shortest run of enough words from each line."""
+    """The lines that occur more than once, with the stretches they form: _seg, its last line _to, and _end of the shortest run of enough words from each line.
+
+    _left is the line before within the stretch, and _after the next line's _end.
+    """
     line = F.filter(F.transform(F.split(F.col(f"`{text_col}`"), "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("line"))), lambda s: s["line"].rlike(WORD))
+    # keys before the lines, or they would be worked out for each
+    keyed = docs.select(F.col(f"`{id_col}`").alias("_id"), *(v.alias(k) for k, v in zip(DOC, _keys(id_col, text_col))), line.alias("_lines"))
     lines = scratch.save(
-        docs.select(F.col(f"`{id_col}`").alias("_id"), *(v.alias(k) for k, v in zip(DOC, _keys(id_col, text_col))), F.posexplode(line).alias("p", "_s"))
-        .select("_id", *DOC, "p", "_s.i", F.regexp_count("_s.line", F.lit(WORD)).alias("words"), F.unhex(F.md5("_s.line")).alias("_line"))
+        keyed.select("_id", *DOC, F.posexplode("_lines").alias("p", "_s"))
+        .select("_id", *DOC, "p", "_s.i", _words(F.col("_s.line")).alias("words"), F.unhex(F.md5("_s.line")).alias("_line"))
     )
     repeated = lines.groupBy("_line").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_line")
     ranks = _ranked(repeated, ["_line"], "r0", scratch)
-    table = scratch.save(lines.join(ranks, "_line").drop("_line").dropDuplicates([*DOC, "p"]))
-    scratch.drop(lines, ranks)
+    # dealt out by document once, for what follows
+    table = lines.join(ranks, "_line").drop("_line").repartition(*DOC).dropDuplicates([*DOC, "p"])
     table = table.withColumn("_seg", F.col("p") - F.row_number().over(Window.partitionBy(*DOC).orderBy("p")))
-    table = table.withColumn("_c1", F.sum("words").over(_stretch("p"))).withColumn("_c0", F.col("_c1") - F.col("words"))
+    table = table.withColumns({"_c1": F.sum("words").over(_stretch("p")), "_left": F.lag("r0").over(_stretch("p"))}).withColumn("_c0", F.col("_c1") - F.col("words"))
     table = table.withColumns({"_back": -F.col("_c0"), "_all": F.max("_c1").over(_stretch()), "_to": F.max("p").over(_stretch())})
     behind = F.min("p").over(_stretch("_back").rangeBetween(Window.unboundedPreceding, -min_words))
     table = table.withColumn("_end", F.coalesce(behind - 1, F.when(F.col("_all") - F.col("_c0") >= min_words, F.col("_to"))))
-    return scratch.save(table.where(F.col("_all") >= min_words).select("_id", *DOC, "_seg", "p", "i", "r0", "_to", "_end"))
+    table = table.withColumn("_after", F.lead("_end").over(_stretch("p")))
+    table = scratch.save(table.where(F.col("_all") >= min_words).select("_id", *DOC, "_seg", "p", "i", "r0", "_left", "_to", "_end", "_after"))
+    scratch.drop(lines, ranks)
+    return table
 
 
 def doubled(table: DataFrame, scratch: Scratch) -> tuple[DataFrame, int]:
-    """``table`` with ranks r0, r1, ... by 1, 2, ... lines, and the number of the last, which tells all different suffixes apart."""
-    k = 0
+    """``table`` with _rank, the places of 1, 2, 4, ... lines one behind the other until they tell all different suffixes apart, and how many places it has at most."""
+    columns = [c for c in table.columns if c not in ("i", "r0")]
+    step = table.select(*columns, _bytes("r0").alias("_rank"), F.lit(True).alias("_open"))
+    done, k = [], 0
     while True:
-        on = F.coalesce(F.lead(f"r{k}", 1 << k).over(_stretch("p")), F.lit(-1))
-        pairs = table.withColumns({"_here": F.col(f"r{k}"), "_there": on})
-        ranked = _ranked(pairs.groupBy("_here", "_there").agg(F.count(F.lit(1)).alias("_n")), ["_here", "_there"], f"r{k + 1}", scratch)
-        older, table = table, scratch.save(pairs.join(ranked.drop("_n"), ["_here", "_there"]).drop("_here", "_there"))
-        done = ranked.where("_n > 1 and _there >= 0").isEmpty()
-        scratch.drop(older, ranked)
+        there = F.coalesce(F.lead("_rank", 1 << k).over(_stretch("p")), F.lit(b""))
+        step = scratch.save(step.withColumns({"_there": there, "_live": F.max("_open").over(_stretch())}))
+        done.append(step.where("not _live").select(*columns, "_rank"))
+        pairs = step.where("_open").groupBy("_rank", "_there").agg(F.count(F.lit(1)).alias("_n"))
+        ranked = pairs.orderBy("_rank", "_there").withColumn("_next", F.concat("_rank", _bytes(F.monotonically_increasing_id())))
+        ranked = scratch.save(ranked.select("_rank", "_there", "_next", ((F.col("_n") > 1) & (F.octet_length("_there") > 0)).alias("_more")))
         k += 1
-        if done:
-            return table, k
+        found = step.where("_open").drop("_open").join(ranked, ["_rank", "_there"])
+        found = found.select(*columns, F.col("_next").alias("_rank"), F.col("_more").alias("_open"))
+        step = found.unionByName(step.where("_live and not _open").select(*columns, "_rank", "_open"))
+        if ranked.where("_more").isEmpty():
+            for part in done:
+                step = step.drop("_open").unionByName(part)
+            return step, k + 1
 
 
-def suffix_array(table: DataFrame, last: int, scratch: Scratch) -> DataFrame:
+def suffix_array(ranked: DataFrame, places: int, scratch: Scratch) -> DataFrame:
     """The suffixes with their places in the array (_at, increasing) and lcp, the lines that each has in common with the one before."""
-    levels = F.array(*(f"r{k}" for k in range(last)))
-    table = table.withColumns({"_r": levels, "_left": F.lag("r0").over(_stretch("p"))})
-    ordered = scratch.save(
-        table.select("_id", *DOC, "_seg", "p", "_to", "_end", "_r", "_left", F.col(f"r{last}").alias("_rank"))
-        .orderBy("_rank", "_id", *DOC, "p").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", _part("_at"))
-    )
-    row = F.struct(*DOC, "p", "_r", "_left", "_rank")
+    ordered = scratch.save(ranked.orderBy("_rank", "_id", *DOC, "p").withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", _part("_at")))
+    row = F.struct(*DOC, "_seg", "p", "_left", "_rank")
     ends = ordered.groupBy("_part").agg(F.max_by(row, "_at").alias("_last"))
     carried = ends.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_carried"))  # a row a partition
     own = F.lag(row).over(Window.partitionBy("_part").orderBy("_at"))
     found = ordered.join(F.broadcast(carried), "_part").withColumn("_q", F.coalesce(own, "_carried"))
     # the largest k with 2^k lines in common, -1 without one
-    level = F.greatest(F.lit(-1), F.array_max(F.transform(F.arrays_zip(F.col("_r").alias("x"), F.col("_q._r").alias("y")), lambda z, k: F.when(z["x"] == z["y"], k).otherwise(-1))))
+    first = lambda c, k: F.substring(c, 1, PLACE * (k + 1))
+    level = F.coalesce(*(F.when(first("_rank", k) == first("_q._rank", k), k) for k in range(places - 1, -1, -1)), F.lit(-1))
     whole = F.col("_to") - F.col("p") + 1
     known = F.when(F.col("_q").isNull(), F.lit(0)).when(F.col("_rank") == F.col("_q._rank"), whole)
+    kept = ["_id", *DOC, "_seg", "p", "_to", "_end", "_after", "_at"]
     found = scratch.save(found.withColumn("_k", level).select(
-        "_id", *DOC, "_seg", "p", "_to", "_end", "_at", "_k", *(F.col(f"_q.{c}").alias(f"_q{c}") for c in (*DOC, "p")),
+        *kept, "_k", *(F.col(f"_q.{c}").alias(f"_q{c}") for c in (*DOC, "_seg", "p")),
         F.when(F.col("_k") < 0, 0).when(known.isNotNull(), known).when(F.col("_left").eqNullSafe(F.col("_q._left")) & F.col("_left").isNotNull(), None)
         .otherwise(-1).alias("_known"),
     ))
+    # where the lines before differ: 2^k lines, then as many more as are equal of the next 2^k
+    numbered = F.array_sort(F.collect_list(F.struct("p", first("_rank", 0).alias("line"))))
+    stretches = scratch.save(ordered.groupBy(*DOC, "_seg").agg(F.min("p").alias("_from"), F.transform(numbered, lambda x: x["line"]).alias("_lines")))
     scratch.drop(ordered)
-    # where the lines before differ: 2^k lines, then by descending powers of two
-    open_ = found.where("_known = -1").select(*DOC, "p", "_to", "_k", *(f"_q{c}" for c in (*DOC, "p")), F.expr("shiftleft(1, _k)").alias("_len"))
-    for k in range(last - 2, -1, -1):
-        at = table.select(*(F.col(c).alias(f"_x{c}") for c in (*DOC, "p")), F.col(f"r{k}").alias("_x"))
-        there = at.toDF(*(c.replace("_x", "_y", 1) for c in at.columns))
-        here = [F.col(c) == F.col(f"_x{c}") for c in DOC] + [F.col("p") + F.col("_len") == F.col("_xp"), F.col("_k") > k]
-        other = [F.col(f"_q{c}") == F.col(f"_y{c}") for c in DOC] + [F.col("_qp") + F.col("_len") == F.col("_yp"), F.col("_k") > k]
-        more = F.when(F.col("_x") == F.col("_y"), F.least(F.lit(1 << k), F.col("_to") - F.col("p") - F.col("_len") + 1)).otherwise(0)
-        open_ = scratch.save(open_.join(at, here, "left").join(there, other, "left").withColumn("_len", F.col("_len") + more).select(open_.columns))
-    found = found.join(open_.select(*DOC, "p", "_len"), [*DOC, "p"], "left").withColumn("_known", F.coalesce("_len", "_known"))
+    there = stretches.toDF(*(f"_q{c}" for c in stretches.columns))
+    size = F.expr("shiftleft(1, _k)")
+    following = lambda p, start, lines: F.slice(lines, F.col(p) - F.col(start) + 1 + size, size)
+    open_ = found.where("_known = -1").join(stretches, [*DOC, "_seg"]).withColumn("_here", following("p", "_from", "_lines")).drop("_from", "_lines")
+    open_ = open_.join(there, [f"_q{c}" for c in (*DOC, "_seg")]).withColumn("_there", following("_qp", "_q_from", "_q_lines"))
+    differs = F.array_position(F.zip_with("_here", "_there", lambda x, y: ~x.eqNullSafe(y)), True)
+    found = found.where("_known is null or _known <> -1").select(*kept, "_known").unionByName(open_.select(*kept, (size + differs - 1).cast("int").alias("_known")))
     given = F.last(F.when(F.col("_known").isNotNull(), F.struct("p", "_known")), ignorenulls=True).over(_stretch("p"))
-    after = F.lead("_end").over(_stretch("p"))
-    found = found.withColumns({"_given": given, "_after": after})
+    found = found.withColumn("_given", given)
     return found.select("_id", *DOC, "p", "_to", "_end", "_after", "_at", (F.col("_given._known") - F.col("p") + F.col("_given.p")).alias("lcp"))
 
 
@@ -153,8 +184,8 @@ def later_copies(array: DataFrame, scratch: Scratch) -> DataFrame:
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, min_words: int, scratch: Scratch) -> DataFrame:
     """(document key, the numbers of its lines to delete) for the documents that lose lines."""
-    table, last = doubled(repeated_stretches(docs, id_col, text_col, min_words, scratch), scratch)
-    later = later_copies(suffix_array(table, last, scratch), scratch)
+    table = repeated_stretches(docs, id_col, text_col, min_words, scratch)
+    later = later_copies(suffix_array(*doubled(table, scratch), scratch), scratch)
     places = later.select(*DOC, F.explode(F.sequence(F.col("p"), F.col("p") + F.col("n") - 1)).alias("p")).distinct()
     gone = scratch.save(places.join(table.select(*DOC, "p", "i"), [*DOC, "p"]).groupBy(*DOC).agg(F.collect_set("i").alias("_gone")))
     scratch.drop(table)
@@ -181,7 +212,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs.withColumn("n_lines", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")), removed="n_removed")
+    return line_dedup(docs.withColumn("n_lines", F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")), removed="n_removed")
 
 
 OP2_SQL = rf"""

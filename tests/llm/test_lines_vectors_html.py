@@ -2,10 +2,12 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from pagemill.llm import html_text
 from pagemill.llm import line_dedup as line_dedup_module
@@ -72,6 +74,49 @@ def test_line_dedup_odd_rows(spark):
     assert line_dedup(docs.limit(0)).count() == 0
 
 
+def test_words_of_odd_lines(spark):
+    lines = ["a", " a b ", "a  b", "a\tb c", "\ta", "a\r", "\x0ba\x0cb", "a\u00a0b c", "\u00e9 \u4e2d  x", " \t a \r\t b  c \x0c"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup_module._words(F.col("line")).alias("n")).collect()
+    assert {r.line: r.n for r in got} == {x: len([w for w in re.split("[ \t\r\x0c\x0b]", x) if w]) for x in lines}
+
+
+def test_suffix_array_matches_a_plain_version(spark):
+    rng = random.Random(11)
+    rows = [(d, "\n".join(rng.choice("abc") for _ in range(rng.randrange(2, 40)))) for d in range(12)]
+    rows += [(20, "\n".join("a" * 70)), (21, "\n".join("ab" * 35)), (22, rows[3][1]), (23, rows[3][1] + "\nb"), (24, "\n".join("a" * 70) + "\nonce\n" + rows[5][1])]
+    scratch = Scratch(spark, "test")
+    table = line_dedup_module.repeated_stretches(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", 1, scratch)
+    held, keys = {}, {}
+    for r in sorted(table.collect(), key=lambda r: r.p):
+        held.setdefault((r._id, r._seg), []).append(r)
+        keys[r._id] = (r._a, r._b)
+    suffixes = sorted(([x.r0 for x in g[j:]], d, keys[d], g[j].p) for (d, _), g in held.items() for j in range(len(g)))
+    want = []
+    for before, (lines, d, _, p) in zip([([],), *suffixes], suffixes):
+        want.append((d, p, next((n for n, (x, y) in enumerate(zip(lines, before[0])) if x != y), min(len(lines), len(before[0])))))
+    got = line_dedup_module.suffix_array(*line_dedup_module.doubled(table, scratch), scratch).orderBy("_at").collect()
+    assert [(r._id, r.p, r.lcp) for r in got] == want
+
+
+def test_finished_stretches_leave_the_rounds(spark, monkeypatch):
+    line = lambda *key: " ".join("%s%d" % (key, i) for i in range(30))
+    short = [(i, "\n".join(line(i % 100, j) for j in range(3))) for i in range(200)]
+    long = "\n".join(line("long", j) for j in range(70))
+    docs = spark.createDataFrame([*short, (300, long), (301, long)], "doc_id long, text string")
+    written, save = [], Scratch.save
+
+    def counted(self, df):
+        out = save(self, df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {r.doc_id: r.text for r in line_dedup(docs).collect()}
+    assert all((got[i] == "") == (i >= 100) for i in range(200)) and got[300] == long and got[301] == ""
+    # 740 repeated lines and eight rounds, most of which are for the long text alone
+    assert sum(written) < 16 * 740
+
+
 def test_line_dedup_sql(spark):
     rows = [(d, None if t is None else "\n".join(x * 1 for x in t.split("\n"))) for d, t in made_documents(9)]
     con = duckdb.connect()

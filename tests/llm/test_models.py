@@ -184,3 +184,13 @@ def test_what_a_worker_holds_is_bounded(monkeypatch):
     monkeypatch.setattr(tox, "KNOWN", 400)
     few = [x for c in tox._score(iter([pa.array(texts)]), model) for x in c.to_pylist()]
     assert np.allclose(usual, few, atol=1e-6) and len(made[1].rows) <= 501
+
+
+def test_every_row_is_learned_from_once_an_epoch(monkeypatch):
+    docs = [(i % 2, "en", np.array([tox.features(f"w{i}")])) for i in range(400)]
+    plain, batches = tox.gradients, []
+    monkeypatch.setattr(tox, "gradients", lambda model, rows, y, w: batches.append([id(r) for r in rows]) or plain(model, rows, y, w))
+    tox.train(docs)
+    an_epoch = 320 // tox.BATCH  # a fifth calibrates
+    epochs = [sum(batches[i : i + an_epoch], []) for i in range(0, len(batches), an_epoch)]
+    assert len(epochs[0]) == 320 and all(sorted(e) == sorted({*epochs[0]}) for e in epochs)

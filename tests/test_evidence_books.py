@@ -50,3 +50,14 @@ def test_short_documents_shuffle_no_grams(spark):
     keys = re.findall(r"hashpartitioning\(([^)]*), \d+\)", plan)
     assert keys and all(re.fullmatch(r"doc_id#\d+L?", k) for k in keys)
     assert few.count() == pages.select("doc_id").distinct().count() and many.isEmpty()
+
+
+def test_a_book_is_searched_once_an_item(spark):
+    """No filter ahead of the result repeats the search, and with no long document nothing is planned for the index."""
+    pages = spark.createDataFrame([(1, k, f"page {k} of a short document with words") for k in range(1, 4)], "doc_id long, page_no int, text string")
+    items = spark.createDataFrame([(1, 0, "of a short document with"), (1, 1, "nothing of this stands there")], "doc_id long, ord int, text string")
+    found = evidence.locate(items, pages, F.col("text"))
+    assert [(r.ord, r.page_no) for r in found.collect()] == [(0, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_intersect") == 1 and "Join" in plan
+    assert not any("array_intersect" in line or "Contains" in line for line in plan.splitlines() if "Join " in line or "Filter " in line)
